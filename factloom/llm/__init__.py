@@ -11,6 +11,7 @@ import importlib
 OPERATORS = {
     "op1_quality_rules": "quality_rules",
     "op4_simhash_dedup": "simhash",
+    "op5_packing": "packing",
     "op7_substring_dedup": "substring_dedup",
 }
 
