@@ -15,6 +15,7 @@ no rows; a document longer than the capacity is cut at multiples of it.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +34,11 @@ TOKENIZER = "word_bpe_49k.json"
 #: Documents of a group; groups are made of rows, so their number follows the input.
 GROUP_DOCS = 2048
 #: Words that a task remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+WORDS_A_CALL = 1000
+
+
+_CUT = re.compile(r"[^\S\x1c-\x1f]+")
 
 
 class WordEncoder:
@@ -45,24 +50,34 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, np.ndarray] = {}
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        # Words of one text may be encoded one by one because the tokenizer never joins over white space.
-        split = [t.split(" ") if t.isascii() and not any(c in t for c in "\t\n\v\f\r") else t.translate(_AS_SPACE).split(" ") for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, np.uint16).tobytes()
+        self.mark, self.mark_id = next((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes many words in one call, a special token between them."""
+        odd = [w for w in words if self.mark in w]
+        words = [w for w in words if self.mark not in w] if odd else words
+        for word in odd:
+            self.known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint16).tobytes()
+        parts = [words[at : at + WORDS_A_CALL] for at in range(0, len(words), WORDS_A_CALL)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([self.mark.join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint16)
+            ends = np.flatnonzero(ids == self.mark_id) * 2
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(part, [*ends.tolist(), len(raw)], strict=True):
+                self.known[word] = raw[at:end]
+                at = end + 2
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as unsigned 16-bit numbers."""
+        # str.split() takes Unicode white space for a border, which the tokenizer drops, and four control characters, which it doesn't.
+        split = [_CUT.split(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        if new := set().union(*split).difference(self.known):
+            self._learn(list(new))
         known = self.known
-        out = [np.frombuffer(b"".join([known[w] for w in ws]), np.uint16) for ws in split]
-        if len(known) > REMEMBERED:
-            known.clear()
-        return out
-
-
-_AS_SPACE = dict.fromkeys(map(ord, "\t\n\v\f\r"), " ")
+        return [b"".join([known[w] for w in ws]) for ws in split]
 
 
 def encode(df: DataFrame, id: str, text: str, path: str, end: int = END) -> DataFrame:
@@ -79,7 +94,7 @@ def encode(df: DataFrame, id: str, text: str, path: str, end: int = END) -> Data
                     texts.append(part.column(1)[stop].as_py() or "")
                     size += len(texts[-1])
                     stop += 1
-                ids = [x.tobytes() + last for x in encoder.ids(texts)]
+                ids = [x + last for x in encoder.ids(texts)]
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(row, stop - row), pa.array(ids, pa.binary())], names=["id", "ids"])
                 row = stop
 
