@@ -14,6 +14,7 @@ OPERATORS = {
     "op4_simhash_dedup": "simhash",
     "op5_packing": "packing",
     "op7_substring_dedup": "substring_dedup",
+    "op8_language_id": "language_id",
 }
 
 
