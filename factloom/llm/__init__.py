@@ -10,6 +10,7 @@ import importlib
 #: name of the registered query -> module that defines ``query`` and, where SQL can express it, ``SQL``.
 OPERATORS = {
     "op1_quality_rules": "quality_rules",
+    "op2_quality_classifier": "quality_model",
     "op3_bpe_codec": "bpe",
     "op4_simhash_dedup": "simhash",
     "op5_packing": "packing",
