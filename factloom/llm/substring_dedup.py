@@ -152,7 +152,7 @@ def spans_removed(df: DataFrame, id: str, text: str, carry: tuple[str, ...], blo
         return _cut(int(block["block"].iloc[0]), ranges, one[first], two[first], docs[first])
 
     def least_windows(part: pd.DataFrame) -> pd.DataFrame:
-        """For each block the windows whose smallest id is another block's, or the block's own: with that id."""
+        """For each block which of the windows that it sent start at a smaller id elsewhere, and at which."""
         one, two, docs = _join(part["keys"], np.uint64), _join(part["x0"], np.uint64), _join(part["x1"], np.int64)
         order = np.lexsort((docs, two, one))
         a, b, d = one[order], two[order], docs[order]
@@ -162,21 +162,20 @@ def spans_removed(df: DataFrame, id: str, text: str, carry: tuple[str, ...], blo
         rows, at = [], 0
         for block, keys in zip(part["block"], part["keys"], strict=True):
             n = len(keys) // 8
-            s = slice(at, at + n)
-            elsewhere = least[s] < docs[s]
-            rows.append((block, one[s][elsewhere].tobytes(), two[s][elsewhere].tobytes(), least[s][elsewhere].tobytes()))
+            elsewhere = np.flatnonzero(least[at : at + n] < docs[at : at + n])
+            rows.append((block, elsewhere.astype(np.uint32).tobytes(), least[at : at + n][elsewhere].tobytes(), int(part["range"].iloc[0]) + 1))
             at += n
-        return pd.DataFrame([r for r in rows if r[1]], columns=["block", "keys", "x0", "x1"])
+        return pd.DataFrame([r for r in rows if r[1]], columns=["block", "keys", "ids", "kind"])
 
     sent = dealt.groupBy("block").applyInPandas(send_anchors, "block int, range int, keys binary, x0 binary")
     shared = sent.groupBy("range").applyInPandas(share_anchors, "block int, keys binary")
     windows = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(send_windows, "block int, range int, keys binary, x0 binary, x1 binary")
-    gone = windows.groupBy("range").applyInPandas(least_windows, "block int, keys binary, x0 binary, x1 binary").withColumn("kind", F.lit(1))
-    anchors = shared.select("block", "keys", F.lit(None).cast("binary").alias("x0"), F.lit(None).cast("binary").alias("x1"), F.lit(0).alias("kind"))
+    gone = windows.groupBy("range").applyInPandas(least_windows, "block int, keys binary, ids binary, kind int")
+    anchors = shared.select("block", "keys", F.lit(None).cast("binary").alias("ids"), F.lit(0).alias("kind"))
     return dealt, gone.unionByName(anchors)
 
 
-def _covered(block: pd.DataFrame, back: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _covered(block: pd.DataFrame, back: pd.DataFrame, ranges: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, bytes, starts, ends, word offsets, words to remove) of consecutive rows of a block.
 
     The block's texts are read twice, so that only the windows around shared anchors are held.
@@ -184,14 +183,16 @@ def _covered(block: pd.DataFrame, back: pd.DataFrame) -> Iterator[tuple[int, np.
     ids, texts = _ids(block["id"]), _arrow(block["text"])
     shared = _join(back.loc[back["kind"] == 0, "keys"], np.uint64) if len(back) else np.zeros(0, np.uint64)
     shared.sort()
-    far = back[back["kind"] == 1] if len(back) else pd.DataFrame(columns=["keys", "x0", "x1"])
-    known = [[_join(far[c], kind)] for c, kind in (("keys", np.uint64), ("x0", np.uint64), ("x1", np.int64))]
+    known: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]]
     for row, _, _, _, rows, windows, one, two in _spans(texts, ids, shared):
         for have, x in zip(known, (one, two, ids[row + np.searchsorted(rows, windows, "right") - 1]), strict=True):
             have.append(x)
     one, two, docs = _distinct_sorted(*map(np.concatenate, known))
     first = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(one)]
     one, two, docs = one[first], two[first], docs[first]
+    at = _ranges(one, ranges)  # the order in which the block sent them
+    for kind, places, least in back.loc[back["kind"] > 0, ["kind", "keys", "ids"]].itertuples(index=False) if len(back) else ():
+        docs[at[kind - 1] + np.frombuffer(places, np.uint32)] = np.frombuffer(least, np.int64)
     for row, data, starts, ends, rows, windows, a, b in _spans(texts, ids, shared):
         at = np.searchsorted(one, a)
         for i in np.flatnonzero(two[at] != b):  # windows of which one of the two hashes is equal: hardly ever any
@@ -220,7 +221,7 @@ def mark(df: DataFrame, finish, columns: str, id: str = "doc_id", text: str = "t
     def apply(block: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         if not len(block):
             return pd.DataFrame(columns=[c.split()[0] for c in columns.split(", ")])
-        found = [finish(block.iloc[row : row + len(rows) - 1], data, starts, ends, rows, gone) for row, data, starts, ends, rows, gone in _covered(block, back)]
+        found = [finish(block.iloc[row : row + len(rows) - 1], data, starts, ends, rows, gone) for row, data, starts, ends, rows, gone in _covered(block, back, blocks)]
         return pd.concat(found, ignore_index=True)
 
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(apply, columns)
