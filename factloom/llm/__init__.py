@@ -16,6 +16,7 @@ OPERATORS = {
     "op5_packing": "packing",
     "op7_substring_dedup": "substring_dedup",
     "op8_language_id": "language_id",
+    "op9_document_fingerprints": "imatch",
 }
 
 

@@ -15,9 +15,11 @@ no rows; a document longer than the capacity is cut at multiples of it.
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,8 +36,9 @@ TOKENIZER = "word_bpe_49k.json"
 #: Documents of a group; groups are made of rows, so their number follows the input.
 GROUP_DOCS = 2048
 #: Words that a task remembers before it starts anew.
-REMEMBERED = 500_000
-WORDS_A_CALL = 1000
+REMEMBERED = 150_000
+WORDS_A_CALL = 32
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 _CUT = re.compile(r"[^\S\x1c-\x1f]+")
@@ -50,41 +53,77 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.mark, self.mark_id = next((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.tails: dict[str, bytes] = {"": b""}
         self.known: dict[str, bytes] = {}
+        self.late: list[str] = []
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes many words in one call, a special token between them."""
-        odd = [w for w in words if self.mark in w]
-        words = [w for w in words if self.mark not in w] if odd else words
-        for word in odd:
-            self.known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint16).tobytes()
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint16) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> None:
+        """Words of letters: several in one call, cut after the tokens that end a word."""
         parts = [words[at : at + WORDS_A_CALL] for at in range(0, len(words), WORDS_A_CALL)]
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast([self.mark.join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, np.uint16)
-            ends = np.flatnonzero(ids == self.mark_id) * 2
-            raw, at = ids.tobytes(), 0
-            for word, end in zip(part, [*ends.tolist(), len(raw)], strict=True):
-                self.known[word] = raw[at:end]
-                at = end + 2
+        for part, ids in zip(parts, self._encode([" ".join(p) for p in parts]), strict=True):
+            ends = (2 * np.flatnonzero(self.last[ids]) + 2).tolist()
+            if len(ends) != len(part):  # a letter that isn't one any more in lower case
+                self.known.update((w, x.tobytes()) for w, x in zip(part, self._encode(part), strict=True))
+                continue
+            raw = ids.tobytes()
+            self.known.update((w, raw[i:j]) for w, i, j in zip(part, [0, *ends], ends, strict=False))
+
+    def _learn(self, words: list[str]) -> None:
+        """Letters and the ASCII punctuation after them are words of their own to the tokenizer."""
+        known, tails, cut, odd, cores = self.known, self.tails, [], [], set()
+        for word in words:
+            core = word.rstrip(_TAIL)
+            tail = word[len(core) :]
+            if core.isascii():
+                core = core.lower()
+            if core.isalpha() and len(core.lower()) == len(core) and (tail in tails or len(tails) < 1000):
+                cut.append((word, core, tail))
+                if core not in known:
+                    cores.add(core)
+                if tail not in tails:
+                    tails[tail] = self._encode([tail])[0].tobytes()
+            else:
+                odd.append(word)
+        self._letters(list(cores))
+        self.late += cores if self.late else ()
+        known.update((word, known[core] + tails[tail]) for word, core, tail in cut)
+        known.update((w, x.tobytes()) for w, x in zip(odd, self._encode(odd), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as unsigned 16-bit numbers."""
         # str.split() takes Unicode white space for a border, which the tokenizer drops, and four control characters, which it doesn't.
         split = [_CUT.split(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if new := set().union(*split).difference(self.known):
-            self._learn(list(new))
         known = self.known
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        if new := list(set().union(*split).difference(known)):
+            if len(known) > REMEMBERED:  # the first words stay, they are the frequent ones; rare ones come and go
+                self.late += new
+            self._learn(new)
+        ids = [b"".join([known[w] for w in ws]) for ws in split]
+        if len(self.late) > REMEMBERED // 2:
+            for word in self.late:
+                known.pop(word, None)
+            self.late = []
+        return ids
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One for each Python process, which outlives a task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # cores are the tasks'
+    return WordEncoder(path)
 
 
 def encode(df: DataFrame, id: str, text: str, path: str, end: int = END) -> DataFrame:
     """(id, ids): unsigned 16-bit ids in little-endian order of each whole text, then the end id."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = WordEncoder(path), np.array([end], np.uint16).tobytes()
+        encoder, last = word_encoder(path), np.array([end], np.uint16).tobytes()
         for part in parts:
             row = 0
             while row < len(part):
@@ -199,7 +238,8 @@ def digests(pieces: DataFrame, id: str = "doc_id") -> DataFrame:
     """The pieces with the CRC-32 of their ids as unsigned 32-bit little-endian numbers instead of the ids."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        joined = [f" {self.mark} ".join(p) for p in parts]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             names = part.schema.names
             sums = [zlib.crc32(np.frombuffer(x.as_buffer(), np.uint16).astype("<u4").tobytes()) for x in part.column("ids")]
             columns = [pa.array(sums, pa.int64()) if c == "ids" else part.column(c) for c in names]

@@ -7,7 +7,14 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch: a row is a whole text here, of some kilobytes, and a batch lies in memory twice.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus. A session that leaves the size of Arrow batches at its default gets smaller ones."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
