@@ -17,6 +17,7 @@ stays a row; it names a class only if no document of the class has an id.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm import blocks as B
 from factloom.llm.components import components
-from factloom.llm.tables import cut, table
+from factloom.llm.tables import cut, table, without
 
 BITS = 64
 CROWD = 64
@@ -112,11 +114,93 @@ def classes(df: DataFrame, id: str = "doc_id", text: str = "text", radius: int =
     return prints.join(of, prints.fp == of._fp).select("id", "fp", "component")
 
 
-def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 5) -> DataFrame:
+#: Similar texts: bins of a sketch of the shingles, its least share of equal bins, words of a shingle.
+BINS, ALIKE, SHINGLE = 256, 0.8, 5
+#: Keys with more members are linked to their first and last member only, see ``near_duplicates``.
+FEW = 8
+
+
+def sketch(text: bytes, shingle: int = SHINGLE) -> tuple[int, int, bytes]:
+    """Two fingerprints of the weighted words of a text and a one-permutation sketch of its shingles.
+
+    The sketch has a byte for each bin, of the least shingle hash that falls into it; 0: none. The share of equal
+    bytes among the bins that two sketches use estimates the Jaccard similarity of the sets of shingles.
+    """
+    words = text.lower().split()
+    if not words:
+        return 0, 0, bytes(BINS)
+    seen = Counter(words)
+    one = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in seen), np.uint64, len(seen))
+    weight = np.fromiter(seen.values(), np.float32, len(seen)) ** 0.75
+    prints = []
+    for hashes in (one, B.mix(one)):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+        prints.append(int(np.packbits(weight @ bits > weight.sum() / 2, bitorder="little").view(np.int64)[0]))
+    joined = b" ".join(words)
+    n = max(1, len(words) - shingle + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = (ends - np.diff(ends, prepend=0))[:n].tolist()
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(joined[a : b - 1]) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)], np.uint64)
+    least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, (hashes % np.uint64(BINS)).astype(np.int64), hashes // np.uint64(BINS))
+    used = least != np.iinfo(np.uint64).max
+    return prints[0], prints[1], np.where(used, least % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8).tobytes()
+
+
+def _sketches(df: DataFrame, id: str, text: str) -> DataFrame:
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = [sketch(t.as_py() or b"") for t in part.column(1).cast(pa.large_binary())]
+            columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "one", "two", "sketch"])
+
+    kind = df.schema[id].dataType.simpleString()
+    return df.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(batches, f"id {kind}, one bigint, two bigint, sketch binary")
+
+
+def _similar(pairs: DataFrame, least: float) -> DataFrame:
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("x", "y"))
+            used, same = ((x > 0) | (y > 0)).sum(axis=1), ((x == y) & (x > 0)).sum(axis=1)
+            near = pa.array(same >= least * used)
+            yield pa.RecordBatch.from_arrays([part.column(c).filter(near) for c in ("a", "b")], names=["a", "b"])
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(batches, "a bigint, b bigint")
+
+
+def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", alike: float = ALIKE) -> DataFrame:
+    """(id, component): classes of texts whose sets of five-word shingles have an estimated similarity of ``alike`` or more.
+
+    Candidates share a deletion variant of one of two fingerprints of the weighted words, which edits of a few words
+    hardly change; whatever their bit distance, their sketches decide. Texts with one sketch are one node. The members
+    of a key with more than FEW of them are compared with its first and its last one: what is alike there becomes one
+    class, so a large group of near copies costs a comparison or two a member and key; others of the up to 128 keys of
+    a text join the rest.
+    """
+    found = cut(_sketches(df, id, text).withColumn("node", F.xxhash64("one", "two", "sketch")))
+    nodes = cut(found.groupBy("node").agg(F.min("id").alias("head"), F.first("one").alias("one"), F.first("two").alias("two"), F.first("sketch").alias("sketch")))
+    prints = nodes.select("node", F.explode(F.array(F.struct(F.lit(0).cast("byte").alias("t"), F.col("one").alias("fp")), F.struct(F.lit(1).cast("byte").alias("t"), F.col("two").alias("fp")))).alias("p")).select("node", "p.t", "p.fp")
+    keyed = prints.select("node", "t", variants(2).alias("k")).select("node", (F.col("k.bit") + 64 * F.col("t")).cast("short").alias("bit"), "k.rest")
+    shared = keyed.groupBy("bit", "rest").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).where("n > 1")
+    members = cut(keyed.join(shared, ["bit", "rest"]))
+    few = members.where(F.col("n") <= FEW)
+    left, right = few.select("bit", "rest", F.col("node").alias("a")), few.select("bit", "rest", F.col("node").alias("b"))
+    pairs = left.join(right, ["bit", "rest"]).where("a < b").select("a", "b")
+    ends = members.where(F.col("n") > FEW).select(F.explode(F.array("first", "last")).alias("a"), F.col("node").alias("b")).where("a <> b")
+    pairs = pairs.unionByName(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    x, y = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x")), nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
+    roots = components(_similar(pairs.join(x, "a").join(y, "b"), alike))
+    named = nodes.select(F.col("node").alias("_node"), "head").join(roots, F.col("_node") == roots.node, "left").select("_node", "head", F.coalesce("root", "_node").alias("root"))
+    least = named.groupBy("root").agg(F.min("head").alias("component"))
+    of = named.join(least, "root").select("_node", "component")
+    return found.join(of, found.node == of._node).select("id", "component")
+
+
+def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", alike: float = ALIKE) -> DataFrame:
     """The rows of df of which each class keeps the document with the smallest id; rows without an id stay."""
-    found = classes(df, id, text, radius, shingle)
-    gone = found.where("id <> component").select(F.col("id").alias("_gone")).distinct()
-    return df.join(gone, df[id] == gone._gone, "left_anti")
+    return without(df, near_duplicates(df, id, text, alike).where("id <> component").select("id"), id)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Rows of an Arrow batch: a row is a whole text here, of some kilobytes, and a batch lies in memory twice.
@@ -31,3 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Computes df once into the shared checkpoint folder: later readers and lost executors don't recompute it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+#: Ids that may be broadcast: 64-bit numbers, so some megabytes at most. Beyond that both sides are shuffled.
+BROADCAST_IDS = 200_000
+
+
+def without(df: DataFrame, gone: DataFrame, id: str) -> DataFrame:
+    """The rows whose id isn't in the one column of ``gone``; a null id stays."""
+    gone = cut(gone.toDF("_gone").distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return df.join(gone, df[id] == gone._gone, "left_anti")
