@@ -17,6 +17,7 @@ OPERATORS = {
     "op7_substring_dedup": "substring_dedup",
     "op8_language_id": "language_id",
     "op9_document_fingerprints": "imatch",
+    "op10_license_scan": "license_scan",
 }
 
 
