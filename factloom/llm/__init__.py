@@ -14,6 +14,7 @@ OPERATORS = {
     "op3_bpe_codec": "bpe",
     "op4_simhash_dedup": "simhash",
     "op5_packing": "packing",
+    "op6_lm_scoring": "language_model",
     "op7_substring_dedup": "substring_dedup",
     "op8_language_id": "language_id",
     "op9_document_fingerprints": "imatch",
