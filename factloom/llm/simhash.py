@@ -118,6 +118,8 @@ def classes(df: DataFrame, id: str = "doc_id", text: str = "text", radius: int =
 BINS, ALIKE, SHINGLE = 256, 0.8, 5
 #: Keys with more members are linked to their first and last member only, see ``near_duplicates``.
 FEW = 8
+#: Most bits in which the fingerprints of a candidate pair differ. Texts that only share a variant differ in some 14.
+APART = 8
 
 
 def sketch(text: bytes, shingle: int = SHINGLE) -> tuple[int, int, bytes]:
@@ -174,7 +176,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", alike
     """(id, component): classes of texts whose sets of five-word shingles have an estimated similarity of ``alike`` or more.
 
     Candidates share a deletion variant of one of two fingerprints of the weighted words, which edits of a few words
-    hardly change; whatever their bit distance, their sketches decide. Texts with one sketch are one node. The members
+    hardly change, and differ in APART bits at most; their sketches decide. Texts with one sketch are one node. The members
     of a key with more than FEW of them are compared with its first and its last one: what is alike there becomes one
     class, so a large group of near copies costs a comparison or two a member and key; others of the up to 128 keys of
     a text join the rest.
@@ -182,13 +184,16 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", alike
     found = cut(_sketches(df, id, text).withColumn("node", F.xxhash64("one", "two", "sketch")))
     nodes = cut(found.groupBy("node").agg(F.min("id").alias("head"), F.first("one").alias("one"), F.first("two").alias("two"), F.first("sketch").alias("sketch")))
     prints = nodes.select("node", F.explode(F.array(F.struct(F.lit(0).cast("byte").alias("t"), F.col("one").alias("fp")), F.struct(F.lit(1).cast("byte").alias("t"), F.col("two").alias("fp")))).alias("p")).select("node", "p.t", "p.fp")
-    keyed = prints.select("node", "t", variants(2).alias("k")).select("node", (F.col("k.bit") + 64 * F.col("t")).cast("short").alias("bit"), "k.rest")
-    shared = keyed.groupBy("bit", "rest").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).where("n > 1")
+    keyed = prints.select("node", "fp", "t", variants(2).alias("k")).select("node", "fp", (F.col("k.bit") + 64 * F.col("t")).cast("short").alias("bit"), "k.rest")
+    own = F.struct("node", "fp")
+    shared = keyed.groupBy("bit", "rest").agg(F.count("*").alias("n"), F.min(own).alias("first"), F.max(own).alias("last")).where("n > 1")
     members = cut(keyed.join(shared, ["bit", "rest"]))
     few = members.where(F.col("n") <= FEW)
-    left, right = few.select("bit", "rest", F.col("node").alias("a")), few.select("bit", "rest", F.col("node").alias("b"))
-    pairs = left.join(right, ["bit", "rest"]).where("a < b").select("a", "b")
-    ends = members.where(F.col("n") > FEW).select(F.explode(F.array("first", "last")).alias("a"), F.col("node").alias("b")).where("a <> b")
+    left, right = (few.select("bit", "rest", F.col("node").alias(c), F.col("fp").alias(f"{c}_fp")) for c in "ab")
+    near = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= APART
+    pairs = left.join(right, ["bit", "rest"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
+    ends = members.where(F.col("n") > FEW).select(F.explode(F.array("first", "last")).alias("e"), F.col("node").alias("b"), F.col("fp").alias("b_fp"))
+    ends = ends.select(F.col("e.node").alias("a"), F.col("e.fp").alias("a_fp"), "b", "b_fp").where((F.col("a") != F.col("b")) & near)
     pairs = pairs.unionByName(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     x, y = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x")), nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
     roots = components(_similar(pairs.join(x, "a").join(y, "b"), alike))
