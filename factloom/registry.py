@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars
-from factloom.operators import facts, flow, graphs, history
+from factloom.operators import facts, flow, graphs, history, mapping
 from factloom.sources.tables import read, with_views
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -415,3 +415,58 @@ def retention_plan(spark, d):
 @_query(_PLAN + "SELECT reasons, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM plan GROUP BY reasons")
 def retention_bytes(spark, d):
     return retention_plan(spark, d).groupBy("reasons").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+# Mapping, frontier and queues
+
+
+@_query("""
+WITH c AS (SELECT b.body_id, d.id, d.stop - d.start AS width FROM v_bodies AS b JOIN v_spans AS d ON b.file_id = d.file_id AND d.start <= b.start AND d.stop >= b.stop WHERE d.cfg_status <> 'inactive'),
+least AS (SELECT body_id, id, width, rank() OVER (PARTITION BY body_id ORDER BY width) AS r FROM c),
+best AS (SELECT body_id, count(*) AS n, min(id) AS id FROM least WHERE r = 1 GROUP BY body_id)
+SELECT b.body_id, CASE WHEN n = 1 THEN best.id END AS definition_id, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'mapped' ELSE 'ambiguous' END AS state
+FROM v_bodies AS b LEFT JOIN best ON best.body_id = b.body_id""")
+def body_mapping(spark, d):
+    return mapping.map_bodies(read(spark, d, "v_bodies"), read(spark, d, "v_spans"))
+
+
+@_query("""
+WITH chosen AS (SELECT id FROM v_definitions WHERE kind = 'function' ORDER BY id LIMIT 150),
+r AS (SELECT *, source_id IN (SELECT id FROM chosen) AS f, coalesce(target_id IN (SELECT id FROM chosen), false) AS t FROM v_relations WHERE kind = 'calls')
+SELECT source_id, id AS relation_id, CASE WHEN f AND target_id IS NULL THEN reason ELSE 'external_boundary' END AS reason FROM r WHERE (f AND target_id IS NULL) OR f <> t""")
+def unknown_frontier(spark, d):
+    return mapping.frontier(read(spark, d, "v_definitions").where("kind = 'function'"), read(spark, d, "v_relations"), 150)
+
+
+@_query("""
+WITH g AS (SELECT profile, request, min(sequence) AS sequence, max(sequence) AS newest FROM v_jobs GROUP BY profile, request),
+n AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY newest DESC) AS r FROM g)
+SELECT j.job_id, j.profile, j.request, j.priority, j.sequence FROM n JOIN v_jobs AS j ON j.sequence = n.sequence WHERE r = 1
+ORDER BY CASE j.priority WHEN 'foreground' THEN 0 WHEN 'workspace' THEN 1 ELSE 2 END, j.sequence LIMIT 16""")
+def job_queue(spark, d):
+    return mapping.queue(read(spark, d, "v_jobs"), 16)
+
+
+@_query("""
+SELECT stream_id, sequence, kind FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY sequence DESC) AS r FROM v_streams) WHERE r <= 32""")
+def event_ring(spark, d):
+    return mapping.last_events(read(spark, d, "v_streams"), "stream_id", "sequence").select("stream_id", "sequence", "kind")
+
+
+@_query("""
+WITH s AS (SELECT stream_id, pos, sequence + CASE WHEN stream_id % 4 = 0 AND pos % 5 = 0 THEN -1000000 ELSE 0 END AS t FROM v_streams),
+l AS (SELECT *, lag(t) OVER (PARTITION BY stream_id ORDER BY pos) AS b FROM s)
+SELECT stream_id, CASE WHEN NOT bool_or(coalesce(t < b, false)) THEN arg_max(t, pos) - arg_min(t, pos) END AS "interval" FROM l GROUP BY stream_id""")
+def trace_intervals(spark, d):
+    streams = read(spark, d, "v_streams")
+    late = F.when((F.col("stream_id") % 4 == 0) & (F.col("pos") % 5 == 0), -1_000_000).otherwise(0)
+    return mapping.matching_intervals(streams.withColumn("timestamp", F.col("sequence") + late))
+
+
+@_query("""
+SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unavailable' WHEN toxic = 1 AND quality = 0 THEN 'failed' WHEN toxic = 1 THEN 'timeout' WHEN quality = 0 THEN 'skipped' ELSE 'passed' END AS outcome
+FROM documents AS d LEFT JOIN labels AS l ON l.doc_id = d.doc_id""")
+def test_outcomes(spark, d):
+    rows = read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels").withColumn("there", F.lit(True)), "doc_id", "left")
+    bad, poor = F.col("toxic") == 1, F.col("quality") == 0
+    return rows.select("doc_id", F.when(F.col("there").isNull(), "unavailable").when(bad & poor, "failed").when(bad, "timeout").when(poor, "skipped").otherwise("passed").alias("outcome"))
