@@ -17,7 +17,7 @@ stays a row; it names a class only if no document of the class has an id.
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import blocks as B
 from factloom.llm.components import components
-from factloom.llm.tables import cut, table, without
+from factloom.llm.tables import BROADCAST_IDS, cut, table, without
 
 BITS = 64
 CROWD = 64
@@ -114,89 +114,156 @@ def classes(df: DataFrame, id: str = "doc_id", text: str = "text", radius: int =
     return prints.join(of, prints.fp == of._fp).select("id", "fp", "component")
 
 
-#: Similar texts: bins of a sketch of the shingles, its least share of equal bins, words of a shingle.
-BINS, ALIKE, SHINGLE = 256, 0.8, 5
-#: Keys with more members are linked to their first and last member only, see ``near_duplicates``.
-FEW = 8
-#: Most bits in which the fingerprints of a candidate pair differ. Texts that only share a variant differ in some 14.
-APART = 8
+#: Similar texts: the least Jaccard similarity of their sets of shingles, and the words of a shingle.
+ALIKE, SHINGLE = 0.8, 5
+#: Keys with more members are first linked through one member a round, for so many rounds; what is still apart then is paired in full.
+FEW, ROUNDS = 8, 3
+#: Shingles found SEEN times or more in one of SHARE texts come last in the order of shingles; at most FREQUENT of them.
+SHARE, SEEN, FREQUENT = 16, 3, 200_000
 
 
-def sketch(text: bytes, shingle: int = SHINGLE) -> tuple[int, int, bytes]:
-    """Two fingerprints of the weighted words of a text and a one-permutation sketch of its shingles.
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The sorted 64-bit hashes of the different shingles of each text; a text of fewer words than a shingle is one shingle."""
+    for _, _, data, offsets in B.text_blocks(texts):
+        upper = (data >= 0x41) & (data <= 0x5A)
+        low = np.where(upper, data + np.uint8(0x20), data).astype(np.uint8)
+        starts, ends, rows = B.words(low, offsets)
+        hashes = B.span_hashes(low, starts, ends)
+        at = B.gram_starts(rows, shingle)
+        grams, bounds = B.gram_hashes(hashes, at, shingle), np.searchsorted(at, rows)
+        for a, b, i, j in zip(rows[:-1].tolist(), rows[1:].tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield np.unique(grams[i:j]) if b - a >= shingle or a == b else B.gram_hashes(hashes[a:b], np.zeros(1, np.int64), b - a)
 
-    The sketch has a byte for each bin, of the least shingle hash that falls into it; 0: none. The share of equal
-    bytes among the bins that two sketches use estimates the Jaccard similarity of the sets of shingles.
+
+def prefix(found: np.ndarray, frequent: np.ndarray, alike: float = ALIKE) -> np.ndarray:
+    """The first shingles of a set in an order that all sets share, so many that two sets of ``alike`` or more share one of them.
+
+    frequent: hashes that come last, the rarest first. Others come in the order of their hashes.
     """
-    words = text.lower().split()
-    if not words:
-        return 0, 0, bytes(BINS)
-    seen = Counter(words)
-    one = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in seen), np.uint64, len(seen))
-    weight = np.fromiter(seen.values(), np.float32, len(seen)) ** 0.75
-    prints = []
-    for hashes in (one, B.mix(one)):
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-        prints.append(int(np.packbits(weight @ bits > weight.sum() / 2, bitorder="little").view(np.int64)[0]))
-    joined = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = (ends - np.diff(ends, prepend=0))[:n].tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a : b - 1]) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)], np.uint64)
-    least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, (hashes % np.uint64(BINS)).astype(np.int64), hashes // np.uint64(BINS))
-    used = least != np.iinfo(np.uint64).max
-    return prints[0], prints[1], np.where(used, least % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8).tobytes()
-
-
-def _sketches(df: DataFrame, id: str, text: str) -> DataFrame:
+    n = len(found)
+    if not n:
+        return found
+    keep = n - math.ceil(alike * n - 1e-9) + 1
+    if len(frequent):
+        order = np.argsort(frequent)
+        at = order[np.minimum(np.searchsorted(frequent, found, sorter=order), len(frequent) - 1)]
+        late = frequent[at] == found
+        found = np.concatenate([found[~late], frequent[np.sort(at[late])]])
+    return found[:keep]
+
+
+def _rows(df: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
+    """make(set) gives the arrays of the rows of one text, next to the given columns; the text is the column ``text``."""
+
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = [sketch(t.as_py() or b"") for t in part.column(1).cast(pa.large_binary())]
-            columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "one", "two", "sketch"])
+            found, sizes, held = [], [], 0
 
-    kind = df.schema[id].dataType.simpleString()
-    return df.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(batches, f"id {kind}, one bigint, two bigint, sketch binary")
+            def full():
+                rows = np.repeat(np.arange(done - len(found), done), sizes)
+                out = [pa.array(column) for column in (np.concatenate(c) for c in zip(*found, strict=True))]
+                return pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(rows)) for c in columns), *out], names=names)
 
+            done = 0
+            for one in shingle_sets(part.column("text").cast(pa.large_binary())):
+                found.append(make(one))
+                sizes.append(len(found[-1][0]))
+                held += sizes[-1]
+                done += 1
+                if held > 200_000:
+                    yield full()
+                    found, sizes, held = [], [], 0
+            if found:
+                yield full()
+
+    names = [f.split()[0] for f in schema.split(", ")]
+    return df.select(*columns, "text").mapInArrow(batches, schema)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of ``alike`` or more; sets: (node, shingles)."""
 
-def _similar(pairs: DataFrame, least: float) -> DataFrame:
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("x", "y"))
-            used, same = ((x > 0) | (y > 0)).sum(axis=1), ((x == y) & (x > 0)).sum(axis=1)
-            near = pa.array(same >= least * used)
+            near = []
+            for x, y in zip(part.column("x"), part.column("y"), strict=True):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(same >= alike * (len(x) + len(y) - same) - 1e-9)
+            near = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(c).filter(near) for c in ("a", "b")], names=["a", "b"])
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(batches, "a bigint, b bigint")
+    x, y = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in ("ax", "by"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(batches, "a bigint, b bigint")
+
+
+def _sized(a: str, b: str, alike: float) -> Column:
+    """Whether two sets that share their first common shingle at these places can reach ``alike``, by their sizes alone."""
+    left, right = F.col(f"{a}_size") - F.col(f"{a}_at"), F.col(f"{b}_size") - F.col(f"{b}_at")
+    return F.least(left, right) * (1 + alike) >= (F.col(f"{a}_size") + F.col(f"{b}_size")) * F.lit(alike) - 1e-6
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", alike: float = ALIKE) -> DataFrame:
-    """(id, component): classes of texts whose sets of five-word shingles have an estimated similarity of ``alike`` or more.
+    """(id, component): classes of texts linked by a Jaccard similarity of ``alike`` or more of their sets of five-word shingles.
 
-    Candidates share a deletion variant of one of two fingerprints of the weighted words, which edits of a few words
-    hardly change, and differ in APART bits at most; their sketches decide. Texts with one sketch are one node. The members
-    of a key with more than FEW of them are compared with its first and its last one: what is alike there becomes one
-    class, so a large group of near copies costs a comparison or two a member and key; others of the up to 128 keys of
-    a text join the rest.
+    Two such sets share one of the first (1 - alike) * size + 1 shingles of each, in any order of shingles; frequent ones
+    come last here. These are the join keys, and the shingles themselves decide, so no pair is missed or taken wrongly.
+    Texts with one set are one node. Members of a key with more than FEW are compared with one of them first, a round at a
+    time; members of one class need no further comparison, and after ROUNDS rounds all others of different classes are paired.
     """
-    found = cut(_sketches(df, id, text).withColumn("node", F.xxhash64("one", "two", "sketch")))
-    nodes = cut(found.groupBy("node").agg(F.min("id").alias("head"), F.first("one").alias("one"), F.first("two").alias("two"), F.first("sketch").alias("sketch")))
-    prints = nodes.select("node", F.explode(F.array(F.struct(F.lit(0).cast("byte").alias("t"), F.col("one").alias("fp")), F.struct(F.lit(1).cast("byte").alias("t"), F.col("two").alias("fp")))).alias("p")).select("node", "p.t", "p.fp")
-    keyed = prints.select("node", "fp", "t", variants(2).alias("k")).select("node", "fp", (F.col("k.bit") + 64 * F.col("t")).cast("short").alias("bit"), "k.rest")
-    own = F.struct("node", "fp")
-    shared = keyed.groupBy("bit", "rest").agg(F.count("*").alias("n"), F.min(own).alias("first"), F.max(own).alias("last")).where("n > 1")
-    members = cut(keyed.join(shared, ["bit", "rest"]))
+    docs = df.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
+    docs = docs.withColumn("row", F.xxhash64("id", "text"))
+    kind = df.schema[id].dataType.simpleString()
+    name = lambda s: (np.array([xxhash.xxh64_intdigest(s.tobytes())], np.uint64).view(np.int64),)
+    found = cut(_rows(docs, ["id", "row"], name, f"id {kind}, row bigint, node bigint"))
+    nodes = cut(found.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")).select("node", F.col("m.id").alias("head"), F.col("m.row").alias("row")))
+    copies = found.select("row").distinct().join(nodes.select("row"), "row", "left_anti")
+    single = without(docs, copies, "row")
+
+    each = _rows(single.where(F.pmod(F.xxhash64("row"), F.lit(SHARE)) == 0), [], lambda s: (s.view(np.int64),), "key bigint")
+    often = each.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN).orderBy(F.desc("n"), "key").limit(FREQUENT)
+    often = sorted((n, k) for k, n in often.collect())
+    frequent = np.array([k for _, k in often], np.int64).view(np.uint64)
+
+    def keys(s: np.ndarray) -> tuple:
+        first = prefix(s, frequent, alike)
+        return first.view(np.int64), np.full(len(first), int(xxhash.xxh64_intdigest(s.tobytes())), np.uint64).view(np.int64), np.full(len(first), len(s), np.int32), np.arange(len(first), dtype=np.int32)
+
+    keyed = _rows(single, [], keys, "key bigint, node bigint, size int, at int")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(keyed.join(shared, "key"))
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        rows = cut(nodes.join(ends, "node").select("row", F.col("node")))
+        rows = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+        texts = docs.join(rows, "row").select("node", "text")
+        whole = _rows(texts, ["node"], lambda s: (np.array([s.tobytes()], object),), "node bigint, shingles binary").dropDuplicates(["node"])
+        return cut(_verified(pairs, whole, alike))
+
+    def side(rows: DataFrame, x: str, *more: str) -> DataFrame:
+        return rows.select("key", F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("at").alias(f"{x}_at"), *(F.col(c).alias(f"{x}_{c}") for c in more))
+
     few = members.where(F.col("n") <= FEW)
-    left, right = (few.select("bit", "rest", F.col("node").alias(c), F.col("fp").alias(f"{c}_fp")) for c in "ab")
-    near = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= APART
-    pairs = left.join(right, ["bit", "rest"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
-    ends = members.where(F.col("n") > FEW).select(F.explode(F.array("first", "last")).alias("e"), F.col("node").alias("b"), F.col("fp").alias("b_fp"))
-    ends = ends.select(F.col("e.node").alias("a"), F.col("e.fp").alias("a_fp"), "b", "b_fp").where((F.col("a") != F.col("b")) & near)
-    pairs = pairs.unionByName(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    x, y = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x")), nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
-    roots = components(_similar(pairs.join(x, "a").join(y, "b"), alike))
+    pairs = side(few, "a").join(side(few, "b"), "key").where((F.col("a") < F.col("b")) & _sized("a", "b", alike)).select("a", "b")
+    edges = compare(pairs)
+    roots = components(edges)
+    crowded = members.where(F.col("n") > FEW).drop("n")
+    for turn in range(ROUNDS + 1):
+        of = roots.select(F.col("node").alias("_node"), "root")
+        crowded = crowded.drop("root").join(of, F.col("node") == F.col("_node"), "left").drop("_node").withColumn("root", F.coalesce("root", "node"))
+        apart = crowded.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "size", "at", "root")).alias("e")).where("least < most")
+        crowded = cut(crowded.join(apart.select("key", "e"), "key"))
+        if crowded.isEmpty():
+            break
+        if turn < ROUNDS:
+            pairs = side(crowded, "b", "root").join(apart.select("key", *(F.col(f"e.{c}").alias("a" if c == "node" else f"a_{c}") for c in ("node", "size", "at", "root"))), "key")
+        else:
+            pairs = side(crowded, "a", "root").join(side(crowded, "b", "root"), "key").where(F.col("a") < F.col("b"))
+        crowded = crowded.drop("e")
+        edges = cut(edges.unionByName(compare(pairs.where((F.col("a_root") != F.col("b_root")) & _sized("a", "b", alike)))))
+        roots = components(edges)
     named = nodes.select(F.col("node").alias("_node"), "head").join(roots, F.col("_node") == roots.node, "left").select("_node", "head", F.coalesce("root", "_node").alias("root"))
     least = named.groupBy("root").agg(F.min("head").alias("component"))
     of = named.join(least, "root").select("_node", "component")
