@@ -2,7 +2,9 @@
 
 import random
 
+import corpus_pipeline
 from factloom.llm import simhash
+from factloom.llm.tables import table
 
 
 def _shingles(text):
@@ -62,3 +64,11 @@ def test_rounds_of_a_crowd_change_nothing(spark, monkeypatch):
         monkeypatch.setattr(simhash, "ROUNDS", rounds)
         found = {r.id: r.component for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
         assert found == _classes(docs)
+
+
+def test_the_stage_keeps_what_brute_force_keeps(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    texts = [(r.doc_id, r.text) for r in docs.collect()] + [(10**6 + n, t) for n, t in enumerate(_crowd(9, 40))]
+    more = docs.unionByName(spark.createDataFrame(texts[-40:], "doc_id long, text string").selectExpr("*", "'en' AS lang", "'x' AS source", "length(text) AS n_chars"), allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, more, "").collect()}
+    assert kept == {i for i, least in _classes(texts).items() if i == least}
