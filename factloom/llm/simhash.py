@@ -85,7 +85,7 @@ def variants(radius: int) -> Column:
 def links(distinct: DataFrame, radius: int = 2, crowd: int = CROWD) -> DataFrame:
     """(a, b): pairs of different fingerprints whose links give the classes of all pairs within the radius.
 
-    distinct: column fp without repeats. radius: 2, or another where no key is crowded.
+    distinct: column fp without repeats. radius: 2, or another where no key is crowded; an error else.
     """
     keyed = distinct.select("fp", variants(radius).alias("k")).select("fp", "k.bit", "k.rest")
     shared = keyed.groupBy("bit", "rest").agg(F.count("*").alias("n")).where("n > 1")
@@ -95,6 +95,8 @@ def links(distinct: DataFrame, radius: int = 2, crowd: int = CROWD) -> DataFrame
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     pairs = left.join(right, ["bit", "rest"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     if radius != 2:
+        if not members.where(F.col("n") > crowd).isEmpty():
+            raise ValueError(f"keys of more than {crowd} fingerprints are linked at radius 2 only, not at {radius}")
         return pairs
     many = members.where(F.col("n") > crowd).select("fp").distinct()
     points = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit((1 << bit) - ((bit == 63) << 64))) for bit in range(BITS)]

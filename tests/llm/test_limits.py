@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 
-from factloom.llm import language_model
+from factloom.llm import language_model, simhash
 
 
 def test_a_word_of_more_than_65536_ids_is_scored_in_full(spark):
@@ -25,3 +26,10 @@ def test_a_word_of_more_than_65536_ids_is_scored_in_full(spark):
         assert i != 1 or len(ids) > 65_537
         expected = model.score(ids, np.array([0, len(ids)])).sum() + (len(words) + 1) * math.log10(1 - language_model.KNOWN)
         assert abs(found[i] - expected) < 1e-5 * abs(expected)
+
+
+def test_crowded_keys_at_other_radii_are_an_error(spark):
+    prints = spark.createDataFrame([(1 << n,) for n in range(20)], "fp long")
+    with pytest.raises(ValueError, match="radius"):
+        simhash.links(prints, 4, 3)
+    assert simhash.links(prints, 4, 64).count() == 190
