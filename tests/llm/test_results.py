@@ -14,7 +14,7 @@ import public_tokenizers
 import xxhash
 from tokenizers import Tokenizer
 
-from factloom.llm import bpe, components, imatch, language_id, language_model, license_scan, packing, quality_model, quality_rules, simhash, substring_dedup
+from factloom.llm import bpe, components, imatch, language_id, language_model, license_scan, near_copies, packing, quality_model, quality_rules, simhash, substring_dedup
 from factloom.llm.tables import table
 
 SF = "/root/testdata/sf0.001"
@@ -132,7 +132,7 @@ def test_near_duplicates_are_caught_and_others_left_alone(spark):
         base[rng.randrange(200)] = "changed"
         docs.append((3 * i + 1, " ".join(base)))
         docs.append((3 * i + 2, " ".join(base)))
-    found = {r.id: r.component for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = {r.id: r.component for r in near_copies.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert all(found[3 * i] == 3 * i and found[3 * i + 2] == found[3 * i + 1] for i in range(60))
     assert sum(found[3 * i + 1] == 3 * i for i in range(60)) >= 57
 
