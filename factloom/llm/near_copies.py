@@ -38,7 +38,7 @@ FEW, ROUNDS = 32, 3
 #: Shingles found SEEN times or more in one of SHARE texts come last in the order of shingles; at most FREQUENT of them.
 SHARE, SEEN, FREQUENT = 8, 3, 200_000
 #: Packed keys of a hash range, of ENTRY bytes each.
-RANGE_BYTES, ENTRY = 24 << 20, 24
+RANGE_BYTES, ENTRY = 8 << 20, 24
 #: Counters of a set's sketch.
 COUNTERS = 64
 
@@ -159,7 +159,7 @@ def _keys(single: DataFrame, order: Order, alike: float, ranges: int) -> DataFra
                 names.append(_name(s))
                 sizes.append(len(s))
                 held += len(found[-1])
-                if held > 1_000_000:
+                if held > 200_000:
                     yield pack(found)
                     found, held = [], 0
                     names.clear()

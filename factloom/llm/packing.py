@@ -1,8 +1,8 @@
 """Packing of token ids into sequences of a fixed capacity by first-fit decreasing with a tournament tree.
 
 1. Tasks encode whole texts; an id marks the end of each document. Words are encoded once per task and looked up.
-2. Documents are dealt into randomised groups by a hash of their id; a group is a few thousand documents however many
-   there are, so a tournament tree of bin capacities (the root holds the most room; descend to the first bin with
+2. Documents are dealt into randomised groups by a hash of their id; a group is a few thousand documents, fewer if they are
+   long, so a tournament tree of bin capacities (the root holds the most room; descend to the first bin with
    enough) packs it in O(n log n).
 3. Pieces as long as the capacity are sequences of their own; the rest is packed in decreasing order. Then the emptiest
    bins are dissolved: their pieces are cut to fill the gaps of the others, so a group has one partly filled
@@ -33,15 +33,16 @@ from factloom.llm.tables import table
 CAPACITY = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Documents of a group; groups are made of rows, so their number follows the input.
-GROUP_DOCS = 2048
+#: Documents and bytes of text of a group at most on average; the number of groups follows the input.
+GROUP_DOCS, GROUP_BYTES = 2048, 16 << 20
 #: Words that a task remembers before it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 WORDS_A_CALL = 32
-_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 _CUT = re.compile(r"[^\S\x1c-\x1f]+")
+#: A word of Latin letters whose lower case has as many letters, and the ASCII punctuation after it; or any other word.
+_LETTERS = re.compile(r"(?m)^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)$|.*$)")
 
 
 class WordEncoder:
@@ -76,23 +77,19 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         """Letters and the ASCII punctuation after them are words of their own to the tokenizer."""
-        known, tails, cut, odd, cores = self.known, self.tails, [], [], set()
-        for word in words:
-            core = word.rstrip(_TAIL)
-            tail = word[len(core) :]
-            if core.isascii():
-                core = core.lower()
-            if core.isalpha() and len(core.lower()) == len(core) and (tail in tails or len(tails) < 1000):
-                cut.append((word, core, tail))
-                if core not in known:
-                    cores.add(core)
-                if tail not in tails:
-                    tails[tail] = self._encode([tail])[0].tobytes()
-            else:
-                odd.append(word)
+        known, tails, odd = self.known, self.tails, []
+        cut = _LETTERS.findall("\n".join(words))  # one for each word, empty if it is of another form
+        low = "\n".join([core for core, _ in cut]).lower().split("\n")
+        tails.update((tail, self._encode([tail])[0].tobytes()) for tail in {t for _, t in cut}.difference(tails) if len(tails) < 1000)
+        cores = set(low).difference(known)
+        cores.discard("")
         self._letters(list(cores))
         self.late += cores if self.late else ()
-        known.update((word, known[core] + tails[tail]) for word, core, tail in cut)
+        for word, core, (_, tail) in zip(words, low, cut, strict=True):
+            if core and tail in tails:
+                known[word] = known[core] + tails[tail]
+            else:
+                odd.append(word)
         known.update((w, x.tobytes()) for w, x in zip(odd, self._encode(odd), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -104,7 +101,8 @@ class WordEncoder:
             if len(known) > REMEMBERED:  # the first words stay, they are the frequent ones; rare ones come and go
                 self.late += new
             self._learn(new)
-        ids = [b"".join([known[w] for w in ws]) for ws in split]
+        found = known.__getitem__
+        ids = [b"".join(map(found, ws)) for ws in split]
         if len(self.late) > REMEMBERED // 2:
             for word in self.late:
                 known.pop(word, None)
@@ -214,10 +212,12 @@ def pack_documents(df: DataFrame, id: str = "doc_id", text: str = "text", path:
     A sequence is padded from the end of its last piece. sequence_id holds the group in its upper bits.
     """
     path = path or public_tokenizers.path(TOKENIZER)
-    groups = max(1, math.ceil(df.count() / GROUP_DOCS))
+    rows, size = df.agg(F.count("*"), F.sum(F.octet_length(F.col(text).cast("string")))).first()
+    groups = max(1, math.ceil(rows / GROUP_DOCS), math.ceil((size or 0) / GROUP_BYTES))
     ids = encode(df, id, text, path, end)
     # As text: pandas would make floats of ids that are null here and there.
-    dealt = ids.withColumn("id", F.col("id").cast("string")).withColumn("group", F.pmod(F.xxhash64("id", F.crc32("ids"), F.lit(11)), F.lit(groups)))
+    # Rows count in the deal too, so that equal rows, or rows without an id, are spread.
+    dealt = ids.withColumn("id", F.col("id").cast("string")).withColumn("group", F.pmod(F.xxhash64("id", F.monotonically_increasing_id(), F.lit(11)), F.lit(groups)))
 
     def apply(group: pd.DataFrame) -> pd.DataFrame:
         held = [np.frombuffer(x, np.uint16) for x in group["ids"]]

@@ -5,7 +5,7 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -53,7 +53,7 @@ def test_word_encoder_equals_the_library():
     path = public_tokenizers.path(packing.TOKENIZER)
     library, own = Tokenizer.from_file(path), packing.WordEncoder(path)
     rng = random.Random(3)
-    letters = "ab'sté ÉΣσς  \u0085\x1c\x1f​İß10٣中文😀!_-<|endoftext|>\n\t\v"
+    letters = "ab'sté ÉΣσς  \u0085\x1c\x1fßÀöÿªKİ​İß10٣中文😀!_-<|endoftext|>\n\t\v"
     for _ in range(3000):
         text = "".join(rng.choice(letters) for _ in range(rng.randrange(30)))
         assert np.frombuffer(own.ids([text])[0], np.uint16).tolist() == library.encode(text, add_special_tokens=False).ids
@@ -61,14 +61,38 @@ def test_word_encoder_equals_the_library():
 
 def test_packing_holds_every_id_once(spark, corpora):
     library = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    pieces = packing.query(spark, corpora["hard"]).where("doc_id = 7 or doc_id is null or doc_id = 0").collect()
-    text = dict(_texts(spark, corpora["hard"]))[7]
-    ids, at = library.encode(text, add_special_tokens=False).ids + [2], 0
-    for p in sorted((p for p in pieces if p.doc_id == 7), key=lambda p: p.start):
-        assert p.start == at and p.doc_tokens == len(ids)
-        assert p.ids_crc32 == zlib.crc32(np.array(ids[at : at + p.length], "<u4").tobytes())
-        at += p.length
-    assert at == len(ids)
+    library.no_truncation()
+    library.no_padding()
+    pieces = packing.query(spark, corpora["hard"]).collect()
+    expected, found, rows = Counter(), Counter(), defaultdict(list)
+    for p in pieces:
+        rows[p.doc_id, p.doc_tokens].append(p)
+    for doc, text in _texts(spark, corpora["hard"]):
+        ids = np.array(library.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        spans = {(p.start, p.length): p.ids_crc32 for p in rows[doc, len(ids)]}
+        assert all(crc == zlib.crc32(ids[a : a + n].tobytes()) for (a, n), crc in spans.items()) or doc is None
+        expected.update((doc, len(ids), i) for i in range(len(ids)))
+    for p in pieces:
+        assert (p.doc_id, p.doc_tokens, p.start) in expected and 0 < p.length <= 4096
+        found.update((p.doc_id, p.doc_tokens, i) for i in range(p.start, p.start + p.length))
+    assert found == +expected  # each id of each row in exactly one piece
+    sequences = defaultdict(list)
+    for p in pieces:
+        sequences[p.sequence_id].append((p.offset, p.length))
+    for held in sequences.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert sum(sum(n for _, n in held) < 4096 for held in sequences.values()) == 1
+
+
+def test_equal_rows_are_dealt_into_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_DOCS", 50)
+    pieces = packing.pack_documents(spark.range(1000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'the same text' AS text")).collect()
+    groups = Counter(p.sequence_id >> 32 for p in pieces)
+    assert len(groups) == 20 and max(groups.values()) < 120
 
 
 def test_pack_leaves_one_gap_at_most():
