@@ -115,13 +115,18 @@ def verdict(rules=RULES) -> tuple[Column, Column]:
     return F.size(names) == 0, names
 
 
+#: What apply_rules adds.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_stop_words", "n_echo_words", "n_repeat_words", "base_failed", "broken_rules", "kept")
+
+
 def apply_rules(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """The table with its measures, base_failed, broken_rules and kept."""
+    """The table with its measures, base_failed, broken_rules and kept; these replace columns of the same names."""
     good, names = verdict(rules)
-    df = measures(df, text)
+    found = measures(df.select(F.struct(*df.columns).alias("_row"), F.col(text).cast("string").alias("_text")), "_text")
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    df = df.withColumns({"base_failed": base, "broken_rules": names})
-    return df.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
+    found = found.withColumns({"base_failed": base, "broken_rules": names})
+    found = found.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
+    return found.select(*(F.col(f"_row.`{c}`") for c in df.columns if c not in ADDED), *ADDED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -247,12 +247,16 @@ def digests(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     return mark(df, finish, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string", id, text).select(_named(id), "n_words", "n_removed", "kept_sha256")
 
 
-def remove(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove(df: DataFrame, id: str = "doc_id", text: str = "text", removed: str = "n_removed") -> DataFrame:
     """The table with repeated passages cut out of its texts; a text that loses nothing stays as it is, white space too.
 
-    n_removed says how many words went; where words stand between cuts, the white space before the first stays.
+    The column ``removed`` says how many words went and replaces one of that name; where words stand between cuts, the white
+    space before the first stays.
     """
-    carry = tuple(c for c in df.columns if c not in (id, text))
+    columns_in = [c for c in df.columns if c != removed or c in (id, text)]
+    names = {c: f"_c{i}" for i, c in enumerate(columns_in) if c not in (id, text)}  # no name that the blocks use
+    df = df.select(F.col(id).alias("_id"), F.col(text).alias("_text"), *(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    carry = tuple(names.values())
 
     def finish(part: pd.DataFrame, data, starts, ends, rows, gone) -> pd.DataFrame:
         texts, lost = [], []
@@ -269,7 +273,8 @@ def remove(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
 
     types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
     columns = "id bigint, text string" + (f", {types}" if types else "") + ", n_removed bigint"
-    return mark(df, finish, columns, id, text, carry).select(*[_named(id) if c == id else F.col(c).alias(c) for c in (id if c == id else "text" if c == text else c for c in df.columns)], "n_removed")
+    found = mark(df, finish, columns, "_id", "_text", carry)
+    return found.select(*(_named(id) if c == id else F.col("text").alias(text) if c == text else F.col(names[c]).alias(c) for c in columns_in), F.col("n_removed").alias(removed))
 
 
 def _piece(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: int, a: int, b: int) -> bytes:

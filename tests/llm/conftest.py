@@ -25,7 +25,7 @@ def _write(spark, base, docs, labels, pages, extra=False):
     frames = {"documents": spark.createDataFrame(docs, DOC), "labels": spark.createDataFrame(labels, LABEL), "pages": spark.createDataFrame(pages, PAGE)}
     for name, frame in frames.items():
         if extra:
-            for column in ("id", "block", "n", "fp", "score", "word", "_w", "group", "path", "keys", "row"):
+            for column in ("id", "block", "n", "fp", "score", "word", "_w", "group", "path", "keys", "row", "n_words", "n_removed", "kept", "document", "_row", "_text", "_c1", "size", "sketch"):
                 if column not in frame.columns:
                     frame = frame.selectExpr("*", f"'clash' AS `{column}`")
         frame.write.parquet(f"{base}/{name}.parquet")

@@ -35,3 +35,16 @@ def test_hard_cases_keep_every_row_and_ignore_other_columns(spark, corpora, name
 def test_the_pipeline_runs(spark, corpora, corpus):
     found = corpus_pipeline.run(spark, corpora[corpus])
     assert (found.count() > 0) == (corpus == "hard")
+
+
+def test_the_pipeline_ignores_other_columns(spark, corpora):
+    tokens = lambda corpus: Counter((r.doc_id, r.n) for r in corpus_pipeline.run(spark, corpora[corpus]).groupBy("doc_id").agg({"length": "sum"}).toDF("doc_id", "n").collect())
+    assert tokens("extra") == tokens("hard")
+
+
+def test_stages_keep_other_columns_as_they_are(spark, corpora):
+    docs = spark.read.parquet(f"{corpora['extra']}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, corpora["extra"])
+        assert found.columns == docs.columns, name
+        assert found.where("n_words = 'clash' AND n_removed = 'clash' AND block = 'clash'").count() == found.count() > 0
