@@ -10,6 +10,10 @@ checkpoint folder.
 4. substring_dedup: 13-word passages that start in a document with a smaller doc_id too are cut out of the texts; a
    document that loses all its words goes. Other texts stay as they are.
 5. packing: pieces of token ids in sequences of 4096.
+
+Defined results: null and empty texts fail the base rule and go; of repeated rows, of rows with equal texts and of near
+copies one stays, that of the smallest id, and a row without an id stays; documents without an id are cut after all others;
+an empty table gives no rows; more columns, whatever their names, come along through all stages but the last.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ from factloom.llm.tables import checkpoint_dir, table, without
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_rules(docs).where("kept").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("document"), "text")
+    return quality_rules.apply_rules(whole).where("kept").select("document.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +43,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring_dedup.remove(docs)
-    cut = cut.where((F.col("n_removed") == 0) | (F.col("text") != ""))
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    lost = "_" * max(map(len, docs.columns)) + "lost"  # a name that no column has
+    cut = substring_dedup.remove(docs, removed=lost)
+    cut = cut.where((F.col(lost) == 0) | (F.col("text") != ""))
+    n_chars = F.when(F.col(lost) > 0, F.length("text")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
