@@ -5,9 +5,9 @@
    sets keep. Frequent shingles come last, so these prefixes are rare shingles. They are the keys; a task packs its keys by
    hash range, and a range hands on those that two nodes have.
 3. A key of FEW nodes at most is paired in full. The nodes of others are compared with one of them in each round, its head.
-   Heads are chosen by one order of all nodes, so nodes that share many keys meet once. Components of the found pairs are
-   classes; keys within one class are done.
-4. What is apart after ROUNDS rounds meets under two shared shingles instead of one, which all similar pairs have too, and is paired in full there.
+   Heads are chosen by one order of all nodes, so nodes that share many keys meet once; keys with the same nodes are one
+   key. Components of the found pairs are classes; keys within one class are done.
+4. The nodes of a key that are apart after ROUNDS rounds meet in tiles, where numpy bounds all their pairs.
 
 Candidates pass a bound from 64 small counters a set before the sets themselves decide, so no pair is missed or taken wrongly.
 
@@ -39,6 +39,8 @@ FEW, ROUNDS = 32, 3
 SHARE, SEEN, FREQUENT = 8, 3, 200_000
 #: Packed keys of a hash range, of ENTRY bytes each.
 RANGE_BYTES, ENTRY = 8 << 20, 24
+#: Nodes of a key that meet as many in one task.
+TILE = 512
 #: Counters of a set's sketch.
 COUNTERS = 64
 
@@ -70,12 +72,12 @@ class Order:
         at = np.minimum(np.searchsorted(self.sorted, found), len(self.sorted) - 1)
         return self.sorted[at] == found, self.rank[at]
 
-    def prefix(self, found: np.ndarray, alike: float = ALIKE, common: int = 1) -> np.ndarray:
-        """The first shingles of a sorted set, so many that two sets of ``alike`` or more share ``common`` of them."""
+    def prefix(self, found: np.ndarray, alike: float = ALIKE) -> np.ndarray:
+        """The first shingles of a sorted set, so many that two sets of ``alike`` or more share one of them."""
         late, at = self.places(found)
         if late.any():
             found = np.concatenate([found[~late], self.frequent[np.sort(at[late])]])
-        return found[: len(found) - math.ceil(alike * len(found) - 1e-9) + common]
+        return found[: len(found) - math.ceil(alike * len(found) - 1e-9) + 1]
 
 
 def _name(found: np.ndarray) -> int:
@@ -183,30 +185,32 @@ def _keys(single: DataFrame, order: Order, alike: float, ranges: int) -> DataFra
     return packed.groupBy("range").applyInPandas(shared, "key bigint, node bigint, size int, at int")
 
 
-def _sub_keys(rest: DataFrame, texts: DataFrame, order: Order, alike: float) -> DataFrame:
-    """(key, node, size, at) where a key is two shingles: one of ``rest`` and another of the node's longer prefix."""
-    names = ["key", "node", "size", "at"]
+def _within(rest: DataFrame, nodes: DataFrame, alike: float) -> DataFrame:
+    """(a, b) of each key whose sizes, places and sketches leave open that they are similar, and whose classes differ.
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            sets = shingle_sets(part.column("text").cast(pa.large_binary()))
-            for node, keys, s in zip(part.column("node").to_pylist(), part.column("keys"), sets, strict=True):
-                first = order.prefix(s, alike, 2)
-                own = np.array(keys.values.to_numpy(), np.int64).view(np.uint64)
-                mine = np.isin(first, own)
-                for at in np.flatnonzero(mine).tolist():
-                    other = np.ones(len(first), bool)
-                    other[: at + 1] = ~mine[: at + 1]  # two keys of ``rest`` make one pair
-                    low, high = np.minimum(first[at], first[other]), np.maximum(first[at], first[other])
-                    both = B.mix(low ^ B.mix(high)).view(np.int64)
-                    n = len(both)
-                    place = np.minimum(at, np.flatnonzero(other)).astype(np.int32)  # of the first of the two
-                    yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(np.full(n, node, np.int64)), pa.array(np.full(n, len(s), np.int32)), pa.array(place)], names=names)
-
-    held = rest.groupBy("node").agg(F.collect_set("key").alias("keys"))  # as many as the prefix has at most
-    found = texts.join(held, "node").select("node", "keys", "text").mapInArrow(batches, "key bigint, node bigint, size int, at int")
-    shared = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return found.join(shared.select("key"), "key")
+    A key's nodes are dealt into parts of about TILE, and each two parts meet in a task of their own, so no task holds a
+    whole key and no pair is a row before its bound is known.
+    """
+    counts = rest.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    rows = rest.join(counts, "key").join(nodes.select("node", "sketch"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    rows = rows.select("key", "node", "size", "at", "root", "sketch", "part", other).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+
+    def pairs(tile: pd.DataFrame) -> pd.DataFrame:
+        x, y = (tile[tile["part"] == tile[c].iloc[0]] for c in ("low", "high"))
+        counts = [np.array([_counts(s) for s in side["sketch"]]).reshape(-1, COUNTERS) for side in (x, y)]
+        of = lambda side, c: side[c].to_numpy(np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for i in range(len(x)):
+            need = _enough(alike, of(x, "size")[i], of(y, "size"))
+            left = np.minimum(of(x, "size")[i] - of(x, "at")[i], of(y, "size") - of(y, "at"))
+            j = np.flatnonzero((left >= need) & (of(y, "root") != of(x, "root")[i]) & (of(y, "node") != of(x, "node")[i]))
+            j = j[np.minimum(counts[0][i], counts[1][j]).sum(axis=1) >= need[j]]
+            found.append((np.full(len(j), of(x, "node")[i]), of(y, "node")[j]))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*found, strict=True) if found else ((), ())))
+        return pd.DataFrame({"a": a, "b": b})
+
+    return rows.groupBy("key", "low", "high").applyInPandas(pairs, "a bigint, b bigint")
 
 
 def _enough(alike: float, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
@@ -289,30 +293,33 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", alike
         return rows.drop("root").join(roots, F.col("node") == F.col("_node"), "left").drop("_node").withColumn("root", F.coalesce("root", "node"))
 
     def spread(rows: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rounds over keys; (the rows of keys that hold several classes still, the pairs found so far)."""
+        """Pairs keys of few nodes, and compares heads of others; (the rows of keys that hold several classes still, pairs)."""
+        counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("same")).where("n > 1")
+        # Of keys with the same nodes one stays, where each node has its first place: near copies share most of their keys.
+        one = counts.groupBy("same", "n").agg(F.min("key").alias("one"))
+        rows = rows.join(counts.join(one, ["same", "n"]).select("key", "one", "n"), "key").drop("key")
+        rows = rows.groupBy(F.col("one").alias("key"), "node").agg(*(F.min(c).alias(c) for c in ("at", "size", "root", "n")))
+        rows = cut(rows)
+        edges = more(edges, pairs_of(rows.where(F.col("n") <= FEW)))
+        rows = rows.where(F.col("n") > FEW).drop("n")
         for turn in range(ROUNDS + 1):
             rows = rooted(rows, edges)
             first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "at", "root")).alias("e")
-            apart = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), first).where("least < most")
-            rows = cut(rows.join(apart.select("key", "e"), "key"))
+            apart = cut(rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), first).where("least < most").select("key", "e"))
+            rows = cut(rows.join(apart.select("key"), "key"))
             if turn == ROUNDS or rows.isEmpty():
                 break
             pairs = side(rows, "b").join(apart.select("key", F.col("e.node").alias("a"), F.col("e.size").alias("a_size"), F.col("e.at").alias("a_at"), F.col("e.root").alias("a_root")), "key")
-            near = compare(pairs.where((F.col("a_root") != F.col("b_root")) & _sized(alike)))
-            edges = cut(edges.unionByName(near))
-            rows = rows.drop("e")
-        return rows.drop("e"), edges
-
-    counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(members.join(counts, "key"))
-    few = members.where(F.col("n") <= FEW).withColumn("root", F.col("node"))
-    edges = compare(pairs_of(few))
-    rest, edges = spread(members.where(F.col("n") > FEW).drop("n"), edges)
+            edges = more(edges, pairs.where((F.col("a_root") != F.col("b_root")) & _sized(alike)))
+        return rows, edges
+
+    def more(edges: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        near = compare(pairs)
+        return near if edges is None else cut(edges.unionByName(near))
+
+    rest, edges = spread(members.withColumn("root", F.col("node")), None)
     if not rest.isEmpty():
-        texts = texts_of(rest.select("node").distinct()).dropDuplicates(["node"])
-        rest, edges = spread(cut(_sub_keys(rest, texts, order, alike)), edges)
-        if not rest.isEmpty():
-            edges = cut(edges.unionByName(compare(pairs_of(rest))))
+        edges = more(edges, _within(rest, nodes, alike))
     named = rooted(nodes.select("node", "head"), edges)
     least = named.groupBy("root").agg(F.min("head").alias("component"))
     of = named.join(least, "root").select(F.col("node").alias("_node"), "component")
