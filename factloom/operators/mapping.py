@@ -1,4 +1,4 @@
-"""Bodies to definitions, selected graphs with their frontier, and ordered queues."""
+"""Bodies to definitions, selected graphs with their frontier, and the last events of a key."""
 
 from __future__ import annotations
 
@@ -39,19 +39,6 @@ def frontier(nodes: DataFrame, relations: DataFrame, max_nodes: int) -> DataFram
     return rows.select("source_id", F.col("id").alias("relation_id"), reason.alias("reason")).where("reason is not null")
 
 
-def queue(jobs: DataFrame, limit: int) -> DataFrame:
-    """The waiting jobs in the order in which they run: by priority, then age; of equal requests the oldest stands for all.
-
-    jobs: job_id, profile, request, priority (foreground, workspace or background), sequence. A newer request of a
-    profile supersedes the profile's older ones.
-    """
-    first = jobs.groupBy("profile", "request").agg(F.min(F.struct("sequence", "job_id", "priority")).alias("j"), F.max("sequence").alias("newest"))
-    rank = F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("newest")))
-    order = F.when(F.col("priority") == "foreground", 0).when(F.col("priority") == "workspace", 1).otherwise(2)
-    rows = first.withColumn("rank", rank).where("rank = 1").select("profile", "request", "j.*").withColumn("level", order)
-    return rows.orderBy("level", "sequence", "job_id").limit(limit).select("job_id", "profile", "request", "priority", "sequence")
-
-
 def last_events(events: DataFrame, key: str, order: str, k: int = 32) -> DataFrame:
     """The last k events of each key: a ring buffer."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 
 #: Reasons for gaps, in the order in which answers list them.
 REASONS = (
-    "dependency_unavailable", "missing_dependency", "macro_unavailable", "cfg_unknown", "indirect_target_unknown", "external_boundary", "syntax_only", "unsupported",
+    "missing_dependency", "cfg_unknown", "macro_unavailable", "indirect_target_unknown", "external_boundary",
+    "unsupported_construct", "budget_exhausted", "analysis_failed", "artifact_mismatch", "syntax_only",
 )
 
 
@@ -25,7 +26,7 @@ class Envelope:
 def bounded(df: DataFrame, limit: int) -> tuple[DataFrame, Envelope]:
     """At most ``limit`` rows of an ordered result, and whether more were there."""
     more = df.limit(limit + 1).count() > limit
-    return df.limit(limit), Envelope("partial" if more else "complete", truncated=more)
+    return df.limit(limit), Envelope(truncated=more)
 
 
 def of_unknowns(counts: DataFrame) -> Envelope:

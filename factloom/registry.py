@@ -417,7 +417,7 @@ def retention_bytes(spark, d):
     return retention_plan(spark, d).groupBy("reasons").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
-# Mapping, frontier and queues
+# Mapping and frontier
 
 
 @_query("""
@@ -438,15 +438,6 @@ def unknown_frontier(spark, d):
     return mapping.frontier(read(spark, d, "v_definitions").where("kind = 'function'"), read(spark, d, "v_relations"), 150)
 
 
-@_query("""
-WITH g AS (SELECT profile, request, min(sequence) AS sequence, max(sequence) AS newest FROM v_jobs GROUP BY profile, request),
-n AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY newest DESC) AS r FROM g)
-SELECT j.job_id, j.profile, j.request, j.priority, j.sequence FROM n JOIN v_jobs AS j ON j.sequence = n.sequence WHERE r = 1
-ORDER BY CASE j.priority WHEN 'foreground' THEN 0 WHEN 'workspace' THEN 1 ELSE 2 END, j.sequence LIMIT 16""")
-def job_queue(spark, d):
-    return mapping.queue(read(spark, d, "v_jobs"), 16)
-
-
 @_query("""
 SELECT stream_id, sequence, kind FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY sequence DESC) AS r FROM v_streams) WHERE r <= 32""")
 def event_ring(spark, d):

@@ -13,10 +13,16 @@ class Conflict(Exception):
 
 
 def digest(df: DataFrame) -> str:
-    """A digest of the rows whatever their order: the sum of 64-bit row hashes twice, and the number of rows."""
+    """A digest of the rows whatever their order: sums of the quarters of each row's SHA-256, and the number of rows.
+
+    A row's values stand with their lengths in the order of the column names, a null with none, so it differs from any value.
+    """
     columns = sorted(df.columns)
-    sums = [F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")).cast("string") for seed in (1, 2)]
-    one = df.agg(F.sha2(F.concat_ws("|", F.lit("facts-1"), F.lit(",".join(columns)), F.count("*").cast("string"), *sums), 256)).first()
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    row = F.sha2(F.concat(F.lit("row"), *(F.coalesce(F.concat(F.octet_length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in columns)), 256)
+    quarters = [F.sum(F.conv(F.substring("row", at, 16), 16, 10).cast("decimal(38,0)")).cast("string") for at in (1, 17, 33, 49)]
+    sums = [F.coalesce(q, F.lit("0")) for q in quarters]
+    one = df.select(row.alias("row")).agg(F.sha2(F.concat_ws("|", F.lit("facts-2"), F.lit(",".join(columns)), F.count("*").cast("string"), *sums), 256)).first()
     return one[0]
 
 

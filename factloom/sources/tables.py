@@ -60,9 +60,6 @@ SELECT concat('part:', CAST(p_partkey AS STRING)) AS id, p_partkey % 50 AS file_
        (p_partkey * 37) % 1000 + p_size * 10 AS stop, CASE WHEN p_partkey % 11 = 0 THEN 'inactive' ELSE 'active' END AS cfg_status FROM part""",
     "v_bodies": """
 SELECT c_custkey AS body_id, c_custkey % 50 AS file_id, (c_custkey * 13) % 1000 AS start, (c_custkey * 13) % 1000 + c_custkey % 40 AS stop FROM customer""",
-    "v_jobs": """
-SELECT o_orderkey AS job_id, o_custkey % 40 AS profile, o_orderstatus AS request, o_orderkey AS sequence,
-       CASE WHEN o_orderpriority LIKE '1%' THEN 'foreground' WHEN o_orderpriority LIKE '2%' THEN 'workspace' ELSE 'background' END AS priority FROM orders""",
     "v_snapshots": """
 SELECT o_orderkey AS snapshot_id, o_custkey % 20 AS repository_id, o_orderpriority AS context_id, o_orderkey AS sequence,
        o_orderdate AS published_at, CAST(floor(o_totalprice) AS BIGINT) AS bytes, o_orderstatus AS status FROM orders""",

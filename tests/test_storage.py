@@ -47,8 +47,14 @@ def test_a_watch_writes_only_what_changed(spark, tmp_path):
 
 def test_envelopes(spark):
     rows, said = bounded(spark.range(5).orderBy("id"), 3)
-    assert rows.count() == 3 and said.truncated and said.coverage == "partial"
+    assert rows.count() == 3 and said.truncated and said.coverage == "complete"
     assert not bounded(spark.range(3).orderBy("id"), 3)[1].truncated
     counts = spark.createDataFrame([("syntax_only", 4), ("missing_dependency", 2)], "reason string, n long")
     assert of_unknowns(counts).reasons == [("missing_dependency", 2), ("syntax_only", 4)]
     assert of_unknowns(counts.limit(0)).coverage == "complete"
+
+
+def test_a_digest_tells_nulls_and_columns_apart(spark):
+    rows = lambda a, b: spark.createDataFrame([(1, a, b)], "i int, a string, b string")
+    found = [snapshots.digest(rows(*x)) for x in (("x", None), (None, "x"), ("x", ""), ("", "x"), (None, None), ("-", None))]
+    assert len(set(found)) == len(found)
