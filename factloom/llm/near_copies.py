@@ -7,7 +7,8 @@
 3. A key of FEW nodes at most is paired in full. The nodes of others are compared with one of them in each round, its head.
    Heads are chosen by one order of all nodes, so nodes that share many keys meet once; keys with the same nodes are one
    key. Components of the found pairs are classes; keys within one class are done.
-4. The nodes of a key that are apart after ROUNDS rounds meet in tiles, where numpy bounds all their pairs.
+4. Of a key that is apart after ROUNDS rounds, nodes outside its largest class, or those that another key of more nodes
+   lacks, meet its nodes in tiles, where numpy bounds the pairs.
 
 Candidates pass a bound from 64 small counters a set before the sets themselves decide, so no pair is missed or taken wrongly.
 
@@ -39,8 +40,8 @@ FEW, ROUNDS = 32, 3
 SHARE, SEEN, FREQUENT = 8, 3, 200_000
 #: Packed keys of a hash range, of ENTRY bytes each.
 RANGE_BYTES, ENTRY = 8 << 20, 24
-#: Nodes of a key that meet as many in one task.
-TILE = 512
+#: Nodes of a key that meet as many in one task: their counters are some megabytes.
+TILE = 2048
 #: Counters of a set's sketch.
 COUNTERS = 64
 
@@ -188,29 +189,51 @@ def _keys(single: DataFrame, order: Order, alike: float, ranges: int) -> DataFra
 def _within(rest: DataFrame, nodes: DataFrame, alike: float) -> DataFrame:
     """(a, b) of each key whose sizes, places and sketches leave open that they are similar, and whose classes differ.
 
-    A key's nodes are dealt into parts of about TILE, and each two parts meet in a task of their own, so no task holds a
-    whole key and no pair is a row before its bound is known.
+    Some nodes of a key ask, all of them answer. Two ways say who has to ask: those outside the key's largest class, or,
+    where the key has an upper key of more nodes, those that aren't nodes of it: two nodes that share the upper key meet
+    there. The way of fewer nodes is taken. Askers and answerers are dealt into parts of about TILE, and each two parts
+    meet in a task of their own, so no task holds a whole key and no pair is a row before its bound is known.
     """
-    counts = rest.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    rows = rest.join(counts, "key").join(nodes.select("node", "sketch"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    rows = rows.select("key", "node", "size", "at", "root", "sketch", "part", other).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    classes = rest.groupBy("key", "root").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+    keys = cut(classes.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root"))["root"].alias("main"), F.min("node").alias("node")))
+    # The upper key of a key is the largest one of its least node; the order of (n, key) has no cycles.
+    top = rest.select("key", "node").join(keys.select("key", "n"), "key").groupBy("node").agg(F.max(F.struct("n", "key"))["key"].alias("upper"))
+    keys = keys.join(top, "node").select("key", "n", "main", F.when(F.col("upper") != F.col("key"), F.col("upper")).alias("upper"))
+    # In an upper key nodes meet that have an earlier shingle in common, so their places there bound nothing.
+    uppers = keys.where("upper is not null").select(F.col("upper").alias("key"), F.lit(0).alias("first")).distinct()
+    keys = keys.join(uppers, "key", "left")
+    there = rest.select(F.col("key").alias("upper"), "node", F.lit(True).alias("there"))
+    rows = rest.join(keys, "key").join(there, ["upper", "node"], "left")
+    rows = cut(rows.select("key", "node", "size", F.coalesce("first", "at").alias("at"), "root", "n", F.col("there").isNull().alias("lone"), (F.col("root") != F.col("main")).alias("minor")))
+    ways = rows.groupBy("key").agg(F.count_if("lone").alias("lones"), F.count_if("minor").alias("minors"))
+    rows = rows.join(ways, "key").withColumn("asks", F.when(F.col("lones") <= F.col("minors"), F.col("lone")).otherwise(F.col("minor")))
+    rows = rows.withColumns({"askers": F.ceil(F.least("lones", "minors") / TILE).cast("int"), "parts": F.ceil(F.col("n") / TILE).cast("int")}).where("askers > 0")
+    rows = rows.join(nodes.select("node", "sketch"), "node")
+
+    def dealt(part: DataFrame, asking: bool) -> DataFrame:
+        own, other = ("asker", "part") if asking else ("part", "asker")
+        of = {"part": F.col("parts"), "asker": F.col("askers")}
+        each = F.explode(F.sequence(F.lit(0), of[other] - 1)).alias(other)
+        part = part.withColumn(own, F.pmod(F.xxhash64("node"), of[own]).cast("int"))
+        return part.select("key", "node", "size", "at", "root", "sketch", "lone", "asks", own, each).withColumn("asking", F.lit(asking)).select("key", "node", "size", "at", "root", "sketch", "lone", "asks", "asker", "part", "asking")
 
     def pairs(tile: pd.DataFrame) -> pd.DataFrame:
-        x, y = (tile[tile["part"] == tile[c].iloc[0]] for c in ("low", "high"))
-        counts = [np.array([_counts(s) for s in side["sketch"]]).reshape(-1, COUNTERS) for side in (x, y)]
+        x, y = tile[tile["asking"]], tile[~tile["asking"]]
+        counts = [np.array([_counts(s) for s in side["sketch"]], np.int64).reshape(-1, COUNTERS) for side in (x, y)]
         of = lambda side, c: side[c].to_numpy(np.int64)
+        size, at, root, node, lone, asks = (of(y, c) for c in ("size", "at", "root", "node", "lone", "asks"))
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in range(len(x)):
-            need = _enough(alike, of(x, "size")[i], of(y, "size"))
-            left = np.minimum(of(x, "size")[i] - of(x, "at")[i], of(y, "size") - of(y, "at"))
-            j = np.flatnonzero((left >= need) & (of(y, "root") != of(x, "root")[i]) & (of(y, "node") != of(x, "node")[i]))
+        for i, (x_size, x_at, x_root, x_node, x_lone) in enumerate(zip(*(of(x, c).tolist() for c in ("size", "at", "root", "node", "lone")), strict=True)):
+            need = _enough(alike, x_size, size)
+            near = (np.minimum(x_size - x_at, size - at) >= need) & (root != x_root) & ((lone | x_lone) > 0)
+            j = np.flatnonzero(near & ((asks == 0) | (node > x_node)))  # of two askers one asks
             j = j[np.minimum(counts[0][i], counts[1][j]).sum(axis=1) >= need[j]]
-            found.append((np.full(len(j), of(x, "node")[i]), of(y, "node")[j]))
+            found.append((np.full(len(j), x_node), node[j]))
         a, b = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*found, strict=True) if found else ((), ())))
         return pd.DataFrame({"a": a, "b": b})
 
-    return rows.groupBy("key", "low", "high").applyInPandas(pairs, "a bigint, b bigint")
+    met = dealt(rows.where("asks"), True).unionByName(dealt(rows, False))
+    return met.groupBy("key", "asker", "part").applyInPandas(pairs, "a bigint, b bigint")
 
 
 def _enough(alike: float, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
