@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.graphs import _cut
+
 
 def search(definitions: DataFrame, prefix: str, after: tuple[str, str] | None = None, limit: int = 50) -> DataFrame:
     """Definitions whose lower-cased name starts with a prefix, by (name_key, id), after a key if one is given.
@@ -87,18 +89,25 @@ def merge_coverage(parts: DataFrame, ceiling: int = 4_294_967_295) -> DataFrame:
     return parts.groupBy("reason").agg(F.least(F.sum("n"), F.lit(ceiling)).alias("n"))
 
 
-def ownership(definitions: DataFrame, depth: int = 8) -> DataFrame:
-    """(id, root, steps, state) of each definition: state is rooted, missing_owner or cyclic (more than ``depth`` steps)."""
-    owners = definitions.select(F.col("id").alias("at"), F.col("owner_id").alias("up"), F.lit(True).alias("there"))
-    rows = definitions.select("id", F.col("id").alias("root"), F.col("owner_id").alias("next"), F.lit(0).alias("steps"), F.lit("rooted").alias("state"))
-    for _ in range(depth):
-        # A chain ends at its first owner that is null or missing; later rounds only carry it along.
-        rows = rows.join(owners, rows.next == owners.at, "left").select(
-            "id", F.when(F.col("there"), F.col("next")).otherwise(F.col("root")).alias("root"),
-            F.when(F.col("there"), F.col("up")).alias("next"), (F.col("steps") + F.when(F.col("there"), 1).otherwise(0)).alias("steps"),
-            F.when(F.col("next").isNotNull() & F.col("there").isNull(), "missing_owner").otherwise(F.col("state")).alias("state"),
-        )
-    return rows.select("id", "root", "steps", F.when(F.col("next").isNotNull(), "cyclic").otherwise(F.col("state")).alias("state"))
+def ownership(definitions: DataFrame) -> DataFrame:
+    """(id, root, steps, state) of each definition: state is rooted, missing_owner or cyclic; the latter has no root and no steps.
+
+    Pointers double: a round joins each open chain to what its next owner knows already, so chains of any depth end after
+    about log2(depth) rounds. What is open once chains are longer than there are definitions, runs in a cycle.
+    """
+    rows = _cut(definitions.select("id", F.col("id").alias("root"), F.col("owner_id").alias("next"), F.lit(0).cast("long").alias("steps"), F.lit("rooted").alias("state")))
+    longest, most = 1, rows.count()
+    while longest <= 2 * most and not rows.where("next is not null").isEmpty():
+        known = rows.select(*(F.col(c).alias(f"_{c}") for c in rows.columns))
+        there, more = F.col("_id").isNotNull(), F.col("next").isNotNull()
+        rows = _cut(rows.join(known, rows.next == known._id, "left").select(
+            "id", F.coalesce("_root", "root").alias("root"), F.col("_next").alias("next"),
+            (F.col("steps") + F.when(there, F.col("_steps") + 1).otherwise(0)).alias("steps"),
+            F.when(more, F.when(there, F.col("_state")).otherwise("missing_owner")).otherwise(F.col("state")).alias("state"),
+        ))
+        longest *= 2
+    cyclic = F.col("next").isNotNull()
+    return rows.select("id", F.when(~cyclic, F.col("root")).alias("root"), F.when(~cyclic, F.col("steps")).alias("steps"), F.when(cyclic, "cyclic").otherwise(F.col("state")).alias("state"))
 
 
 def violations(definitions: DataFrame, relations: DataFrame) -> DataFrame:

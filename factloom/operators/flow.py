@@ -46,12 +46,14 @@ def shape_violations(blocks: DataFrame, edges: DataFrame) -> DataFrame:
 def reaching_definitions(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """(body_id, block, local, defined_in): which definitions of the local that a block reads reach its start.
 
-    blocks: defines and uses name one local each. A definition in a block ends those that come in. Rounds of joins over
-    all bodies push definitions that are new to a block until none is.
+    blocks: defines and uses name one local each. A definition in a block ends those that come in; only blocks that the
+    entry block 0 reaches define anything. Rounds of joins over all bodies push definitions that are new to a block until
+    none is.
     """
     ends = edges.select("body_id", "block", "target").distinct()
     kills = blocks.select("body_id", "block", F.col("defines").alias("local"))
-    made = kills.select("body_id", "block", "local", F.col("block").alias("defined_in"))
+    entered = reachable(edges.select("body_id", "block", "target").unionByName(blocks.where("block = 0").select("body_id", "block", F.col("block").alias("target"))))
+    made = kills.join(entered, ["body_id", "block"], "left_semi").select("body_id", "block", "local", F.col("block").alias("defined_in"))
     reach = None
     front = made
     while True:

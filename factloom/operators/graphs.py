@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage of a round in the folder of spark.checkpoint.dir, which executors share."""
+    """Ends the lineage of a round in the folder of spark.checkpoint.dir, which executors share; a local session may do without."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="factloom-"))
     return df.checkpoint()
 
 
@@ -33,14 +36,22 @@ def neighbourhood(edges: DataFrame, root, direction: str = "outgoing", depth: in
 
 
 def shortest_paths(edges: DataFrame, root, max_depth: int = 8) -> DataFrame:
-    """(id, level, parent) of the nodes that a root reaches; of several parents of a level the smallest."""
-    steps = edges.where("target_id is not null").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct()
-    kind = edges.schema["source_id"].dataType
-    seen = edges.sparkSession.range(1).select(F.lit(root).cast(kind).alias("id"), F.lit(0).alias("level"), F.lit(None).cast(kind).alias("parent"))
+    """(id, level, parent, relation_id, path) of the nodes that a root reaches by the paths of a breadth-first search.
+
+    A search visits the nodes of a level by the order of their parents, then by id, and a node's parent is the first one
+    visited. So of the shortest paths to a node the least one, compared id by id, is its path; relation_id is the least
+    relation from the parent. A path has max_depth + 1 ids at most.
+    """
+    steps = edges.where("target_id is not null").groupBy(F.col("source_id").alias("a"), F.col("target_id").alias("b")).agg(F.min("id").alias("relation_id"))
+    kind, relation = edges.schema["source_id"].dataType, edges.schema["id"].dataType
+    one = F.lit(root).cast(kind)
+    seen = edges.sparkSession.range(1).select(one.alias("id"), F.lit(0).alias("level"), F.lit(None).cast(kind).alias("parent"), F.lit(None).cast(relation).alias("relation_id"), F.array(one).alias("path"))
     front = seen
     for level in range(1, max_depth + 1):
-        found = front.join(steps, front.id == steps.a).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
-        front = _cut(found.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("level"), "parent"))
+        best = F.min(F.struct("path", F.col("a").alias("parent"), steps.relation_id)).alias("m")
+        found = front.select("id", "path").join(steps, front.id == steps.a).groupBy(F.col("b").alias("id")).agg(best)
+        fresh = found.join(seen.select("id"), "id", "left_anti")
+        front = _cut(fresh.select("id", F.lit(level).alias("level"), "m.parent", "m.relation_id", F.array_append("m.path", F.col("id")).alias("path")))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

@@ -5,24 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The outcomes of a test.
+OUTCOMES = ("pass", "fail", "expected_fail", "unexpected_pass", "timeout", "infrastructure_error", "not_run", "unknown")
 
-def structural_diff(before: DataFrame, after: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
-    """(key, change, fields) of keys that differ: added, removed, modified or ambiguous (several rows of a key on a side).
 
-    Both sides are aggregated by key before they meet in one full outer join, so a key is a row a side.
-    """
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*key).agg(F.count("*").alias(f"{name}_n"), *[F.min(f).alias(f"{name}_{f}") for f in fields])
+def structural_diff(before: DataFrame, after: DataFrame, key: list[str], fields: list[str], id: str) -> DataFrame:
+    """(key, change, correspondence, before_id, after_id, fields) of what differs; keys have no nulls.
 
-    rows = side(before, "b").join(side(after, "a"), key, "full_outer")
+    A key of one row on each side is one definition (unique_structural_key): modified if a field differs, with the names of
+    those fields in the given order. Otherwise each row before is removed and each row after added; their correspondence
+    is ambiguous if a side has several rows of the key, else unmatched. The counts of a key are aggregated before rows
+    meet, so no key's rows lie in one task.
+    """
+    rows = {"b": before.select(*key, *fields, F.col(id).alias("row_id")), "a": after.select(*key, *fields, F.col(id).alias("row_id"))}
+    sides = [df.select(*key, F.lit(int(s == "b")).alias("b"), F.lit(int(s == "a")).alias("a")) for s, df in rows.items()]
+    counts = sides[0].unionByName(sides[1]).groupBy(*key).agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+    one = (F.col("b") == 1) & (F.col("a") == 1)
+    state = F.when(one, "unique_structural_key").when((F.col("b") > 1) | (F.col("a") > 1), "ambiguous").otherwise("unmatched")
+    known = counts.select(*key, state.alias("correspondence"))
+    unique = known.where("correspondence = 'unique_structural_key'")
+    old, new = (rows[s].select(*key, *(F.col(c).alias(f"{s}_{c}") for c in (*fields, "row_id"))) for s in "ba")
     changed = F.array_compact(F.array(*[F.when(~F.col(f"b_{f}").eqNullSafe(F.col(f"a_{f}")), F.lit(f)) for f in fields]))
-    rows = rows.withColumn("changed", changed).withColumn(
-        "change",
-        F.when((F.coalesce("b_n", F.lit(0)) > 1) | (F.coalesce("a_n", F.lit(0)) > 1), "ambiguous")
-        .when(F.col("b_n").isNull(), "added").when(F.col("a_n").isNull(), "removed").when(F.size("changed") > 0, "modified"),
-    )
-    named = F.when(F.col("change") == "modified", F.array_join("changed", ",")).otherwise("")
-    return rows.where("change is not null").select(*key, "change", named.alias("fields"))
+    both = unique.join(old, key).join(new, key).withColumn("changed", changed).where(F.size("changed") > 0)
+    out = both.select(*key, F.lit("modified").alias("change"), "correspondence", F.col("b_row_id").alias("before_id"), F.col("a_row_id").alias("after_id"), F.array_join("changed", ",").alias("fields"))
+    none = F.lit(None).cast(before.schema[id].dataType)
+    for side, change in (("b", "removed"), ("a", "added")):
+        alone = rows[side].join(known.where("correspondence <> 'unique_structural_key'"), key)
+        ids = {"before_id": F.col("row_id") if side == "b" else none, "after_id": F.col("row_id") if side == "a" else none}
+        out = out.unionByName(alone.select(*key, F.lit(change).alias("change"), "correspondence", *(c.alias(n) for n, c in ids.items()), F.lit("").alias("fields")))
+    return out
 
 
 def impact(changes: DataFrame, key: str, relations: DataFrame, per_definition: int = 201) -> DataFrame:
@@ -44,6 +55,7 @@ def align_traces(streams: DataFrame, pairs: DataFrame) -> DataFrame:
 
     streams: stream_id, pos, kind, correlation_id, loss. The anchor is the correlation that each side has exactly once,
     of the least position before, then after, then value. From the anchor on, events are compared position by position.
+    A side's loss is the sum over its whole stream, whether or not there is an anchor, as a decimal string.
     """
     pairs = pairs.select("before", "after")
     # A stream may stand on either side of many pairs; uniqueness is found once a stream.
@@ -55,18 +67,20 @@ def align_traces(streams: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def side(stream: str, at: str, name: str) -> DataFrame:
         rows = anchors.select("before", "after", F.col(stream).alias("stream_id"), F.col(at).alias("at")).join(streams, "stream_id").where("pos >= at")
-        return rows.select("before", "after", (F.col("pos") - F.col("at")).alias("i"), *[F.col(c).alias(f"{name}_{c}") for c in ("kind", "correlation_id", "loss")])
+        return rows.select("before", "after", (F.col("pos") - F.col("at")).alias("i"), *[F.col(c).alias(f"{name}_{c}") for c in ("kind", "correlation_id")])
 
     both = side("before", "b_pos", "b").join(side("after", "a_pos", "a"), ["before", "after", "i"], "full_outer")
     reason = (
-        F.when(F.col("b_kind").isNull() | F.col("a_kind").isNull(), "event_count")
+        F.when(F.col("b_kind").isNull() | F.col("a_kind").isNull(), "selected_window_event_count")
         .when(F.col("b_kind") != F.col("a_kind"), "event_kind")
         .when(~F.col("b_correlation_id").eqNullSafe(F.col("a_correlation_id")), "semantic_anchor")
     )
     found = both.withColumn("reason", reason).groupBy("before", "after").agg(
         F.min(F.when(F.col("reason").isNotNull(), F.struct("i", "reason"))).alias("d"), F.count("*").alias("compared"),
-        F.sum(F.coalesce("b_loss", F.lit(0))).alias("before_loss"), F.sum(F.coalesce("a_loss", F.lit(0))).alias("after_loss"),
     )
+    lost = streams.groupBy("stream_id").agg(F.coalesce(F.sum(F.col("loss").cast("decimal(20,0)")), F.lit(0)).cast("string").alias("loss"))
+    for side in ("before", "after"):
+        pairs = pairs.join(lost.select(F.col("stream_id").alias(side), F.col("loss").alias(f"{side}_loss")), side, "left").fillna("0", [f"{side}_loss"])
     out = pairs.join(anchors, ["before", "after"], "left").join(found, ["before", "after"], "left")
     return out.select("before", "after", F.col("correlation_id").alias("anchor"), "b_pos", "a_pos", F.coalesce("d.i", "compared", F.lit(0)).alias("matching"), F.col("d.reason").alias("reason"), "before_loss", "after_loss")
 
@@ -94,3 +108,16 @@ def retention_plan(snapshots: DataFrame, pins: DataFrame, keep_recent: int, cuto
     rows = snapshots.withColumn("rank", rank).join(pins.select("snapshot_id", F.lit(True).alias("pinned")), "snapshot_id", "left")
     reasons = F.array_compact(F.array(F.when(F.col("rank") == 1, F.lit("head")), F.when(F.col("pinned"), F.lit("pin")), F.when(F.col("rank") <= keep_recent, F.lit("recent")), F.when(F.col("published_at") >= cutoff, F.lit("grace"))))
     return rows.select("snapshot_id", "bytes", (F.size(reasons) == 0).alias("removable"), F.array_join(reasons, ",").alias("reasons"))
+
+
+def outcome(ran: Column, passed: Column, failure_expected: Column) -> Column:
+    """The outcome of a test that ran to its end or not at all; unknown where it isn't known what it did or should do."""
+    known = passed.isNotNull() & failure_expected.isNotNull()
+    expected = F.when(passed, "unexpected_pass").otherwise("expected_fail")
+    return F.when(~ran, "not_run").when(~known, "unknown").when(failure_expected, expected).when(passed, "pass").otherwise("fail")
+
+
+def outcome_counts(tests: DataFrame) -> DataFrame:
+    """(outcome, tests): how many tests have each outcome; a value that is none of OUTCOMES is an error."""
+    valid = F.when(F.col("outcome").isin(*OUTCOMES), F.col("outcome")).otherwise(F.raise_error(F.concat(F.lit("no outcome: "), F.coalesce("outcome", F.lit("null")))))
+    return tests.select(valid.alias("outcome")).groupBy("outcome").agg(F.count("*").alias("tests"))

@@ -1,4 +1,4 @@
-"""Bodies to definitions, selected graphs with their frontier, and the last events of a key."""
+"""Bodies to definitions, selected graphs with their frontier, and intervals of streams."""
 
 from __future__ import annotations
 
@@ -39,12 +39,6 @@ def frontier(nodes: DataFrame, relations: DataFrame, max_nodes: int) -> DataFram
     return rows.select("source_id", F.col("id").alias("relation_id"), reason.alias("reason")).where("reason is not null")
 
 
-def last_events(events: DataFrame, key: str, order: str, k: int = 32) -> DataFrame:
-    """The last k events of each key: a ring buffer."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    return events.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
-
-
 def matching_intervals(streams: DataFrame) -> DataFrame:
     """(stream_id, interval) from the first to the last timestamp of each stream; null if a timestamp decreases."""
     last = F.lag("timestamp").over(Window.partitionBy("stream_id").orderBy("pos"))

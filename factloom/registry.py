@@ -125,10 +125,10 @@ WITH RECURSIVE up AS (
   SELECT id, id AS root, owner_id AS nxt, 0 AS steps FROM v_definitions
   UNION ALL SELECT up.id, o.id, o.owner_id, up.steps + 1 FROM up JOIN v_definitions AS o ON o.id = up.nxt),
 top AS (SELECT id, max(steps) AS steps FROM up GROUP BY id)
-SELECT up.id, up.root, CAST(up.steps AS INT) AS steps, CASE WHEN nxt IS NULL THEN 'rooted' ELSE 'missing_owner' END AS state
+SELECT up.id, up.root, CAST(up.steps AS BIGINT) AS steps, CASE WHEN nxt IS NULL THEN 'rooted' ELSE 'missing_owner' END AS state
 FROM up JOIN top ON up.id = top.id AND up.steps = top.steps""")
 def ownership(spark, d):
-    return facts.ownership(read(spark, d, "v_definitions"), 4)
+    return facts.ownership(read(spark, d, "v_definitions"))
 
 
 @_query("""
@@ -179,13 +179,13 @@ def neighbourhood_both(spark, d):
 
 @_query("""
 WITH RECURSIVE walk AS (
-  SELECT 0 AS id, 0 AS level UNION SELECT g.target_id, level + 1 FROM walk JOIN v_nation_graph AS g ON g.source_id = walk.id WHERE level < 8),
-best AS (SELECT id, min(level) AS level FROM walk GROUP BY id)
-SELECT CAST(b.id AS INT) AS id, CAST(b.level AS INT) AS level,
-       CAST((SELECT min(g.source_id) FROM v_nation_graph AS g JOIN best AS p ON p.id = g.source_id WHERE g.target_id = b.id AND p.level = b.level - 1) AS INT) AS parent
-FROM best AS b""")
+  SELECT 0 AS id, 0 AS level, [0] AS path, CAST(NULL AS INT) AS parent, CAST(NULL AS VARCHAR) AS relation_id
+  UNION ALL SELECT g.target_id, level + 1, list_append(path, CAST(g.target_id AS INT)), CAST(walk.id AS INT), g.id FROM walk JOIN v_nation_graph AS g ON g.source_id = walk.id WHERE level < 8),
+best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY level, path, relation_id) AS r FROM walk)
+SELECT CAST(id AS INT) AS id, CAST(level AS INT) AS level, parent, relation_id, array_to_string(path, '>') AS path FROM best WHERE r = 1""")
 def shortest_paths(spark, d):
-    return graphs.shortest_paths(read(spark, d, "v_nation_graph"), 0)
+    found = graphs.shortest_paths(read(spark, d, "v_nation_graph"), 0)
+    return found.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
 
 
 _SCC = """
@@ -214,41 +214,50 @@ def component_links(spark, d):
 # Differences
 
 
+_FIELDS = ("signature", "body", "visibility", "cfg_status", "source_span")
+
+
 def _diff_sql(key: str) -> str:
-    cols = ("signature", "body", "lines") if key == "k" else ("lines",)
-    aggregates = ", ".join(f"min({c}) AS {c}" for c in cols)
-    changed = ", ".join(f"CASE WHEN b.{c} IS DISTINCT FROM a.{c} THEN '{c}' END" for c in cols)
     keys = key.split(", ")
-    on = " AND ".join(f"b.{k} = a.{k}" for k in keys)
-    out = ", ".join(f"coalesce(b.{k}, a.{k}) AS {k}" for k in keys)
+    fields = [f for f in _FIELDS if f not in keys]
+    changed = ", ".join(f"CASE WHEN b.{f} IS DISTINCT FROM a.{f} THEN '{f}' END" for f in fields)
+    plain = ", ".join(f"b.{k}" for k in keys)
+    out = f"{plain}, 'modified' AS change, 'unique_structural_key' AS correspondence, b.k AS before_id, a.k AS after_id, concat_ws(',', {changed}) AS fields"
+
+    def alone(mine: str, other: str, change: str, ids: str) -> str:
+        return f"""SELECT {key}, '{change}' AS change, CASE WHEN n > 1 OR m > 1 THEN 'ambiguous' ELSE 'unmatched' END AS correspondence, {ids}, '' AS fields
+FROM (SELECT x.*, count(*) OVER (PARTITION BY {key}) AS n, (SELECT count(*) FROM {other} AS y WHERE {" AND ".join(f"y.{k} = x.{k}" for k in keys)}) AS m FROM {mine} AS x) AS z WHERE n <> 1 OR m <> 1"""
+
     return f"""
-WITH b AS (SELECT {key}, count(*) AS n, {aggregates} FROM v_before GROUP BY {key}), a AS (SELECT {key}, count(*) AS n, {aggregates} FROM v_after GROUP BY {key}),
-j AS (SELECT {out}, CASE WHEN coalesce(b.n, 0) > 1 OR coalesce(a.n, 0) > 1 THEN 'ambiguous' WHEN b.n IS NULL THEN 'added' WHEN a.n IS NULL THEN 'removed'
-        WHEN concat_ws(',', {changed}) <> '' THEN 'modified' END AS change, concat_ws(',', {changed}) AS f FROM b FULL OUTER JOIN a ON {on})
-SELECT {key}, change, CASE WHEN change = 'modified' THEN f ELSE '' END AS fields FROM j WHERE change IS NOT NULL"""
+WITH ones AS (SELECT {key} FROM (SELECT {key} FROM v_before GROUP BY {key} HAVING count(*) = 1) INTERSECT SELECT {key} FROM (SELECT {key} FROM v_after GROUP BY {key} HAVING count(*) = 1))
+SELECT * FROM (SELECT {out} FROM ones JOIN v_before AS b USING ({key}) JOIN v_after AS a USING ({key})) AS m WHERE fields <> ''
+UNION ALL {alone("v_before", "v_after", "removed", "k AS before_id, NULL AS after_id")}
+UNION ALL {alone("v_after", "v_before", "added", "NULL AS before_id, k AS after_id")}"""
 
 
 @_query(_diff_sql("k"))
 def structural_diff(spark, d):
-    return history.structural_diff(read(spark, d, "v_before"), read(spark, d, "v_after"), ["k"], ["signature", "body", "lines"])
+    return history.structural_diff(read(spark, d, "v_before"), read(spark, d, "v_after"), ["k"], list(_FIELDS), "k")
 
 
 @_query(_diff_sql("name, signature"))
 def ambiguous_diff(spark, d):
-    return history.structural_diff(read(spark, d, "v_before"), read(spark, d, "v_after"), ["name", "signature"], ["lines"])
+    return history.structural_diff(read(spark, d, "v_before"), read(spark, d, "v_after"), ["name", "signature"], [f for f in _FIELDS if f != "signature"], "k")
 
 
 @_query("""
 WITH touched AS (SELECT concat('part:', CAST(a.k AS STRING)) AS id FROM v_after AS a LEFT JOIN v_before AS b ON a.k = b.k
-                 WHERE b.k IS NULL OR a.signature <> b.signature OR a.body <> b.body),
-calls AS (SELECT concat('supplier:', CAST(l_suppkey AS STRING)) AS source_id, concat('part:', CAST(l_partkey AS STRING)) AS target_id FROM lineitem)
-SELECT source_id AS caller, count(DISTINCT target_id) AS changed FROM calls JOIN touched ON touched.id = calls.target_id GROUP BY source_id""")
+                 WHERE b.k IS NULL OR (a.signature, a.body, a.visibility, a.cfg_status, a.source_span) IS DISTINCT FROM (b.signature, b.body, b.visibility, b.cfg_status, b.source_span)),
+calls AS (SELECT concat('supplier:', CAST(l_suppkey AS STRING)) AS source_id, concat('part:', CAST(l_partkey AS STRING)) AS target_id,
+                 concat(CAST(l_orderkey AS STRING), ':', CAST(l_linenumber AS STRING)) AS id FROM lineitem),
+sites AS (SELECT source_id, target_id, row_number() OVER (PARTITION BY target_id ORDER BY source_id, calls.id) AS r FROM calls JOIN touched ON touched.id = calls.target_id)
+SELECT source_id AS caller, count(DISTINCT target_id) AS changed FROM sites WHERE r <= 201 GROUP BY source_id""")
 def diff_impact(spark, d):
     changes = structural_diff(spark, d).withColumn("id", F.concat(F.lit("part:"), F.col("k").cast("string")))
     calls = read(spark, d, "lineitem").select(
         F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("source_id"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("target_id"),
         F.lit("calls").alias("kind"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"))
-    return history.impact(changes, "id", calls, 1 << 30)
+    return history.impact(changes, "id", calls)
 
 
 @_query("SELECT k AS id FROM v_after WHERE (k, body) NOT IN (SELECT (k, body) FROM v_before)")
@@ -267,15 +276,16 @@ c AS (SELECT before, after, b.pos AS b_pos, a.pos AS a_pos, b.correlation_id,
              row_number() OVER (PARTITION BY before, after ORDER BY b.pos, a.pos, b.correlation_id) AS r
       FROM pairs JOIN once AS b ON b.stream_id = before JOIN once AS a ON a.stream_id = after AND a.correlation_id = b.correlation_id),
 x AS (SELECT * FROM c WHERE r = 1),
-bs AS (SELECT x.before, x.after, s.pos - b_pos AS i, s.kind, s.correlation_id, s.loss FROM x JOIN v_streams AS s ON s.stream_id = x.before AND s.pos >= b_pos),
-aa AS (SELECT x.before, x.after, s.pos - a_pos AS i, s.kind, s.correlation_id, s.loss FROM x JOIN v_streams AS s ON s.stream_id = x.after AND s.pos >= a_pos),
-z AS (SELECT coalesce(bs.before, aa.before) AS before, coalesce(bs.after, aa.after) AS after, coalesce(bs.i, aa.i) AS i, bs.loss AS bl, aa.loss AS al,
-             CASE WHEN bs.kind IS NULL OR aa.kind IS NULL THEN 'event_count' WHEN bs.kind <> aa.kind THEN 'event_kind'
+bs AS (SELECT x.before, x.after, s.pos - b_pos AS i, s.kind, s.correlation_id FROM x JOIN v_streams AS s ON s.stream_id = x.before AND s.pos >= b_pos),
+aa AS (SELECT x.before, x.after, s.pos - a_pos AS i, s.kind, s.correlation_id FROM x JOIN v_streams AS s ON s.stream_id = x.after AND s.pos >= a_pos),
+z AS (SELECT coalesce(bs.before, aa.before) AS before, coalesce(bs.after, aa.after) AS after, coalesce(bs.i, aa.i) AS i,
+             CASE WHEN bs.kind IS NULL OR aa.kind IS NULL THEN 'selected_window_event_count' WHEN bs.kind <> aa.kind THEN 'event_kind'
                   WHEN bs.correlation_id IS DISTINCT FROM aa.correlation_id THEN 'semantic_anchor' END AS reason
       FROM bs FULL OUTER JOIN aa ON bs.before = aa.before AND bs.after = aa.after AND bs.i = aa.i),
-g AS (SELECT before, after, count(*) AS compared, min(CASE WHEN reason IS NOT NULL THEN i END) AS i, CAST(sum(coalesce(bl, 0)) AS BIGINT) AS before_loss, CAST(sum(coalesce(al, 0)) AS BIGINT) AS after_loss FROM z GROUP BY before, after)
-SELECT p.before, p.after, x.correlation_id AS anchor, x.b_pos, x.a_pos, CAST(coalesce(g.i, g.compared, 0) AS BIGINT) AS matching, z.reason, g.before_loss, g.after_loss
-FROM pairs AS p LEFT JOIN x ON p.before = x.before AND p.after = x.after LEFT JOIN g ON p.before = g.before AND p.after = g.after
+g AS (SELECT before, after, count(*) AS compared, min(CASE WHEN reason IS NOT NULL THEN i END) AS i FROM z GROUP BY before, after),
+lost AS (SELECT stream_id, CAST(coalesce(sum(loss), 0) AS STRING) AS loss FROM v_streams GROUP BY stream_id)
+SELECT p.before, p.after, x.correlation_id AS anchor, x.b_pos, x.a_pos, CAST(coalesce(g.i, g.compared, 0) AS BIGINT) AS matching, z.reason, lb.loss AS before_loss, la.loss AS after_loss
+FROM pairs AS p JOIN lost AS lb ON lb.stream_id = p.before JOIN lost AS la ON la.stream_id = p.after LEFT JOIN x ON p.before = x.before AND p.after = x.after LEFT JOIN g ON p.before = g.before AND p.after = g.after
 LEFT JOIN z ON z.before = g.before AND z.after = g.after AND z.i = g.i""")
 def trace_alignment(spark, d):
     streams = read(spark, d, "v_streams")
@@ -328,8 +338,10 @@ def terminator_shapes(spark, d):
 
 
 @_query("""
-WITH RECURSIVE reach AS (
-  SELECT e.body_id, e.target AS block, b.defines AS local, b.block AS defined_in FROM v_blocks AS b JOIN v_edges AS e ON e.body_id = b.body_id AND e.block = b.block
+WITH RECURSIVE seen AS (
+  SELECT body_id, block FROM v_blocks WHERE block = 0 UNION SELECT e.body_id, e.target FROM seen JOIN v_edges AS e ON e.body_id = seen.body_id AND e.block = seen.block),
+reach AS (
+  SELECT e.body_id, e.target AS block, b.defines AS local, b.block AS defined_in FROM v_blocks AS b JOIN seen ON seen.body_id = b.body_id AND seen.block = b.block JOIN v_edges AS e ON e.body_id = b.body_id AND e.block = b.block
   UNION SELECT e.body_id, e.target, r.local, r.defined_in FROM reach AS r JOIN v_blocks AS b ON b.body_id = r.body_id AND b.block = r.block AND b.defines <> r.local
         JOIN v_edges AS e ON e.body_id = r.body_id AND e.block = r.block)
 SELECT r.body_id, r.block, r.local, r.defined_in FROM reach AS r JOIN v_blocks AS b ON b.body_id = r.body_id AND b.block = r.block AND b.uses = r.local""")
@@ -438,12 +450,6 @@ def unknown_frontier(spark, d):
     return mapping.frontier(read(spark, d, "v_definitions").where("kind = 'function'"), read(spark, d, "v_relations"), 150)
 
 
-@_query("""
-SELECT stream_id, sequence, kind FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY sequence DESC) AS r FROM v_streams) WHERE r <= 32""")
-def event_ring(spark, d):
-    return mapping.last_events(read(spark, d, "v_streams"), "stream_id", "sequence").select("stream_id", "sequence", "kind")
-
-
 @_query("""
 WITH s AS (SELECT stream_id, pos, sequence + CASE WHEN stream_id % 4 = 0 AND pos % 5 = 0 THEN -1000000 ELSE 0 END AS t FROM v_streams),
 l AS (SELECT *, lag(t) OVER (PARTITION BY stream_id ORDER BY pos) AS b FROM s)
@@ -455,9 +461,10 @@ def trace_intervals(spark, d):
 
 
 @_query("""
-SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unavailable' WHEN toxic = 1 AND quality = 0 THEN 'failed' WHEN toxic = 1 THEN 'timeout' WHEN quality = 0 THEN 'skipped' ELSE 'passed' END AS outcome
-FROM documents AS d LEFT JOIN labels AS l ON l.doc_id = d.doc_id""")
+SELECT CASE WHEN l.doc_id IS NULL THEN 'not_run' WHEN toxic IS NULL OR quality IS NULL THEN 'unknown' WHEN toxic = 1 AND quality = 0 THEN 'expected_fail' WHEN toxic = 1 THEN 'unexpected_pass'
+            WHEN quality = 0 THEN 'fail' ELSE 'pass' END AS outcome, count(*) AS tests
+FROM documents AS d LEFT JOIN labels AS l ON l.doc_id = d.doc_id GROUP BY 1""")
 def test_outcomes(spark, d):
-    rows = read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels").withColumn("there", F.lit(True)), "doc_id", "left")
-    bad, poor = F.col("toxic") == 1, F.col("quality") == 0
-    return rows.select("doc_id", F.when(F.col("there").isNull(), "unavailable").when(bad & poor, "failed").when(bad, "timeout").when(poor, "skipped").otherwise("passed").alias("outcome"))
+    rows = read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels").withColumn("ran", F.lit(True)), "doc_id", "left")
+    passed = F.col("quality") == 1
+    return history.outcome_counts(rows.select(history.outcome(F.coalesce("ran", F.lit(False)), passed, F.col("toxic") == 1).alias("outcome")))

@@ -37,14 +37,16 @@ SELECT concat(CAST(l_orderkey AS STRING), ':', CAST(l_partkey AS STRING), ':', C
        CASE WHEN l_returnflag = 'R' THEN 'macro_invocation' ELSE 'calls' END AS kind,
        concat('evidence:', CAST(l_suppkey % 50 AS STRING)) AS evidence_id, l_orderkey AS span_start FROM lineitem""",
     "v_nation_graph": """
-SELECT a AS source_id, b AS target_id FROM (
+SELECT concat(CAST(a AS STRING), '>', CAST(b AS STRING)) AS id, a AS source_id, b AS target_id FROM (
   SELECT c_nationkey AS a, s_nationkey AS b, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, s_nationkey) AS r
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   GROUP BY c_nationkey, s_nationkey) AS x WHERE r <= 2""",
-    "v_before": "SELECT p_partkey AS k, p_name AS name, p_brand AS signature, p_type AS body, CAST(p_size AS BIGINT) AS lines FROM part WHERE p_partkey % 17 <> 0",
+    "v_before": "SELECT p_partkey AS k, p_name AS name, p_brand AS signature, p_type AS body, CASE WHEN p_partkey % 3 = 0 THEN 'pub' ELSE 'private' END AS visibility, 'active' AS cfg_status, CAST(p_size AS STRING) AS source_span FROM part WHERE p_partkey % 17 <> 0",
     "v_after": """
 SELECT p_partkey AS k, p_name AS name, CASE WHEN p_partkey % 5 = 0 THEN concat(p_brand, '+') ELSE p_brand END AS signature,
-       CASE WHEN p_partkey % 7 = 0 THEN concat(p_type, '+') ELSE p_type END AS body, CAST(p_size AS BIGINT) AS lines FROM part WHERE p_partkey % 19 <> 0""",
+       CASE WHEN p_partkey % 7 = 0 THEN concat(p_type, '+') ELSE p_type END AS body,
+       CASE WHEN p_partkey % 3 = 0 OR p_partkey % 23 = 0 THEN 'pub' ELSE 'private' END AS visibility, CASE WHEN p_partkey % 29 = 0 THEN 'inactive' ELSE 'active' END AS cfg_status,
+       CAST(CASE WHEN p_partkey % 13 = 0 THEN p_size + 1 ELSE p_size END AS STRING) AS source_span FROM part WHERE p_partkey % 19 <> 0""",
     "v_streams": """
 SELECT user_id AS stream_id, event_id AS sequence, event_type AS kind, props AS correlation_id, CAST(floor(value) AS BIGINT) AS loss,
        row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events""",

@@ -34,9 +34,10 @@ def test_no_edges_have_no_components(spark):
     assert graphs.components(_edges(spark, [])).count() == 0
 
 
-def test_shortest_paths_take_the_smallest_parent(spark):
-    rows = graphs.shortest_paths(_edges(spark, [("a", "c"), ("a", "b"), ("b", "d"), ("c", "d"), ("d", None)]), "a").collect()
-    assert {(r.id, r.level, r.parent) for r in rows} == {("a", 0, None), ("b", 1, "a"), ("c", 1, "a"), ("d", 2, "b")}
+def test_shortest_paths_take_the_parent_visited_first(spark):
+    rows = graphs.shortest_paths(_edges(spark, [("r", "b"), ("r", "c"), ("b", "z"), ("c", "y"), ("y", "t"), ("z", "t"), ("z", "t"), ("t", None)]), "r").collect()
+    assert {(r.id, r.level, r.parent) for r in rows} == {("r", 0, None), ("b", 1, "r"), ("c", 1, "r"), ("z", 2, "b"), ("y", 2, "c"), ("t", 3, "z")}
+    assert {r.id: (r.path, r.relation_id) for r in rows}["t"] == (["r", "b", "z", "t"], "5")
 
 
 def test_fan_metrics_count_unknown_sites(spark):
@@ -53,8 +54,31 @@ def test_distributions_of_nothing_are_no_rows(spark):
 
 def test_ownership_tells_cycles_and_missing_owners(spark):
     rows = spark.createDataFrame([("r", None), ("a", "r"), ("b", "a"), ("c", "gone"), ("x", "y"), ("y", "x")], "id string, owner_id string")
-    found = {r.id: (r.root, r.state) for r in facts.ownership(rows, 4).collect()}
-    assert found["b"] == ("r", "rooted") and found["c"] == ("c", "missing_owner") and found["x"][1] == "cyclic"
+    found = {r.id: (r.root, r.state) for r in facts.ownership(rows).collect()}
+    assert found["b"] == ("r", "rooted") and found["c"] == ("c", "missing_owner") and found["x"] == (None, "cyclic")
+
+
+def test_ownership_of_a_deep_chain_is_no_cycle(spark):
+    rows = [("0", None)] + [(str(i), str(i - 1)) for i in range(1, 40)] + [("loop", "loop"), ("tail", "loop")]
+    found = {r.id: (r.root, r.steps, r.state) for r in facts.ownership(spark.createDataFrame(rows, "id string, owner_id string")).collect()}
+    assert all(found[str(i)] == ("0", i, "rooted") for i in range(40))
+    assert found["loop"] == found["tail"] == (None, None, "cyclic")
+
+
+def test_unreachable_blocks_define_nothing(spark):
+    blocks = spark.createDataFrame([(1, 0, 5, 9), (1, 1, 6, 5), (1, 2, 7, 9), (1, 3, 8, 7)], "body_id long, block long, defines long, uses long")
+    edges = spark.createDataFrame([(1, 0, 1), (1, 2, 3), (1, 1, 3)], "body_id long, block long, target long")
+    rows = flow.reaching_definitions(blocks, edges).collect()
+    assert {(r.block, r.local, r.defined_in) for r in rows} == {(1, 5, 0)}
+
+
+def test_outcomes(spark):
+    rows = spark.createDataFrame([(False, None, None), (True, None, True), (True, True, False), (True, False, False), (True, True, True), (True, False, True)], "ran boolean, passed boolean, expected boolean")
+    named = rows.select(history.outcome(F.col("ran"), F.col("passed"), F.col("expected")).alias("outcome"))
+    assert [r.outcome for r in named.collect()] == ["not_run", "unknown", "pass", "fail", "unexpected_pass", "expected_fail"]
+    assert {tuple(r) for r in history.outcome_counts(named.where("outcome = 'pass'")).collect()} == {("pass", 1)}
+    with pytest.raises(Exception, match="no outcome"):
+        history.outcome_counts(spark.createDataFrame([("passed",)], "outcome string")).collect()
 
 
 @pytest.mark.parametrize(
@@ -82,7 +106,7 @@ def _streams(spark, *sides):
     [
         ([("p", None), ("c", "17"), ("q", None), ("x", None)], [("c", "17"), ("e", None), ("x", None)], ("17", 1, "event_kind")),
         ([("s", "0"), ("c", "a"), ("c", "b")], [("s", "0"), ("c", "b"), ("c", "a")], ("0", 1, "semantic_anchor")),
-        ([("s", "0"), ("c", "a")], [("s", "0")], ("0", 1, "event_count")),
+        ([("s", "0"), ("c", "a")], [("s", "0")], ("0", 1, "selected_window_event_count")),
         ([("c", "r"), ("c", "r")], [("c", "r"), ("c", "r")], (None, 0, None)),
         ([("s", "0"), ("t", None)], [("s", "0"), ("t", None)], ("0", 2, None)),
     ],
@@ -93,10 +117,21 @@ def test_traces(spark, before, after, expected):
     assert (row.anchor, row.matching, row.reason) == expected
 
 
+def test_loss_is_that_of_the_whole_stream(spark):
+    rows = [(0, 0, "p", None, 3), (0, 1, "c", "17", None), (1, 0, "c", "18", 1), (1, 1, "c", "19", 9007199254740993)]
+    streams = spark.createDataFrame(rows, "stream_id long, pos long, kind string, correlation_id string, loss long")
+    row = history.align_traces(streams, spark.createDataFrame([(0, 1)], "before long, after long")).first()
+    assert (row.anchor, row.before_loss, row.after_loss) == (None, "3", "9007199254740994")
+
+
 def test_diff_of_repeated_keys_is_ambiguous(spark):
-    a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (4, None)], "k int, body string")
-    b = spark.createDataFrame([(1, "w"), (2, "y"), (3, "n"), (4, None)], "k int, body string")
-    assert {(r.k, r.change, r.fields) for r in history.structural_diff(a, b, ["k"], ["body"]).collect()} == {(1, "modified", "body"), (2, "ambiguous", ""), (3, "added", "")}
+    a = spark.createDataFrame([(1, "x", "o1"), (2, "y", "o2"), (2, "z", "o3"), (4, None, "o4"), (5, "q", "o5")], "k int, body string, id string")
+    b = spark.createDataFrame([(1, "w", "n1"), (2, "y", "n2"), (3, "n", "n3"), (4, None, "n4")], "k int, body string, id string")
+    found = {tuple(r) for r in history.structural_diff(a, b, ["k"], ["body"], "id").select("k", "change", "correspondence", "before_id", "after_id", "fields").collect()}
+    assert found == {
+        (1, "modified", "unique_structural_key", "o1", "n1", "body"), (2, "removed", "ambiguous", "o2", None, ""), (2, "removed", "ambiguous", "o3", None, ""),
+        (2, "added", "ambiguous", None, "n2", ""), (3, "added", "unmatched", None, "n3", ""), (5, "removed", "unmatched", "o5", None, ""),
+    }
 
 
 def test_unsigned_numbers(spark):
