@@ -1,16 +1,19 @@
-"""Licence scans: TF-IDF cosine of licence notices to templates, then inheritance from the nearest directory above.
+"""Licence scans: TF-IDF cosine of licence texts to templates, then inheritance from the nearest directory above.
 
-1. A notice is a line that holds a cue. Distinct notices are scored once, however many files share them.
-2. A notice's vector has a weight for each of its terms; the inverse document frequencies count all notices of all files.
+1. A file is compared as a whole if it is named as a licence file; so are its runs (of comment lines, or of other lines),
+   its paragraphs and its lines that hold a cue. Distinct ones are scored once, however many files share them.
+2. A text's vector has a weight for each of its terms; the inverse document frequencies count all these texts of all files.
    Terms that no template has weigh as if they were in none. Its licence is that of the template of the greatest cosine,
-   if that is ALIKE or more.
-3. A file's own licence is that of its best notice. A file is a licence file if it is named as one or if notices make up
-   a third of its text; it covers its directory. A file without a licence of its own takes that of the nearest directory
-   above it that a licence file covers; directories meet covered ones in equality joins over their ancestors.
+   if that is ALIKE or more. A template is a notice or a licence's own words.
+3. A file's own licence is that of its widest text that has one: the whole, then a run, a paragraph, a line, and the best of
+   these; a mere claim of copyright (CLAIM) counts only if nothing else is found. A file is a licence file if it is named as
+   one or if its notices, or the text that told its licence, make up a third of it; it covers its directory. A file without
+   a licence of its own takes that of the nearest directory above it that a licence file covers; directories meet covered
+   ones in equality joins over their ancestors.
 
 Everything is DataFrame operations. Defined results: null and empty texts have no notice and inherit; a null path has no
 directory; of several licence files of one directory the one with the greatest score counts, then the smallest path and
-licence; ties between notices or templates go to the smallest name; repeated rows get equal results.
+licence; ties between texts or templates go to the smallest name; repeated rows get equal results; no text is too long.
 """
 
 from __future__ import annotations
@@ -48,10 +51,84 @@ TEMPLATES = (
     ("Proprietary", "Copyright. All rights reserved."),
     ("Unlicense", "Released into the public domain under the Unlicense."),
 )
+#: The words of short licences, paragraph by paragraph, and titles and notices of long ones.
+_AS_IS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+    "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+    "materials provided with the distribution.",
+)
+_BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific "
+    "prior written permission.",
+)
+TEXTS = (
+    ("BSD-2-Clause", (*_BSD, _AS_IS)),
+    ("BSD-3-Clause", (*_BSD, *_BSD_NAMES, _AS_IS)),
+    ("ISC", (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
+        "and this permission notice appear in all copies.",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR "
+        "PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    )),
+    ("MIT", (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the '
+        "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+        "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A '
+        "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION "
+        "OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    )),
+    ("Unlicense", (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means.",
+    )),
+    ("AGPL-3.0", ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",)),
+    ("Apache-2.0", ("Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",)),
+    ("Apache-2.0", (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License '
+        "at http://www.apache.org/licenses/LICENSE-2.0",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR '
+        "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    )),
+    ("GPL-2.0", ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991",)),
+    ("GPL-2.0", (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+        "Foundation; either version 2 of the License, or (at your option) any later version.",
+    )),
+    ("GPL-3.0", ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",)),
+    ("GPL-3.0", (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+        "Foundation, either version 3 of the License, or (at your option) any later version.",
+    )),
+    ("LGPL-3.0", ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",)),
+    ("MPL-2.0", (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        "https://mozilla.org/MPL/2.0/.",
+    )),
+    ("MPL-2.0", ("Mozilla Public License Version 2.0",)),
+)
+#: What texts are compared with: notices, whole licences, and the first paragraphs of licences, which grant the rights.
+FORMS = (*TEMPLATES, *((name, " ".join(text)) for name, text in TEXTS), *((name, text[0]) for name, text in TEXTS if len(text) > 1))
+CLAIM = "Proprietary"
 #: What makes a line a notice, and names of licence files.
 CUES = ("licen", "copyright", "spdx", "all rights reserved", "public domain", "creative commons")
 FILES = r"^(licen[cs]e|copying|notice|unlicense)(\..*)?$"
 ALIKE = 0.6
+#: The start of a comment line, and the lines that part paragraphs: blank ones and those of comment marks.
+COMMENT, BLANK = r"[ \t]*(?://|/\*|\*|#|;|--|<!--|%)", r"\n[ \t\r/*#;%!<>-]*\n"
+#: Parts the runs of comment lines from other lines; in a text it parts a run too.
+_PART = "\x1d"
 
 
 def _terms(line: Column) -> Column:
@@ -59,18 +136,42 @@ def _terms(line: Column) -> Column:
 
 
 def _vectors(lines: DataFrame, key: str) -> DataFrame:
-    """(key, term, tf) of a column of distinct lines."""
+    """(key, term, tf) of a column of distinct texts."""
     return lines.select(F.col(key), F.explode(_terms(F.col("line"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def notices(df: DataFrame, text: str) -> Column:
-    """The lines of a text that hold a cue, in lower case and without white space at their ends."""
-    has = lambda line: F.exists(F.array(*map(F.lit, CUES)), lambda cue: F.contains(line, cue))
-    return F.transform(F.filter(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), "\n"), has), lambda x: F.trim(x))
+def _cued(text: Column) -> Column:
+    return F.exists(F.array(*map(F.lit, CUES)), lambda cue: F.contains(text, cue))
+
+
+def _lower(text: str) -> Column:
+    return F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def notices(text: Column) -> Column:
+    """The lines of a text in lower case that hold a cue, without white space at their ends."""
+    return F.transform(F.filter(F.split(text, "\n"), _cued), lambda x: F.trim(x))
+
+
+def runs(text: Column) -> Column:
+    """The longest runs of comment lines, or of other lines, of a text."""
+    parted = F.regexp_replace(text, rf"(?dm)^({COMMENT}.*)\n(?!{COMMENT})", f"$1{_PART}\n")
+    parted = F.regexp_replace(parted, rf"(?dm)^(?!{COMMENT})(.*)\n(?={COMMENT})", f"$1{_PART}\n")
+    return F.split(parted, _PART)
+
+
+def units(text: Column, named: Column) -> Column:
+    """(kind, line) of what of a text in lower case is compared with templates: 0 the whole, 1 runs, 2 paragraphs, 3 lines."""
+    tell = lambda kind, found: F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("line")))
+    several = lambda found: F.filter(found, lambda x: _cued(x) & F.contains(F.trim(x), F.lit("\n")))
+    none = F.array().cast("array<struct<kind:int,line:string>>")
+    parts = F.flatten(F.transform(runs(text), lambda run: F.split(run, BLANK)))
+    wide = F.concat(tell(1, several(runs(text))), tell(2, several(parts)), tell(3, notices(text)))
+    return F.concat(F.when(named, tell(0, F.array(text))).otherwise(none), F.when(_cued(text), wide).otherwise(none))
 
 
-def score_notices(lines: DataFrame, templates=TEMPLATES, alike: float = ALIKE) -> DataFrame:
-    """(line, licence, score) of the notices that are like a template; lines: (line, n), n of them in the corpus."""
+def score_notices(lines: DataFrame, templates=FORMS, alike: float = ALIKE) -> DataFrame:
+    """(key, licence, score) of the texts that are like a template; lines: (key, line, n), n texts of the corpus are this line."""
     spark = lines.sparkSession
     forms = spark.createDataFrame([(i, name, form.lower()) for i, (name, form) in enumerate(templates)], "t int, licence string, line string")
     form_terms = _vectors(forms, "t")
@@ -80,15 +181,15 @@ def score_notices(lines: DataFrame, templates=TEMPLATES, alike: float = ALIKE) -
     counts = used.groupBy("term").agg(F.sum("n").alias("df"))
     idf = cut(vocabulary.join(counts, "term", "left").select("term", (F.log((1 + F.lit(total)) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")))
     other = F.log(F.lit(1.0 + total)) + 1
-    of_line = _vectors(lines, "line").join(F.broadcast(idf), "term", "left").select("line", "term", (F.col("tf") * F.coalesce("idf", other)).alias("w"))
-    norms = of_line.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    of_line = _vectors(lines, "key").join(F.broadcast(idf), "term", "left").select("key", "term", (F.col("tf") * F.coalesce("idf", other)).alias("w"))
+    norms = of_line.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     of_form = form_terms.join(F.broadcast(idf), "term").select("t", "term", (F.col("tf") * F.col("idf")).alias("v"))
     form_norms = of_form.groupBy("t").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("form_norm"))
     of_form = cut(of_form.join(form_norms, "t").join(forms.select("t", "licence"), "t"))
-    dots = of_line.join(F.broadcast(of_form), "term").groupBy("line", "t", "licence").agg(F.sum(F.col("w") * F.col("v") / F.col("form_norm")).alias("dot"))
-    scored = dots.join(norms, "line").select("line", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= alike)
-    best = scored.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
-    return best.select("line", "b.licence", (-F.col("b.s")).alias("score"))
+    dots = of_line.join(F.broadcast(of_form), "term").groupBy("key", "t", "licence").agg(F.sum(F.col("w") * F.col("v") / F.col("form_norm")).alias("dot"))
+    scored = dots.join(norms, "key").select("key", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= alike)
+    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+    return best.select("key", "b.licence", (-F.col("b.s")).alias("score"))
 
 
 def _above(dir: Column) -> Column:
@@ -100,19 +201,21 @@ def _above(dir: Column) -> Column:
 
 def scan(df: DataFrame, id: str = "doc_id", text: str = "text", path: str = "path") -> DataFrame:
     """(id, path, notices, own_licence, own_score, licence_file, licence, origin, origin_path) of each row."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     where = F.regexp_replace(F.col(path), r"^/+|/+$|/+(?=/)", "")
-    dir = F.regexp_extract(where, r"^(.*)/[^/]*$", 1)
-    files = df.select(F.col(id).alias("id"), where.alias("path"), notices(df, text).alias("lines"), F.length(t).alias("size"), F.monotonically_increasing_id().alias("row"))
-    files = cut(files.withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)))
-    told = files.select("row", F.explode("lines").alias("line"))
-    lines = cut(told.groupBy("line").agg(F.count("*").alias("n")))
+    files = df.select(F.col(id).alias("id"), where.alias("path"), _lower(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    named = F.coalesce(F.lower(F.regexp_extract("path", r"[^/]*$", 0)).rlike(FILES), F.lit(False))
+    files = files.select("id", "path", "row", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), F.length("text").alias("size"), named.alias("named"), units(F.col("text"), named).alias("units"))
+    files = cut(files.withColumn("units", F.transform("units", lambda u: u.withField("key", F.sha2(u["line"], 256)))))
+    told = files.select("row", F.explode("units").alias("u")).select("row", "u.kind", "u.key", "u.line")
+    lines = cut(told.groupBy("key").agg(F.count("*").alias("n"), F.first("line").alias("line")))
     scored = cut(score_notices(lines))
-    own = told.join(scored, "line").groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("o"))
-    own = own.select("row", F.col("o.licence").alias("own_licence"), (-F.col("o.s")).alias("own_score"))
-    told_size = F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x))
-    named = F.lower(F.regexp_extract("path", r"[^/]*$", 0)).rlike(FILES)
-    found = cut(files.join(own, "row", "left").select("id", "path", "dir", F.size("lines").alias("notices"), "own_licence", "own_score", (F.col("own_licence").isNotNull() & (named | (3 * told_size >= F.col("size")))).alias("licence_file")))
+    order = F.struct((F.col("licence") == CLAIM).alias("claim"), "kind", (-F.col("score")).alias("s"), "licence", (-F.length("line")).alias("size"))
+    own = told.join(scored, "key").groupBy("row").agg(F.min(order).alias("o"))
+    own = own.select("row", F.col("o.licence").alias("own_licence"), (-F.col("o.s")).alias("own_score"), (-F.col("o.size")).alias("own_size"))
+    lined = F.filter("units", lambda u: u["kind"] == 3)
+    told_size = F.greatest(F.aggregate(lined, F.lit(0), lambda a, u: a + F.length(u["line"])), F.coalesce("own_size", F.lit(0)))
+    covering = F.col("own_licence").isNotNull() & (F.col("named") | (3 * told_size >= F.col("size")))
+    found = cut(files.join(own, "row", "left").select("id", "path", "dir", F.size(lined).alias("notices"), "own_licence", "own_score", covering.alias("licence_file")))
     covers = found.where("licence_file and dir is not null").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", "own_licence")).alias("c"))
     covers = covers.select("dir", F.col("c.own_licence").alias("licence"), F.col("c.path").alias("from"))
     places = found.where("dir is not null").select("dir").distinct()

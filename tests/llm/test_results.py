@@ -242,3 +242,39 @@ def test_licences_are_found_and_inherited(spark):
         1: ("MIT", "notice", "a/LICENSE"), 2: ("MIT", "directory", "a/LICENSE"), 3: ("Apache-2.0", "notice", "a/src/y.rs"), 4: (None, "none", None),
         5: ("GPL-3.0", "notice", "a/src/sub/COPYING"), 6: ("GPL-3.0", "directory", "a/src/sub/COPYING"), 7: (None, "none", None),
     }
+
+
+def test_whole_licences_and_wrapped_headers_are_found(spark):
+    texts = dict(license_scan.TEXTS)
+    bsd = "Copyright (c) 2020. All rights reserved.\n\n" + "\n\n".join(texts["BSD-3-Clause"])
+    gpl = "\n".join([
+        "// This program is free software: you can redistribute it and/or modify", "// it under the terms of the GNU General Public License as published by", "// the Free Software Foundation, either version 3",
+        "// of the License, or (at your option) any later version.", "fn main() {}", *["    let licence_of_word = other(words);"] * 9,
+    ])
+    files = [
+        (1, "a/LICENSE", texts["ISC"][0]), (2, "b/LICENSE", bsd), (3, "c/x.rs", gpl), (4, "d/LICENSE", "Copyright (c) 2020 A. B.\n\n" + "\n\n".join(texts["MIT"])), (5, "b/y.rs", "code"),
+        (6, "e/LICENSE", "# " * 30_000 + "-" * 50_000 + "x\n" * 30_000 + "#\n" * 30_000), (7, "f/z.txt", "Copyright. All rights reserved."),
+        (8, "g/LICENSE", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + "\n\n".join(f"{n}. Some clause of a licence with words of its own, as clause {n} has." for n in range(90))),
+    ]
+    rows = {r.doc_id: r.licence for r in license_scan.scan(spark.createDataFrame(files, "doc_id int, path string, text string")).collect()}
+    assert rows == {1: "ISC", 2: "BSD-3-Clause", 3: "GPL-3.0", 4: "MIT", 5: "BSD-3-Clause", 6: None, 7: "Proprietary", 8: "GPL-3.0"}
+
+
+def test_licence_scores_equal_a_plain_cosine(spark):
+    texts = [(f"k{n}", line.lower(), n % 3 + 1) for n, line in enumerate(["Released under the MIT License.", "licensed under version 3 of the gnu public license, words", "no license here", "copyright 2020", license_scan.TEXTS[2][1][0], "...", ""])]
+    terms = lambda line: Counter(re.findall(r"[^\W\d_]+|[0-9]+", line.lower()))
+    forms = [(name, terms(form)) for name, form in license_scan.FORMS]
+    known, total = set().union(*(f for _, f in forms)), sum(n for *_, n in texts)
+    seen = Counter()
+    for _, line, n in texts:
+        seen.update(dict.fromkeys(terms(line), n))
+    weights = lambda found: {t: c * (math.log((1 + total) / (1 + (seen[t] if t in known else 0))) + 1) for t, c in found.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    expected = {}
+    for key, line, _ in texts:
+        v = weights(terms(line))
+        best = min(((-round(sum(v.get(t, 0) * x for t, x in w.items()) / norm(w) / norm(v), 6), name) for name, w in ((name, weights(f)) for name, f in forms)), default=None) if v else (0, None)
+        if -best[0] >= license_scan.ALIKE:
+            expected[key] = (best[1], -best[0])
+    found = {r.key: (r.licence, r.score) for r in license_scan.score_notices(spark.createDataFrame(texts, "key string, line string, n long")).collect()}
+    assert found.keys() == expected.keys() and all(found[k][0] == expected[k][0] and abs(found[k][1] - expected[k][1]) < 2e-6 for k in found)
