@@ -165,7 +165,8 @@ def units(text: Column, named: Column) -> Column:
     tell = lambda kind, found: F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("line")))
     several = lambda found: F.filter(found, lambda x: _cued(x) & F.contains(F.trim(x), F.lit("\n")))
     none = F.array().cast("array<struct<kind:int,line:string>>")
-    parts = F.flatten(F.transform(runs(text), lambda run: F.split(run, BLANK)))
+    several_parts = lambda run: F.size(F.split(run, BLANK)) > 1  # noqa: E731  (a run of one paragraph is one text)
+    parts = F.flatten(F.transform(F.filter(runs(text), several_parts), lambda run: F.split(run, BLANK)))
     wide = F.concat(tell(1, several(runs(text))), tell(2, several(parts)), tell(3, notices(text)))
     return F.concat(F.when(named, tell(0, F.array(text))).otherwise(none), F.when(_cued(text), wide).otherwise(none))
 
@@ -205,15 +206,17 @@ def scan(df: DataFrame, id: str = "doc_id", text: str = "text", path: str = "pat
     files = df.select(F.col(id).alias("id"), where.alias("path"), _lower(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     named = F.coalesce(F.lower(F.regexp_extract("path", r"[^/]*$", 0)).rlike(FILES), F.lit(False))
     files = files.select("id", "path", "row", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), F.length("text").alias("size"), named.alias("named"), units(F.col("text"), named).alias("units"))
-    files = cut(files.withColumn("units", F.transform("units", lambda u: u.withField("key", F.sha2(u["line"], 256)))))
-    told = files.select("row", F.explode("units").alias("u")).select("row", "u.kind", "u.key", "u.line")
-    lines = cut(told.groupBy("key").agg(F.count("*").alias("n"), F.first("line").alias("line")))
-    scored = cut(score_notices(lines))
-    order = F.struct((F.col("licence") == CLAIM).alias("claim"), "kind", (-F.col("score")).alias("s"), "licence", (-F.length("line")).alias("size"))
-    own = told.join(scored, "key").groupBy("row").agg(F.min(order).alias("o"))
+    keyed = lambda u: F.struct(u["kind"].alias("kind"), F.unhex(F.sha2(u["line"], 256)).alias("name"), F.length(u["line"]).alias("size"))
+    texts = files.select(F.explode("units.line").alias("line")).groupBy(F.unhex(F.sha2("line", 256)).alias("name")).agg(F.count("*").alias("n"), F.first("line").alias("line"))
+    lines = cut(texts.withColumn("key", F.monotonically_increasing_id()))
+    files = cut(files.withColumn("units", F.transform("units", keyed)))  # texts are not kept, their sizes and hashes are
+    told = files.select("row", F.explode("units").alias("u")).select("row", "u.kind", "u.name", "u.size")
+    scored = cut(score_notices(lines).join(lines.select("key", "name"), "key").drop("key"))
+    order = F.struct((F.col("licence") == CLAIM).alias("claim"), "kind", (-F.col("score")).alias("s"), "licence", (-F.col("told.size")).alias("size"))
+    own = told.alias("told").join(scored, "name").groupBy("row").agg(F.min(order).alias("o"))
     own = own.select("row", F.col("o.licence").alias("own_licence"), (-F.col("o.s")).alias("own_score"), (-F.col("o.size")).alias("own_size"))
     lined = F.filter("units", lambda u: u["kind"] == 3)
-    told_size = F.greatest(F.aggregate(lined, F.lit(0), lambda a, u: a + F.length(u["line"])), F.coalesce("own_size", F.lit(0)))
+    told_size = F.greatest(F.aggregate(lined, F.lit(0), lambda a, u: a + u["size"]), F.coalesce("own_size", F.lit(0)))
     covering = F.col("own_licence").isNotNull() & (F.col("named") | (3 * told_size >= F.col("size")))
     found = cut(files.join(own, "row", "left").select("id", "path", "dir", F.size(lined).alias("notices"), "own_licence", "own_score", covering.alias("licence_file")))
     covers = found.where("licence_file and dir is not null").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", "own_licence")).alias("c"))
