@@ -64,12 +64,18 @@ def fan_metrics(nodes: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def distributions(metrics: DataFrame, columns: tuple[str, ...] = ("source_lines", "distinct_callers", "distinct_callees", "unsafe_blocks")) -> DataFrame:
-    """Least, lower median, nearest-rank 95th percentile and greatest of each metric; no rows for an empty input."""
+    """Least, lower median, nearest-rank 95th percentile and greatest of each metric; no rows for an empty input.
+
+    Values are counted before they are sorted, so a metric's task holds its distinct values only; nulls don't count.
+    """
     long = metrics.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("long").alias("value")) for c in columns])).alias("m")).select("m.*")
-    return long.groupBy("metric").agg(
+    counts = long.where("value is not null").groupBy("metric", "value").agg(F.count("*").alias("c"))
+    every = Window.partitionBy("metric")
+    counts = counts.withColumns({"upto": F.sum("c").over(every.orderBy("value")), "n": F.sum("c").over(every)})
+    return counts.groupBy("metric").agg(
         F.min("value").alias("least"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").cast("long").alias("median"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").cast("long").alias("p95"),
+        F.min(F.when(2 * F.col("upto") >= F.col("n"), F.col("value"))).alias("median"),
+        F.min(F.when(100 * F.col("upto") >= 95 * F.col("n"), F.col("value"))).alias("p95"),
         F.max("value").alias("greatest"),
     )
 

@@ -153,61 +153,67 @@ QUERIES["integrity_violations"] = (_f, _sql.replace("WITH bad", "WITH facts AS (
 # Graphs
 
 
-@_query("""
-WITH RECURSIVE walk AS (
-  SELECT 1 AS id, 0 AS level UNION SELECT g.target_id, level + 1 FROM walk JOIN v_nation_graph AS g ON g.source_id = walk.id WHERE level < 3)
-SELECT CAST(id AS INT) AS id, CAST(min(level) AS INT) AS level FROM walk GROUP BY id""")
+def _walk(root: str, step: str, depth: int) -> str:
+    return f"""
+WITH RECURSIVE {step},
+walk AS (SELECT '{root}' AS id, 0 AS level UNION SELECT b, level + 1 FROM walk JOIN steps ON a = walk.id WHERE level < {depth})
+SELECT id, CAST(min(level) AS INT) AS level FROM walk GROUP BY id"""
+
+
+_OUT = "SELECT source_id AS a, target_id AS b FROM v_call_graph WHERE target_id IS NOT NULL"
+_INTO = "SELECT target_id AS a, source_id AS b FROM v_call_graph WHERE target_id IS NOT NULL"
+
+
+@_query(_walk("part:1", f"steps AS (SELECT DISTINCT * FROM ({_OUT}))", 3))
 def neighbourhood_outgoing(spark, d):
-    return graphs.neighbourhood(read(spark, d, "v_nation_graph"), 1, "outgoing", 3)
+    return graphs.neighbourhood(read(spark, d, "v_call_graph"), "part:1", "outgoing", 3)
 
 
-@_query("""
-WITH RECURSIVE walk AS (
-  SELECT 3 AS id, 0 AS level UNION SELECT g.source_id, level + 1 FROM walk JOIN v_nation_graph AS g ON g.target_id = walk.id WHERE level < 2)
-SELECT CAST(id AS INT) AS id, CAST(min(level) AS INT) AS level FROM walk GROUP BY id""")
+@_query(_walk("customer:4", f"steps AS (SELECT DISTINCT * FROM ({_INTO}))", 2))
 def neighbourhood_incoming(spark, d):
-    return graphs.neighbourhood(read(spark, d, "v_nation_graph"), 3, "incoming", 2)
+    return graphs.neighbourhood(read(spark, d, "v_call_graph"), "customer:4", "incoming", 2)
 
 
-@_query("""
-WITH RECURSIVE steps AS (SELECT source_id AS a, target_id AS b FROM v_nation_graph UNION SELECT target_id, source_id FROM v_nation_graph),
-walk AS (SELECT 5 AS id, 0 AS level UNION SELECT b, level + 1 FROM walk JOIN steps ON a = walk.id WHERE level < 2)
-SELECT CAST(id AS INT) AS id, CAST(min(level) AS INT) AS level FROM walk GROUP BY id""")
+@_query(_walk("supplier:5", f"steps AS ({_OUT} UNION {_INTO})", 2))
 def neighbourhood_both(spark, d):
-    return graphs.neighbourhood(read(spark, d, "v_nation_graph"), 5, "both", 2)
+    return graphs.neighbourhood(read(spark, d, "v_call_graph"), "supplier:5", "both", 2)
 
 
-@_query("""
-WITH RECURSIVE walk AS (
-  SELECT 0 AS id, 0 AS level, [0] AS path, CAST(NULL AS INT) AS parent, CAST(NULL AS VARCHAR) AS relation_id
-  UNION ALL SELECT g.target_id, level + 1, list_append(path, CAST(g.target_id AS INT)), CAST(walk.id AS INT), g.id FROM walk JOIN v_nation_graph AS g ON g.source_id = walk.id WHERE level < 8),
-best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY level, path, relation_id) AS r FROM walk)
-SELECT CAST(id AS INT) AS id, CAST(level AS INT) AS level, parent, relation_id, array_to_string(path, '>') AS path FROM best WHERE r = 1""")
+def _levels(root: str, depth: int) -> str:
+    """The least path of each node, level by level."""
+    ctes = [f"steps AS (SELECT source_id AS a, target_id AS b, min(id) AS relation_id FROM v_call_graph WHERE target_id IS NOT NULL GROUP BY source_id, target_id), p0 AS (SELECT '{root}' AS id, ['{root}'] AS path, 0 AS level)"]
+    for level in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT id FROM p{i}" for i in range(level))
+        ctes.append(f"p{level} AS (SELECT b AS id, min(list_append(path, b)) AS path, {level} AS level FROM p{level - 1} JOIN steps ON a = id WHERE b NOT IN ({seen}) GROUP BY b)")
+    every = " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(depth + 1))
+    return f"WITH {', '.join(ctes)} SELECT id, CAST(level AS INT) AS level, a AS parent, relation_id, array_to_string(path, '>') AS path FROM ({every}) AS p LEFT JOIN steps ON b = id AND a = path[-2]"
+
+
+@_query(_levels("part:1", 4))
 def shortest_paths(spark, d):
-    found = graphs.shortest_paths(read(spark, d, "v_nation_graph"), 0)
-    return found.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
+    found = graphs.shortest_paths(read(spark, d, "v_call_graph"), "part:1", 4)
+    return found.withColumn("path", F.array_join("path", ">"))
 
 
 _SCC = """
 WITH RECURSIVE closure AS (
-  SELECT source_id AS a, target_id AS b FROM v_nation_graph UNION SELECT c.a, g.target_id FROM closure AS c JOIN v_nation_graph AS g ON g.source_id = c.b),
-nodes AS (SELECT source_id AS id FROM v_nation_graph UNION SELECT target_id FROM v_nation_graph),
+  SELECT source_id AS a, target_id AS b FROM v_flow_graph UNION SELECT c.a, g.target_id FROM closure AS c JOIN v_flow_graph AS g ON g.source_id = c.b),
+nodes AS (SELECT source_id AS id FROM v_flow_graph UNION SELECT target_id FROM v_flow_graph),
 same AS (SELECT id, id AS other FROM nodes UNION SELECT x.a, x.b FROM closure AS x JOIN closure AS y ON x.a = y.b AND x.b = y.a),
 named AS (SELECT id, min(other) AS component, count(*) AS size FROM same GROUP BY id) """
 
 
 @_query(_SCC + """
-SELECT CAST(id AS INT) AS id, CAST(component AS INT) AS component, size,
-       size > 1 OR EXISTS (SELECT 1 FROM v_nation_graph AS g WHERE g.source_id = named.id AND g.target_id = named.id) AS recursive FROM named""")
+SELECT id, component, size, size > 1 OR EXISTS (SELECT 1 FROM v_flow_graph AS g WHERE g.source_id = named.id AND g.target_id = named.id) AS recursive FROM named""")
 def strong_components(spark, d):
-    return graphs.components(read(spark, d, "v_nation_graph"))
+    return graphs.components(read(spark, d, "v_flow_graph"))
 
 
 @_query(_SCC + """
-SELECT CAST(x.component AS INT) AS from_component, CAST(y.component AS INT) AS to_component, count(*) AS relations
-FROM v_nation_graph AS g JOIN named AS x ON x.id = g.source_id JOIN named AS y ON y.id = g.target_id WHERE x.component <> y.component GROUP BY 1, 2""")
+SELECT x.component AS from_component, y.component AS to_component, count(*) AS relations
+FROM v_flow_graph AS g JOIN named AS x ON x.id = g.source_id JOIN named AS y ON y.id = g.target_id WHERE x.component <> y.component GROUP BY 1, 2""")
 def component_links(spark, d):
-    edges = read(spark, d, "v_nation_graph")
+    edges = read(spark, d, "v_flow_graph")
     return graphs.component_links(edges, graphs.components(edges))
 
 

@@ -36,11 +36,6 @@ SELECT concat(CAST(l_orderkey AS STRING), ':', CAST(l_partkey AS STRING), ':', C
        CASE WHEN l_linenumber = 7 THEN 'external_boundary' WHEN l_quantity > 49 THEN 'indirect_target_unknown' END AS reason,
        CASE WHEN l_returnflag = 'R' THEN 'macro_invocation' ELSE 'calls' END AS kind,
        concat('evidence:', CAST(l_suppkey % 50 AS STRING)) AS evidence_id, l_orderkey AS span_start FROM lineitem""",
-    "v_nation_graph": """
-SELECT concat(CAST(a AS STRING), '>', CAST(b AS STRING)) AS id, a AS source_id, b AS target_id FROM (
-  SELECT c_nationkey AS a, s_nationkey AS b, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, s_nationkey) AS r
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  GROUP BY c_nationkey, s_nationkey) AS x WHERE r <= 2""",
     "v_before": "SELECT p_partkey AS k, p_name AS name, p_brand AS signature, p_type AS body, CASE WHEN p_partkey % 3 = 0 THEN 'pub' ELSE 'private' END AS visibility, 'active' AS cfg_status, CAST(p_size AS STRING) AS source_span FROM part WHERE p_partkey % 17 <> 0",
     "v_after": """
 SELECT p_partkey AS k, p_name AS name, CASE WHEN p_partkey % 5 = 0 THEN concat(p_brand, '+') ELSE p_brand END AS signature,
@@ -58,13 +53,22 @@ SELECT conv_id AS body_id, turn AS block, CASE WHEN role = 'user' THEN 'switch_i
 SELECT c.conv_id AS body_id, c.turn AS block, n.turn AS target FROM conversations AS c JOIN conversations AS n ON c.conv_id = n.conv_id
 WHERE n.turn = c.turn + 1 OR (c.role = 'user' AND n.turn = c.turn + 2) OR (c.role = 'assistant' AND length(c.text) % 4 = 0 AND n.turn = c.turn - 1)""",
     "v_spans": """
-SELECT concat('part:', CAST(p_partkey AS STRING)) AS id, p_partkey % 50 AS file_id, (p_partkey * 37) % 1000 AS start,
+SELECT concat('part:', CAST(p_partkey AS STRING)) AS id, CAST(floor(p_partkey / 40) AS BIGINT) AS file_id, (p_partkey * 37) % 1000 AS start,
        (p_partkey * 37) % 1000 + p_size * 10 AS stop, CASE WHEN p_partkey % 11 = 0 THEN 'inactive' ELSE 'active' END AS cfg_status FROM part""",
     "v_bodies": """
-SELECT c_custkey AS body_id, c_custkey % 50 AS file_id, (c_custkey * 13) % 1000 AS start, (c_custkey * 13) % 1000 + c_custkey % 40 AS stop FROM customer""",
+SELECT c_custkey AS body_id, CAST(floor(c_custkey / 30) AS BIGINT) AS file_id, (c_custkey * 13) % 1000 AS start, (c_custkey * 13) % 1000 + c_custkey % 40 AS stop FROM customer""",
     "v_snapshots": """
 SELECT o_orderkey AS snapshot_id, o_custkey % 20 AS repository_id, o_orderpriority AS context_id, o_orderkey AS sequence,
        o_orderdate AS published_at, CAST(floor(o_totalprice) AS BIGINT) AS bytes, o_orderstatus AS status FROM orders""",
+    "v_call_graph": """
+SELECT id, source_id, target_id FROM v_relations
+UNION ALL SELECT concat(CAST(l_orderkey AS STRING), ':', CAST(l_linenumber AS STRING), '>'), concat('supplier:', CAST(l_suppkey AS STRING)), concat('customer:', CAST(o_custkey AS STRING))
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+UNION ALL SELECT concat(CAST(l_orderkey AS STRING), ':', CAST(l_linenumber AS STRING), '<'), concat('customer:', CAST(o_custkey AS STRING)), concat('part:', CAST(l_partkey AS STRING))
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1""",
+    "v_flow_graph": """
+SELECT concat(CAST(body_id AS STRING), ':', CAST(block AS STRING), '>', CAST(target AS STRING)) AS id, concat(CAST(body_id AS STRING), ':', CAST(block AS STRING)) AS source_id,
+       concat(CAST(body_id AS STRING), ':', CAST(target AS STRING)) AS target_id FROM v_edges""",
 }
 
 
@@ -88,7 +92,9 @@ def with_views(sql: str) -> str:
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
     recursive = re.match(r"\s*WITH RECURSIVE\b", sql)
     own = re.sub(r"^\s*WITH (RECURSIVE )?", "", sql) if re.match(r"\s*WITH\b", sql) else None
-    ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in used)
+    for n in used:  # views of views come first
+        used = [x for x in _deps(VIEWS[n]) if x in VIEWS and x not in used] + used
+    ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in sorted(used, key=list(VIEWS).index))
     if not used:
         return sql
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}" + (f", {own}" if own else f" {sql}")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars
-from factloom.operators import facts, flow, graphs, history
+from factloom.operators import facts, flow, graphs, history, mapping
 
 
 def _edges(spark, pairs):
@@ -148,3 +148,10 @@ def test_lines_count_bytes(spark):
 def test_search_limits(spark):
     with pytest.raises(ValueError):
         facts.search(spark.createDataFrame([], "id string, name_key string"), "a", limit=201)
+
+
+def test_a_body_meets_definitions_of_all_stretches(spark):
+    definitions = spark.createDataFrame([("file", 1, 0, 9000, "active"), ("f", 1, 2000, 4000, "active"), ("g", 1, 2000, 2000, "active"), ("off", 1, 2990, 3100, "inactive"), ("other", 2, 0, 9000, "active"), ("h", 1, 5000, 6000, "active"), ("i", 1, 5000, 6000, "active")], "id string, file_id int, start int, stop int, cfg_status string")
+    bodies = spark.createDataFrame([(1, 1, 3000, 3050), (2, 1, 3900, 4100), (3, 1, 5100, 5200), (4, 3, 0, 1), (5, 1, 8999, 9001)], "body_id int, file_id int, start int, stop int")
+    rows = {r.body_id: (r.definition_id, r.state) for r in mapping.map_bodies(bodies, definitions).collect()}
+    assert rows == {1: ("f", "mapped"), 2: ("file", "mapped"), 3: (None, "ambiguous"), 4: (None, "none"), 5: (None, "none")}
