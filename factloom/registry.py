@@ -321,26 +321,34 @@ def observation_summary(spark, d):
 
 # Bodies
 
-_REACH = """
-WITH RECURSIVE seen AS (
-  SELECT body_id, block FROM v_blocks WHERE block = 0 UNION SELECT e.body_id, e.target FROM seen JOIN v_edges AS e ON e.body_id = seen.body_id AND e.block = seen.block) """
-
-
-@_query(_REACH + """,
-own AS (SELECT e.* FROM v_edges AS e JOIN seen ON seen.body_id = e.body_id AND seen.block = e.block),
-n AS (SELECT body_id, count(*) + 1 AS nodes FROM seen GROUP BY body_id), r AS (SELECT body_id, count(*) AS runtime FROM own GROUP BY body_id),
-x AS (SELECT body_id, count(*) AS exits FROM seen WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.body_id = seen.body_id AND own.block = seen.block) GROUP BY body_id)
-SELECT n.body_id, nodes, coalesce(runtime, 0) + coalesce(exits, 0) AS edges, coalesce(exits, 0) AS exits,
-       CASE WHEN exits > 0 THEN coalesce(runtime, 0) + exits - nodes + 2 END AS cyclomatic FROM n LEFT JOIN r USING (body_id) LEFT JOIN x USING (body_id)""")
+@_query("""
+WITH RECURSIVE runs AS (
+  SELECT e.body_id, e.block, e.target FROM v_successors AS e JOIN v_terminators AS t ON t.body_id = e.body_id AND t.block = e.block
+  WHERE e.kind <> 'imaginary' AND (e.kind <> 'unwind' OR t.term_kind <> 'false_unwind')),
+seen AS (SELECT body_id, block FROM v_terminators WHERE block = 0 UNION SELECT e.body_id, e.target FROM seen JOIN runs AS e ON e.body_id = seen.body_id AND e.block = seen.block),
+sites AS (SELECT t.body_id, t.block, (t.term_kind <> 'false_unwind' AND coalesce(t.unwind IN ('continue', 'terminate'), false))
+                 OR NOT EXISTS (SELECT 1 FROM runs AS e WHERE e.body_id = t.body_id AND e.block = t.block) AS leaves
+          FROM v_terminators AS t JOIN seen ON seen.body_id = t.body_id AND seen.block = t.block),
+n AS (SELECT body_id, count(*) + 1 AS nodes, count(*) FILTER (leaves) AS exits FROM sites GROUP BY body_id),
+r AS (SELECT e.body_id, count(*) AS runtime FROM runs AS e JOIN seen ON seen.body_id = e.body_id AND seen.block = e.block GROUP BY e.body_id)
+SELECT n.body_id, nodes, coalesce(runtime, 0) + exits AS edges, exits, CASE WHEN exits > 0 THEN coalesce(runtime, 0) + exits - nodes + 2 END AS cyclomatic FROM n LEFT JOIN r USING (body_id)""")
 def cyclomatic_complexity(spark, d):
-    return flow.cyclomatic(read(spark, d, "v_blocks"), read(spark, d, "v_edges"))
+    return flow.cyclomatic(read(spark, d, "v_terminators"), read(spark, d, "v_successors"))
 
 
 @_query("""
-SELECT b.body_id, b.block, b.term_kind, count(e.target) AS successors FROM v_blocks AS b LEFT JOIN v_edges AS e ON e.body_id = b.body_id AND e.block = b.block
-GROUP BY b.body_id, b.block, b.term_kind HAVING (b.term_kind = 'goto' AND count(e.target) <> 1) OR (b.term_kind = 'switch_int' AND count(e.target) < 1)""")
+WITH c AS (
+  SELECT t.body_id, t.block, t.term_kind, t.unwind, t.unwind_target, count(e.kind) AS n, count(*) FILTER (e.kind = 'normal') AS normal, count(*) FILTER (e.kind = 'otherwise') AS other, count(*) FILTER (e.kind = 'switch_value') AS switches,
+         count(*) FILTER (e.kind = 'unwind') AS unwinds, count(*) FILTER (e.kind = 'imaginary') AS imaginary, count(DISTINCT e.switch_value) AS switch_values, min(e.target) FILTER (e.kind = 'unwind') AS unwinds_to,
+         count(*) FILTER (e.switch_value IS NOT NULL AND NOT regexp_full_match(e.switch_value, '0|[1-9][0-9]{0,37}')) AS bad
+  FROM v_terminators AS t LEFT JOIN v_successors AS e ON e.body_id = t.body_id AND e.block = t.block GROUP BY ALL),
+x AS (SELECT *, CASE term_kind WHEN 'goto' THEN normal = 1 AND n = 1 AND unwind IS NULL WHEN 'switch_int' THEN other = 1 AND n = switches + 1 AND unwind IS NULL WHEN 'return' THEN n = 0 AND unwind IS NULL
+                     WHEN 'false_edge' THEN normal = 1 AND imaginary = 1 AND n = 2 AND unwind IS NULL WHEN 'call' THEN normal <= 1 AND unwinds <= 1 AND n = normal + unwinds AND unwind IS NOT NULL END AS fits FROM c)
+SELECT * FROM (SELECT body_id, block, term_kind, concat_ws(',', CASE WHEN bad > 0 OR switch_values < switches THEN 'switch_values' END,
+         CASE WHEN coalesce(unwind, '') = 'cleanup' THEN CASE WHEN unwinds <> 1 OR unwinds_to <> unwind_target THEN 'unwind_edge' END WHEN unwinds > 0 THEN 'unwind_edge' END, CASE WHEN NOT fits THEN 'shape' END) AS rules FROM x)
+WHERE rules <> ''""")
 def terminator_shapes(spark, d):
-    return flow.shape_violations(read(spark, d, "v_blocks"), read(spark, d, "v_edges"))
+    return flow.shape_violations(read(spark, d, "v_terminators"), read(spark, d, "v_successors"))
 
 
 @_query("""

@@ -69,6 +69,17 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1""",
     "v_flow_graph": """
 SELECT concat(CAST(body_id AS STRING), ':', CAST(block AS STRING), '>', CAST(target AS STRING)) AS id, concat(CAST(body_id AS STRING), ':', CAST(block AS STRING)) AS source_id,
        concat(CAST(body_id AS STRING), ':', CAST(target AS STRING)) AS target_id FROM v_edges""",
+    "v_terminators": """
+SELECT conv_id AS body_id, turn AS block,
+       CASE WHEN role = 'user' THEN 'switch_int' WHEN length(text) % 8 = 0 THEN 'false_edge' WHEN length(text) % 4 = 1 THEN 'goto' WHEN length(text) % 4 = 3 THEN 'return' ELSE 'call' END AS term_kind,
+       CASE WHEN role = 'user' OR length(text) % 8 = 0 OR length(text) % 4 IN (1, 3) THEN NULL WHEN length(text) % 8 = 4 THEN 'cleanup' WHEN length(text) % 3 = 0 THEN 'continue' WHEN length(text) % 3 = 1 THEN 'terminate' END AS unwind,
+       CASE WHEN role <> 'user' AND length(text) % 8 = 4 THEN turn - 1 END AS unwind_target FROM conversations""",
+    "v_successors": """
+SELECT c.conv_id AS body_id, c.turn AS block, n.turn AS target,
+       CASE WHEN n.turn = c.turn + 1 THEN CASE WHEN c.role = 'user' THEN 'otherwise' ELSE 'normal' END WHEN n.turn = c.turn + 2 THEN 'switch_value' WHEN length(c.text) % 8 = 0 THEN 'imaginary' ELSE 'unwind' END AS kind,
+       CASE WHEN n.turn = c.turn + 2 THEN CASE WHEN length(c.text) % 7 = 0 THEN '01' ELSE CAST(length(c.text) AS STRING) END END AS switch_value
+FROM conversations AS c JOIN conversations AS n ON c.conv_id = n.conv_id
+WHERE n.turn = c.turn + 1 OR (c.role = 'user' AND n.turn = c.turn + 2) OR (c.role <> 'user' AND length(c.text) % 4 = 0 AND n.turn = c.turn - 1)""",
 }
 
 

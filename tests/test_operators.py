@@ -92,7 +92,9 @@ def test_outcomes(spark):
 )
 def test_cyclomatic(spark, edges, expected):
     blocks = spark.createDataFrame([(1, b) for b in sorted(set(itertools.chain(*edges)))], "body_id long, block long")
-    row = flow.cyclomatic(blocks, spark.createDataFrame([(1, a, b) for a, b in edges], "body_id long, block long, target long")).first()
+    row = flow.cyclomatic(
+        blocks.selectExpr("*", "'goto' AS term_kind", "CAST(NULL AS STRING) AS unwind"), spark.createDataFrame([(1, a, b, "normal") for a, b in edges], "body_id long, block long, target long, kind string")
+    ).first()
     assert (row.nodes, row.edges, row.exits, row.cyclomatic) == expected
 
 
@@ -155,3 +157,31 @@ def test_a_body_meets_definitions_of_all_stretches(spark):
     bodies = spark.createDataFrame([(1, 1, 3000, 3050), (2, 1, 3900, 4100), (3, 1, 5100, 5200), (4, 3, 0, 1), (5, 1, 8999, 9001)], "body_id int, file_id int, start int, stop int")
     rows = {r.body_id: (r.definition_id, r.state) for r in mapping.map_bodies(bodies, definitions).collect()}
     assert rows == {1: ("f", "mapped"), 2: ("file", "mapped"), 3: (None, "ambiguous"), 4: (None, "none"), 5: (None, "none")}
+
+
+def test_shapes_of_all_terminators(spark):
+    blocks, edges = [], []
+
+    def block(kind, *successors, unwind=None, to=None):
+        blocks.append((0, len(blocks), kind, unwind, to))
+        edges.extend((0, len(blocks) - 1, *(x if isinstance(x, tuple) else (x, 9, None))) for x in successors)
+
+    block("goto", "normal"), block("switch_int", "otherwise", ("switch_value", 3, "0"), ("switch_value", 3, str(2**128 - 1))), block("return"), block("unwind_terminate", unwind="terminate")
+    block("drop", "normal", "coroutine_drop", "unwind", unwind="cleanup", to=9), block("call", unwind="continue"), block("assert", "normal", unwind="unreachable"), block("yield", "resume")
+    block("false_edge", "normal", "imaginary"), block("inline_asm", "normal", "normal", "normal", unwind="continue"), block("false_unwind", "normal", "unwind", unwind="cleanup", to=9)
+    right = len(blocks)
+    block("goto"), block("goto", "normal", unwind="continue"), block("return", "normal"), block("unwind_terminate"), block("call", "normal"), block("yield", "normal"), block("novel")
+    block("call", "normal", "unwind", unwind="cleanup", to=8), block("call", "unwind", unwind="continue"), block("switch_int", "otherwise", ("switch_value", 1, "1"), ("switch_value", 2, "1"))
+    block("switch_int", "otherwise", ("switch_value", 1, "007")), block("switch_int", "otherwise", ("switch_value", 1, str(2**128))), block("goto", ("normal", 1, "4")), block(None)
+    found = flow.shape_violations(
+        spark.createDataFrame(blocks, "body_id int, block int, term_kind string, unwind string, unwind_target int"), spark.createDataFrame(edges, "body_id int, block int, kind string, target int, switch_value string")
+    )
+    rules = {r.block - right: r.rules for r in found.collect()}
+    assert rules == {**dict.fromkeys(range(7), "shape"), 7: "unwind_edge", 8: "unwind_edge", 9: "switch_values", 10: "switch_values", 11: "switch_values", 12: "switch_values", 13: "shape"}
+
+
+def test_exits_by_unwinding_and_edges_that_never_run(spark):
+    blocks = [(0, 0, "call", "continue"), (0, 1, "return", None), (0, 2, "return", None), (1, 0, "false_edge", None), (1, 1, "goto", None), (2, 0, "false_unwind", "continue"), (2, 1, "return", None)]
+    edges = [(0, 0, 1, "normal"), (1, 0, 1, "normal"), (1, 0, 0, "imaginary"), (1, 1, 0, "normal"), (2, 0, 1, "normal"), (2, 0, 0, "unwind")]
+    found = flow.cyclomatic(spark.createDataFrame(blocks, "body_id int, block int, term_kind string, unwind string"), spark.createDataFrame(edges, "body_id int, block int, target int, kind string"))
+    assert {r.body_id: (r.nodes, r.edges, r.exits, r.cyclomatic) for r in found.collect()} == {0: (3, 3, 2, 2), 1: (3, 2, 0, None), 2: (3, 2, 1, 1)}
