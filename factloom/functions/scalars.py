@@ -43,14 +43,40 @@ def lines(files: DataFrame, id: str = "file_id", text: str = "text") -> DataFram
     return rows.select(id, (F.col("pos") + 1).cast("long").alias("line"), start.alias("start_byte"), "content")
 
 
-def source_windows(files: DataFrame, start_line: int, line_count: int, id: str = "file_id", text: str = "text") -> DataFrame:
-    """(id, total_lines, start_byte, window) of a window of lines of every file; files with fewer lines give none."""
-    if start_line < 1 or not 1 <= line_count <= 1000:
+def line_at(text: Column, byte: Column) -> Column:
+    """The line, from 1, of a byte offset of a text in UTF-8; null for an offset outside it or within a character."""
+    data = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    before = F.substring(data, F.lit(1), byte).cast("string")
+    apart = byte.between(0, F.octet_length(data)) & ~F.hex(F.substring(data, byte + 1, F.lit(1))).rlike("^[89AB]")
+    return F.when(apart, (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("long"))
+
+
+def _first_bytes(text: Column, most: int) -> Column:
+    """The longest beginning of a text that has ``most`` bytes of UTF-8 at most and ends with a whole character."""
+    data = F.encode(text, "UTF-8")
+    inside = lambda at: F.hex(F.substring(data, at + 1, 1)).rlike("^[89AB]")  # noqa: E731  (of a character that began before)
+    end = F.lit(most - 3)
+    for at in (most - 2, most - 1, most):
+        end = F.when(~inside(at), at).otherwise(end)
+    return F.when(F.octet_length(text) > most, F.substring(data, F.lit(1), end).cast("string")).otherwise(text)
+
+
+def source_windows(files: DataFrame, start_line: int | Column, line_count: int, id: str = "file_id", text: str = "text", most: int = 262_144) -> DataFrame:
+    """(id, total_lines, start_byte, window, truncated) of a window of lines of every file; files with fewer lines give none.
+
+    start_line may be a column (``line_at`` gives the line of an offset). Lines keep their ends; a window has ``most`` bytes at
+    most and ends with a whole character; truncated says whether it is less than the file.
+    """
+    if isinstance(start_line, int) and start_line < 1 or not 1 <= line_count <= 1000 or most < 4:
         raise ValueError("a window starts at line 1 or later and has 1..1000 lines")
-    split = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    rows = files.select(id, split.alias("lines")).where(F.size("lines") >= start_line)
-    before = F.aggregate(F.slice("lines", 1, start_line - 1), F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x) + 1) if start_line > 1 else F.lit(0).cast("long")
-    return rows.select(id, F.size("lines").cast("long").alias("total_lines"), before.alias("start_byte"), F.array_join(F.slice("lines", start_line, line_count), "\n").alias("window"))
+    first = F.lit(start_line) if isinstance(start_line, int) else start_line.cast("int")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = files.select(id, F.split(whole, "\n", -1).alias("lines"), first.alias("first"), F.octet_length(whole).alias("bytes")).where((F.col("first") >= 1) & (F.size("lines") >= F.col("first")))
+    before = F.aggregate(F.slice("lines", F.lit(1), F.col("first") - 1), F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x) + 1)
+    end = F.when(F.size("lines") >= F.col("first") + line_count, "\n").otherwise("")
+    window = _first_bytes(F.concat(F.array_join(F.slice("lines", F.col("first"), F.lit(line_count)), "\n"), end), most)
+    rows = rows.select(id, F.size("lines").cast("long").alias("total_lines"), before.alias("start_byte"), window.alias("window"), "bytes")
+    return rows.select(id, "total_lines", "start_byte", "window", (F.octet_length("window") < F.col("bytes")).alias("truncated"))
 
 
 def text_metrics(files: DataFrame, id: str = "file_id", text: str = "text") -> DataFrame:

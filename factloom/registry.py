@@ -367,8 +367,9 @@ def reaching_definitions(spark, d):
 
 
 @_query("""
-WITH l AS (SELECT file_id, string_split(coalesce(text, ''), chr(10)) AS x FROM v_files)
-SELECT file_id, CAST(len(x) AS BIGINT) AS total_lines, CAST(strlen(x[1]) + 1 AS BIGINT) AS start_byte, array_to_string(x[2:4], chr(10)) AS "window" FROM l WHERE len(x) >= 2""")
+WITH l AS (SELECT file_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS x FROM v_files),
+w AS (SELECT *, array_to_string(x[2:4], chr(10)) || CASE WHEN len(x) > 4 THEN chr(10) ELSE '' END AS "window" FROM l WHERE len(x) >= 2)
+SELECT file_id, CAST(len(x) AS BIGINT) AS total_lines, CAST(strlen(x[1]) + 1 AS BIGINT) AS start_byte, "window", "window" <> t AS truncated FROM w""")
 def source_windows(spark, d):
     return scalars.source_windows(read(spark, d, "v_files"), 2, 3)
 

@@ -185,3 +185,22 @@ def test_exits_by_unwinding_and_edges_that_never_run(spark):
     edges = [(0, 0, 1, "normal"), (1, 0, 1, "normal"), (1, 0, 0, "imaginary"), (1, 1, 0, "normal"), (2, 0, 1, "normal"), (2, 0, 0, "unwind")]
     found = flow.cyclomatic(spark.createDataFrame(blocks, "body_id int, block int, term_kind string, unwind string"), spark.createDataFrame(edges, "body_id int, block int, target int, kind string"))
     assert {r.body_id: (r.nodes, r.edges, r.exits, r.cyclomatic) for r in found.collect()} == {0: (3, 3, 2, 2), 1: (3, 2, 0, None), 2: (3, 2, 1, 1)}
+
+
+def test_source_windows_by_line_and_offset(spark):
+    texts = ["a\nbé\n😀😀\nd", "", "one", "é\n", "x\n\n\ny", None]
+    cases = [(i, t, byte) for i, t in enumerate(texts) for byte in range(-1, len((t or "").encode()) + 2)]
+    files = spark.createDataFrame([(100 * i + byte + 1, t, byte) for i, t, byte in cases], "file_id int, text string, byte int")
+    for most in (4, 5, 6, 7, 100):
+        expected = {}
+        for i, t, byte in cases:
+            data = (t or "").encode()
+            if not 0 <= byte <= len(data) or (byte < len(data) and data[byte] & 0xC0 == 0x80):
+                continue
+            line = data[:byte].count(b"\n") + 1
+            parts = (t or "").splitlines(keepends=True) if t and not t.endswith("\n") else (t or "").splitlines(keepends=True) + [""]
+            start = len("".join(parts[: line - 1]).encode())
+            window = "".join(parts[line - 1 : line + 1]).encode()[:most].decode(errors="ignore")
+            expected[100 * i + byte + 1] = (len(parts), start, window, window != (t or ""))
+        found = scalars.source_windows(files, scalars.line_at(F.col("text"), F.col("byte")), 2, most=most).collect()
+        assert {r.file_id: (r.total_lines, r.start_byte, r.window, r.truncated) for r in found} == expected
