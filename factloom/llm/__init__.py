@@ -19,6 +19,7 @@ OPERATORS = {
     "op8_language_id": "language_id",
     "op9_document_fingerprints": "imatch",
     "op10_license_scan": "license_scan",
+    "op11_merkle_manifest": "merkle",
 }
 
 
