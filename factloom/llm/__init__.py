@@ -20,6 +20,7 @@ OPERATORS = {
     "op9_document_fingerprints": "imatch",
     "op10_license_scan": "license_scan",
     "op11_merkle_manifest": "merkle",
+    "op12_toxicity": "toxicity",
     "op13_hard_negatives": "hard_negatives",
 }
 
