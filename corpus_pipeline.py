@@ -12,7 +12,7 @@ checkpoint folder.
 5. packing: pieces of token ids in sequences of 4096.
 
 Defined results: null and empty texts fail the base rule and go; of repeated rows, of rows with equal texts and of near
-copies one stays, that of the smallest id, and a row without an id stays; documents without an id are cut after all others;
+copies one stays, that of the smallest id, and a row without an id stays; rows of one id with other texts are documents of their own; documents without an id are cut after all others;
 an empty table gives no rows; more columns, whatever their names, come along through all stages but the last.
 """
 
@@ -33,9 +33,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identify(docs.select("doc_id", "text", "lang", "source"), language_id.fit(docs), "text", F.col("lang"), F.lit(None).cast("string"), F.col("source"))
+    tag = "_" * (max(map(len, docs.columns)) + 1) + "row"  # a name that no column has
+    # Rows that are equal in what the decision reads have one decision; the texts needn't travel with it.
+    tagged = docs.withColumn(tag, F.xxhash64("doc_id", "text", "lang", "source"))
+    found = language_id.identify(tagged.select(tag, "text", "lang", "source"), language_id.fit(docs), "text", F.col("lang"), F.lit(None).cast("string"), F.col("source"))
     rejected = found.where((F.col("lang_id") == language_id.UND) | (F.col("confidence") < 0.5))
-    return without(docs, rejected.select("doc_id"), "doc_id")
+    return without(tagged, rejected.select(tag), tag).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

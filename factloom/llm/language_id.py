@@ -162,10 +162,41 @@ def identify(df: DataFrame, model: np.ndarray, text: str, declared: Column, suff
     )
 
 
-_TAGS = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_HIDDEN = re.compile(rb"<(script|style)\b")
+_ENDS = {name: re.compile(rb"</%s\s*>" % name) for name in (b"script", b"style")}
 _LANG = re.compile(rb"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""")
 
 
+def untagged(page: bytes) -> bytes:
+    """A page with a space for each script, style, comment and tag; what isn't closed is text.
+
+    One pass: an end that isn't found once isn't looked for again.
+    """
+    low, out, at, gone = page.lower(), [], 0, set()
+
+    def end_of(kind: bytes, start: int) -> int:
+        if kind in gone:
+            return -1
+        if kind in _ENDS:
+            found = _ENDS[kind].search(low, start)
+            end = found.end() if found else -1
+        else:
+            end = low.find(kind, start)
+            end += len(kind) if end >= 0 else 0
+        if end < 0:
+            gone.add(kind)
+        return end
+
+    while (start := low.find(b"<", at)) >= 0:
+        end = end_of(m[1], m.end()) if (m := _HIDDEN.match(low, start)) else end_of(b"-->", start + 4) if low.startswith(b"<!--", start) else -1
+        end = end_of(b">", start + 1) if end < 0 else end
+        if end < 0:
+            break
+        out += [page[at:start], b" "]
+        at = end
+    return b"".join([*out, page[at:]])
+
+
 def page_texts(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(id, url, text, declared): the text of a page without scripts, styles, comments and tags, and its lang attribute."""
 
@@ -174,7 +205,7 @@ def page_texts(pages: DataFrame, id: str = "page_id", url: str = "url", html: st
             for at in range(0, len(part), 200):
                 few = part.slice(at, 200)
                 raw = [(x.as_py() or "").encode() for x in few.column(2)]
-                texts = [entities.unescape(_TAGS.sub(b" ", x).decode("utf-8", "replace")) for x in raw]
+                texts = [entities.unescape(untagged(x).decode("utf-8", "replace")) for x in raw]
                 declared = [m[1].decode() if (m := _LANG.search(x)) else None for x in raw]
                 yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(texts, pa.string()), pa.array(declared, pa.string())], names=[id, url, "text", "declared"])
 

@@ -277,12 +277,21 @@ def _sized(alike: float) -> Column:
     return most * (1 + alike) >= (F.col("a_size") + F.col("b_size")) * F.lit(alike) - 1e-6
 
 
+def _row_of(id: str, text: str) -> Column:
+    """Names a row by its id and text."""
+    return F.xxhash64(F.col(id), F.col(text).cast("string"))
+
+
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", alike: float = ALIKE) -> DataFrame:
     """(id, component): classes of texts linked by a Jaccard similarity of ``alike`` or more; the smallest id names a class."""
+    return _classes(df, id, text, alike).select("id", "component")
+
+
+def _classes(df: DataFrame, id: str, text: str, alike: float) -> DataFrame:
+    """(id, row, component, first) of each row: first is the row that stands for the class, of the smallest id, then row."""
     if not 0.5 < alike <= 1:
         raise ValueError("a similarity lies above 0.5, up to 1")
-    docs = df.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-    docs = docs.withColumn("row", F.xxhash64("id", "text"))
+    docs = df.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), _row_of(id, text).alias("row"))
     kind = df.schema[id].dataType.simpleString()
     found = cut(_each(docs, ["id", "row"], lambda s: (_name(s), len(s), _sketch(s)), f"id {kind}, row bigint, node bigint, size bigint, sketch binary"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")
@@ -343,12 +352,25 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", alike
     rest, edges = spread(members.withColumn("root", F.col("node")), None)
     if not rest.isEmpty():
         edges = more(edges, _within(rest, nodes, alike))
-    named = rooted(nodes.select("node", "head"), edges)
-    least = named.groupBy("root").agg(F.min("head").alias("component"))
-    of = named.join(least, "root").select(F.col("node").alias("_node"), "component")
-    return found.join(of, found.node == of._node).select("id", "component")
+    named = rooted(nodes.select("node", "head", "row"), edges)
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("head").isNull().alias("none"), "head", "row")).alias("m"))
+    of = named.join(least, "root").select(F.col("node").alias("_node"), F.col("m.head").alias("component"), F.col("m.row").alias("first"))
+    return found.join(of, found.node == of._node).select("id", "row", "component", "first")
 
 
 def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", alike: float = ALIKE) -> DataFrame:
-    """The rows of df of which each class keeps the document with the smallest id; rows without an id stay."""
-    return without(df, near_duplicates(df, id, text, alike).where("id <> component").select("id"), id)
+    """The rows of df of which each class keeps one, that of the smallest id; rows without an id stay.
+
+    Rows go, not ids: of several texts of one id only those that are copies go. Of rows of one id and text one stays,
+    whatever their other columns hold.
+    """
+    classes = cut(_classes(df, id, text, alike).where("id is not null"))
+    tag = "_" * (max(map(len, df.columns)) + 1) + "row"  # a name that no column has
+    tagged = df.withColumn(tag, _row_of(id, text))
+    kept = without(tagged, classes.where("row <> first").select("row"), tag)
+    again = cut(classes.where("row = first").groupBy("row").count().where("count > 1").select("row"))
+    if not again.isEmpty():
+        same = tagged.join(again.withColumnRenamed("row", tag), tag, "left_semi")
+        one = same.groupBy(tag).agg(F.first(F.struct(*df.columns)).alias("_one")).select("_one.*")
+        return without(kept, again, tag).select(*df.columns).unionByName(one)
+    return kept.select(*df.columns)

@@ -72,3 +72,24 @@ def test_the_stage_keeps_what_brute_force_keeps(spark):
     more = docs.unionByName(spark.createDataFrame(texts[-40:], "doc_id long, text string").selectExpr("*", "'en' AS lang", "'x' AS source", "length(text) AS n_chars"), allowMissingColumns=True)
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, more, "").collect()}
     assert kept == {i for i, least in _classes(texts).items() if i == least}
+
+
+def test_rows_go_and_not_ids(spark):
+    """Texts of one id are documents of their own; of equal rows one stays; rows without an id stay."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    docs = [(3, b), (5, a), (5, b), (7, c), (7, c), (7, c), (None, a), (None, a), (9, c + " more"), (11, None), (12, "")]
+    found = near_copies.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(3, b), (5, a), (7, c), (None, a), (None, a), (11, None)], key=str)
+
+
+def test_equal_rows_with_other_columns_leave_one(spark):
+    docs = spark.createDataFrame([(1, "one text here", {"k": 1}), (1, "one text here", {"k": 2}), (2, "another", None)], "doc_id long, text string, _row map<string,int>")
+    found = near_copies.deduplicate(docs)
+    assert found.columns == docs.columns and sorted(r.doc_id for r in found.collect()) == [1, 2]
+
+
+def test_the_language_stage_drops_rows(spark):
+    words = "the quick brown fox and the dog are in the house of the king"
+    docs = spark.createDataFrame([(1, words, "en", "s", 5), (1, "123 456 789", "en", "s", 3), (2, words, "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.language(spark, docs, None).collect()
+    assert sorted((r.doc_id, r.text) for r in found) == [(1, words), (2, words)]
