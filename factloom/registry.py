@@ -483,3 +483,7 @@ def test_outcomes(spark, d):
     rows = read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels").withColumn("ran", F.lit(True)), "doc_id", "left")
     passed = F.col("quality") == 1
     return history.outcome_counts(rows.select(history.outcome(F.coalesce("ran", F.lit(False)), passed, F.col("toxic") == 1).alias("outcome")))
+
+
+# Queries by subject; each module adds its own.
+from factloom.queries import walks  # noqa: E402, F401

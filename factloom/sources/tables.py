@@ -61,10 +61,10 @@ SELECT c_custkey AS body_id, CAST(floor(c_custkey / 30) AS BIGINT) AS file_id, (
 SELECT o_orderkey AS snapshot_id, o_custkey % 20 AS repository_id, o_orderpriority AS context_id, o_orderkey AS sequence,
        o_orderdate AS published_at, CAST(floor(o_totalprice) AS BIGINT) AS bytes, o_orderstatus AS status FROM orders""",
     "v_call_graph": """
-SELECT id, source_id, target_id FROM v_relations
-UNION ALL SELECT concat(CAST(l_orderkey AS STRING), ':', CAST(l_linenumber AS STRING), '>'), concat('supplier:', CAST(l_suppkey AS STRING)), concat('customer:', CAST(o_custkey AS STRING))
+SELECT id, source_id, target_id, reason FROM v_relations
+UNION ALL SELECT concat(CAST(l_orderkey AS STRING), ':', CAST(l_linenumber AS STRING), '>'), concat('supplier:', CAST(l_suppkey AS STRING)), concat('customer:', CAST(o_custkey AS STRING)), NULL
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-UNION ALL SELECT concat(CAST(l_orderkey AS STRING), ':', CAST(l_linenumber AS STRING), '<'), concat('customer:', CAST(o_custkey AS STRING)), concat('part:', CAST(l_partkey AS STRING))
+UNION ALL SELECT concat(CAST(l_orderkey AS STRING), ':', CAST(l_linenumber AS STRING), '<'), concat('customer:', CAST(o_custkey AS STRING)), concat('part:', CAST(l_partkey AS STRING)), NULL
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1""",
     "v_flow_graph": """
 SELECT concat(CAST(body_id AS STRING), ':', CAST(block AS STRING), '>', CAST(target AS STRING)) AS id, concat(CAST(body_id AS STRING), ':', CAST(block AS STRING)) AS source_id,
