@@ -80,6 +80,20 @@ SELECT c.conv_id AS body_id, c.turn AS block, n.turn AS target,
        CASE WHEN n.turn = c.turn + 2 THEN CASE WHEN length(c.text) % 7 = 0 THEN '01' ELSE CAST(length(c.text) AS STRING) END END AS switch_value
 FROM conversations AS c JOIN conversations AS n ON c.conv_id = n.conv_id
 WHERE n.turn = c.turn + 1 OR (c.role = 'user' AND n.turn = c.turn + 2) OR (c.role <> 'user' AND length(c.text) % 4 = 0 AND n.turn = c.turn - 1)""",
+    "v_flow_bodies": "SELECT conv_id AS body_id, CAST(2 AS BIGINT) AS arguments FROM conversations GROUP BY conv_id",
+    "v_flow_locals": " UNION ALL ".join(f"SELECT body_id, CAST({k} AS BIGINT) AS local FROM v_flow_bodies" for k in range(6)),
+    "v_flow_blocks": "SELECT conv_id AS body_id, turn AS block, CAST(length(text) % 4 AS BIGINT) AS statements, CASE WHEN length(text) % 13 = 0 THEN 'yield' WHEN role = 'user' THEN 'switch_int' ELSE 'call' END AS term_kind FROM conversations",
+    "v_flow_effects": " UNION ALL ".join(
+        f"SELECT conv_id AS body_id, turn AS block, CAST({i} AS BIGINT) AS step, '{action}' AS action, CAST(({local}) % 6 AS BIGINT) AS local FROM conversations WHERE length(text) % 4 >= {i} AND {when}"
+        for i in range(4)
+        for action, local, when in (
+            ("def", f"length(text) + {7 * i} + turn", f"(length(text) + {i}) % 3 <> 0"), ("use", f"length(text) * 3 + {i}", "true"), ("use", f"turn + {i}", f"length(text) % 2 = {i % 2}"),
+            ("move", f"turn * 5 + {i}", f"(length(text) + turn + {i}) % 5 = 0"), ("storage_dead", f"length(text) + {i}", f"(length(text) + {2 * i}) % 7 = 0"), ("storage_live", f"turn + {3 * i}", f"(length(text) + {i}) % 8 = 0"),
+        )),
+    "v_flow_unknowns": """
+SELECT conv_id AS body_id, turn AS block, CAST(0 AS BIGINT) AS step, 'pointer_aliasing' AS effect FROM conversations WHERE length(text) % 23 = 0
+UNION ALL SELECT conv_id, turn, CAST(length(text) % 4 AS BIGINT), 'call' FROM conversations WHERE role <> 'user' AND length(text) % 9 = 0""",
+    "v_flow_returns": "SELECT conv_id AS body_id, turn AS block, CAST((length(text) + turn) % 6 AS BIGINT) AS local FROM conversations WHERE role <> 'user'",
 }
 
 
