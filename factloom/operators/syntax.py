@@ -49,7 +49,8 @@ def brackets(tokens: DataFrame, id: str = "file_id") -> DataFrame:
     inside = F.sum(F.col("_m").cast("int") + F.coalesce("_d", F.lit(0))).over(file.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m").cast("int")
     whole = Window.partitionBy(id)
     balanced = F.min(F.when(fits, 1).otherwise(0)).over(whole) * F.when(F.min("depth").over(whole) >= 0, 1).otherwise(0) * F.when(F.sum(step).over(whole) == 0, 1).otherwise(0)
-    return deltas.withColumn("macro", inside > 0).withColumn("balanced", balanced == 1).drop("_m", "_d", "opens", "closes", "sum", "bracket", "pair", "p1", "p2", "p3")
+    rows = deltas.withColumn("macro", inside > 0).withColumn("balanced", balanced == 1).drop("_m", "_d", "opens", "closes", "sum", "bracket", "pair", "p1", "p2", "p3")
+    return _cut(rows)  # what follows reads these rows many times
 
 
 def enclosing(spans: DataFrame, id: str = "file_id") -> DataFrame:
@@ -101,8 +102,9 @@ def items(rows: DataFrame, id: str = "file_id") -> DataFrame:
     return enclosing(found, id).drop("level")
 
 
-def nesting_sites(rows: DataFrame, id: str = "file_id") -> DataFrame:
+def nesting_sites(rows: DataFrame, id: str = "file_id", functions: DataFrame | None = None) -> DataFrame:
     """(id, kind, first, last) of what nests: if, match, loop, while, for, closure, nested_function and async, try and gen blocks.
+    functions: the items that are functions with a body, if they are known already.
 
     An if holds its else branches, so an else-if is one level deeper. Every function is a row; it nests in what is around it.
     """
@@ -138,7 +140,8 @@ def nesting_sites(rows: DataFrame, id: str = "file_id") -> DataFrame:
     heads = heads.join(outer, (F.col(id) == F.col("_id")) & (F.col("around") == F.col("_open")), "left")
     end = F.when(F.col("bw") == "{", F.col("bc")).otherwise(F.least(F.col("bs"), F.col("_close")) - 1)
     out = out.unionByName(heads.select(id, F.lit("closure").alias("kind"), (F.col("seq") - (F.coalesce(F.col("b1") == "move", F.lit(False))).cast("int")).alias("first"), end.alias("last")).where("last is not null"))
-    functions = items(rows.drop("n1", "n2", "n3", "n4", "b1", "b2", "brace", "stop_at"), id).where("kind = 'function' and body is not null")
+    if functions is None:
+        functions = items(rows.drop("n1", "n2", "n3", "n4", "b1", "b2", "brace", "stop_at"), id).where("kind = 'function' and body is not null")
     return out.unionByName(functions.select(id, F.lit("nested_function").alias("kind"), "first", "last"))
 
 
@@ -198,11 +201,12 @@ def metrics(rows: DataFrame, id: str = "file_id") -> DataFrame:
     counted = counted.withColumn("fresh", F.size(F.filter("lines", lambda x: x > top)).cast("long")).withColumn("shared", F.element_at("lines", 1) <= top)
     counted = counted.withColumns({"lines_upto": F.sum("fresh").over(upto), "unsafe_upto": F.sum(F.coalesce("unsafe", F.lit(0))).over(upto), "broken": F.max((F.col("kind") == "error").cast("int")).over(Window.partitionBy(id)) + (~F.col("balanced")).cast("int")})
     at = counted.select(F.col(id).alias("_id"), F.col("seq").alias("_seq"), "start", "stop", "fresh", "shared", "lines_upto", "unsafe_upto", F.coalesce("unsafe", F.lit(0)).alias("own"), "broken")
-    found = items(rows, id).where("kind = 'function' and body is not null").select(id, "name", "first", "last")
+    functions = _cut(items(rows, id).where("kind = 'function' and body is not null").select(id, "name", "first", "last"))
+    found = functions
     a = at.select(*(F.col(c).alias(f"a_{c}") for c in at.columns))
     z = at.select(*(F.col(c).alias(f"z_{c}") for c in at.columns))
     found = found.join(a, (F.col(id) == F.col("a__id")) & (F.col("first") == F.col("a__seq"))).join(z, (F.col(id) == F.col("z__id")) & (F.col("last") == F.col("z__seq")))
-    spans = _cut(enclosing(nesting_sites(rows, id), id))
+    spans = _cut(enclosing(nesting_sites(rows, id, functions), id))
     holder = spans.where("kind = 'nested_function'").select(id, "first", "last", F.col("level").alias("base"))
     sites = held_by(spans.select(id, F.col("first").alias("seq"), "level", "kind"), holder, id)
     # A function's own row stands at its first token; it belongs to what is around it.

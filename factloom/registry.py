@@ -486,4 +486,4 @@ def test_outcomes(spark, d):
 
 
 # Queries by subject; each module adds its own.
-from factloom.queries import bodies, walks  # noqa: E402, F401
+from factloom.queries import bodies, bundles, settings, source, walks  # noqa: E402, F401

@@ -93,6 +93,32 @@ WHERE n.turn = c.turn + 1 OR (c.role = 'user' AND n.turn = c.turn + 2) OR (c.rol
     "v_flow_unknowns": """
 SELECT conv_id AS body_id, turn AS block, CAST(0 AS BIGINT) AS step, 'pointer_aliasing' AS effect FROM conversations WHERE length(text) % 23 = 0
 UNION ALL SELECT conv_id, turn, CAST(length(text) % 4 AS BIGINT), 'call' FROM conversations WHERE role <> 'user' AND length(text) % 9 = 0""",
+    "v_cfg": """
+SELECT p_partkey AS id, p_partkey % 3 AS context, CASE p_partkey % 4 WHEN 0 THEN concat('all(', a, ', ', b, ')') WHEN 1 THEN concat('any(', a, ',not( ', b, ' ))') WHEN 2 THEN concat('not(all(', a, ', any(', b, ', ', c, '),))') ELSE a END AS predicate
+FROM (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'unix' WHEN 1 THEN 'windows' WHEN 2 THEN 'test' WHEN 3 THEN 'feature = "std"' ELSE 'target_os="linux"' END AS a,
+        CASE p_size % 3 WHEN 0 THEN 'unix' WHEN 1 THEN 'any()' ELSE 'feature = "std"' END AS b, CASE p_size % 2 WHEN 0 THEN 'test' ELSE 'windows' END AS c FROM part) AS atoms""",
+    "v_features": """
+SELECT p_size % 7 AS package, concat('f', CAST(p_partkey AS STRING)) AS feature, concat('f', CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING)) AS enables FROM part
+UNION ALL SELECT p_size % 7, concat('f', CAST(p_partkey AS STRING)), CASE WHEN p_partkey % 2 = 0 THEN 'dep:other' ELSE concat('f', CAST(p_partkey + 21 AS STRING)) END FROM part WHERE p_partkey % 19 = 0""",
+    "v_bundle_tests": """
+SELECT doc_id % 40 AS bundle_id, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) - 1 AS ordinal, CASE WHEN doc_id % 61 = 0 THEN '' ELSE concat('test_', CAST(doc_id AS STRING)) END AS name,
+  CASE WHEN doc_id % 13 = 0 THEN 'timeout' WHEN doc_id % 37 = 0 THEN 'passed' WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS outcome, CASE WHEN doc_id % 29 = 0 THEN '1e9' ELSE CAST(doc_id AS STRING) END AS elapsed_ns,
+  CASE WHEN doc_id % 2 = 0 THEN '5000' END AS timeout_ns, CAST(NULL AS STRING) AS reason, concat('part:', CAST(doc_id % 300 AS STRING)) AS definition FROM labels""",
+    "v_bundle_streams": """
+SELECT bundle_id, row_number() OVER (PARTITION BY bundle_id ORDER BY user_id) - 1 AS stream_pos, user_id, concat('s', CAST(CASE WHEN user_id % 31 = 0 THEN 0 ELSE user_id END AS STRING)) AS stream_id,
+  'p' AS process_or_device, 't' AS thread_or_hart, CASE WHEN user_id % 17 = 0 THEN '' ELSE concat('clock', CAST(user_id % 3 AS STRING)) END AS clock_domain, 'us' AS timestamp_unit
+FROM (SELECT DISTINCT user_id % 40 AS bundle_id, user_id FROM events) AS u""",
+    "v_bundle_events": """
+SELECT s.bundle_id, s.stream_pos, row_number() OVER (PARTITION BY s.bundle_id, s.stream_pos ORDER BY e.event_id) - 1 AS event_pos, CAST(CASE WHEN e.event_id % 101 = 0 THEN 1 ELSE e.event_id END AS STRING) AS sequence,
+  CAST(e.event_id * 7 AS STRING) AS timestamp, e.event_type AS kind, CASE WHEN e.event_id % 3 = 0 THEN concat('part:', CAST(e.event_id % 220 AS STRING)) END AS definition_id, e.props AS correlation_id,
+  CASE WHEN e.event_id % 89 = 0 THEN '-1' END AS loss_count FROM events AS e JOIN v_bundle_streams AS s ON s.user_id = e.user_id""",
+    "v_rust": """
+SELECT p_partkey AS file_id, concat('// ', p_name, ' { (', chr(10), 'pub fn f', CAST(p_partkey AS STRING), '(a: u32) {', chr(10),
+  CASE WHEN p_partkey % 2 = 0 THEN concat('  if a > 0 { unsafe { call(a); } }', chr(13), chr(10)) ELSE '' END,
+  CASE p_partkey % 3 WHEN 0 THEN concat('  for x in a.iter() { while x { loop { break; } } } /* { if', chr(10), ' a */', chr(10)) WHEN 1 THEN concat('  let c = |y| match y { _ => go(1.5, 0x1F, b::d) };', chr(10), chr(10))
+    ELSE concat('  let s = r#"if { unsafe {', chr(10), '  ', chr(10), ' // "#;', chr(10)) END,
+  CASE WHEN p_partkey % 5 = 0 THEN concat('  log!("{}", if a { run() });', chr(10)) ELSE '' END, '}', chr(10),
+  CASE WHEN p_partkey % 4 = 0 THEN concat('unsafe fn g(p: unsafe fn()) { fn h() { if a {} else if b {} } }', chr(10)) ELSE '' END) AS text FROM part""",
     "v_flow_returns": "SELECT conv_id AS body_id, turn AS block, CAST((length(text) + turn) % 6 AS BIGINT) AS local FROM conversations WHERE role <> 'user'",
 }
 
@@ -107,6 +133,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name]
     deps = _deps(sql)
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for d in deps:
         sql = re.sub(rf"\b(FROM|JOIN) {d}\b", rf"\1 {{{d}}}", sql)
     return spark.sql(sql, **{d: read(spark, sf_dir, d) for d in deps})
