@@ -22,8 +22,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,8 +91,9 @@ def _sketch(found: np.ndarray) -> bytes:
     return np.bincount((found >> np.uint64(7)).astype(np.int64) % COUNTERS, minlength=COUNTERS).astype(np.uint16 if len(found) < 65_536 else np.uint32).tobytes()
 
 
-def _counts(sketch: bytes) -> np.ndarray:
-    return np.frombuffer(sketch, np.uint16 if len(sketch) == 2 * COUNTERS else np.uint32).astype(np.int64)
+def _counts(sketch: bytes | pa.Buffer) -> np.ndarray:
+    found = np.frombuffer(sketch, np.uint16)
+    return (found if len(found) == COUNTERS else found.view(np.uint32)).astype(np.int64)
 
 
 def _each(df: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
@@ -172,18 +173,18 @@ def _keys(single: DataFrame, order: Order, alike: float, ranges: int) -> DataFra
             names.clear()
             sizes.clear()
 
-    def shared(part: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in part["keys"]])
+    def shared(part: pa.Table) -> pa.Table:
+        flat = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in part[c]])
+        keys = flat("keys", np.uint64)
         by = np.argsort(keys, kind="stable")
         ordered = keys[by]
         twin = np.zeros(len(keys) + 1, bool)
         twin[1:-1] = ordered[1:] == ordered[:-1]
         by = by[twin[1:] | twin[:-1] | order.places(ordered)[0]]
-        of = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in part[c]])[by]
-        return pd.DataFrame({"key": keys[by].view(np.int64), "node": of("nodes", np.int64), "size": of("sizes", np.uint32).astype(np.int32), "at": of("places", np.uint32).astype(np.int32)})
+        return pa.table({"key": keys[by].view(np.int64), "node": flat("nodes", np.int64)[by], "size": flat("sizes", np.uint32)[by].astype(np.int32), "at": flat("places", np.uint32)[by].astype(np.int32)})
 
     packed = single.select("text").mapInArrow(batches, "range bigint, keys binary, nodes binary, sizes binary, places binary")
-    return packed.groupBy("range").applyInPandas(shared, "key bigint, node bigint, size int, at int")
+    return packed.groupBy("range").applyInArrow(shared, "key bigint, node bigint, size int, at int")
 
 
 def _within(rest: DataFrame, nodes: DataFrame, alike: float) -> DataFrame:
@@ -217,10 +218,10 @@ def _within(rest: DataFrame, nodes: DataFrame, alike: float) -> DataFrame:
         part = part.withColumn(own, F.pmod(F.xxhash64("node"), of[own]).cast("int"))
         return part.select("key", "node", "size", "at", "root", "sketch", "lone", "asks", own, each).withColumn("asking", F.lit(asking)).select("key", "node", "size", "at", "root", "sketch", "lone", "asks", "asker", "part", "asking")
 
-    def pairs(tile: pd.DataFrame) -> pd.DataFrame:
-        x, y = tile[tile["asking"]], tile[~tile["asking"]]
-        counts = [np.array([_counts(s) for s in side["sketch"]], np.int64).reshape(-1, COUNTERS) for side in (x, y)]
-        of = lambda side, c: side[c].to_numpy(np.int64)
+    def pairs(tile: pa.Table) -> pa.Table:
+        x, y = tile.filter(tile["asking"]), tile.filter(pc.invert(tile["asking"]))
+        counts = [np.array([_counts(c.as_buffer()) for c in side["sketch"]], np.int64).reshape(-1, COUNTERS) for side in (x, y)]
+        of = lambda side, c: side[c].to_numpy().astype(np.int64)
         size, at, root, node, lone, asks = (of(y, c) for c in ("size", "at", "root", "node", "lone", "asks"))
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for i, (x_size, x_at, x_root, x_node, x_lone) in enumerate(zip(*(of(x, c).tolist() for c in ("size", "at", "root", "node", "lone")), strict=True)):
@@ -230,10 +231,10 @@ def _within(rest: DataFrame, nodes: DataFrame, alike: float) -> DataFrame:
             j = j[np.minimum(counts[0][i], counts[1][j]).sum(axis=1) >= need[j]]
             found.append((np.full(len(j), x_node), node[j]))
         a, b = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*found, strict=True) if found else ((), ())))
-        return pd.DataFrame({"a": a, "b": b})
+        return pa.table({"a": a, "b": b})
 
     met = dealt(rows.where("asks"), True).unionByName(dealt(rows, False))
-    return met.groupBy("key", "asker", "part").applyInPandas(pairs, "a bigint, b bigint")
+    return met.groupBy("key", "asker", "part").applyInArrow(pairs, "a bigint, b bigint")
 
 
 def _enough(alike: float, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
