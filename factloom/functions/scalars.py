@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def unsigned64(text: Column) -> Column:
     """A decimal text of ASCII digits as a number; null unless it is one below 2**64."""
     bare = F.regexp_replace(text, "^0+(?=[0-9])", "")
-    number = F.when(text.rlike("^[0-9]+$") & (F.length(bare) <= 20), bare).try_cast("decimal(20,0)")
+    number = F.when(text.rlike(r"\A[0-9]+\z") & (F.length(bare) <= 20), bare).try_cast("decimal(20,0)")
     return F.when(number <= F.lit("18446744073709551615").cast("decimal(20,0)"), number)
 
 
@@ -30,9 +30,16 @@ def status_any(parts: list[Column]) -> Column:
     return F.when(one, "active").when(~one, "inactive").otherwise("unknown")
 
 
+def status_not(parts: list[Column]) -> Column:
+    """The other status of one part; unknown of none or several."""
+    if len(parts) != 1:
+        return F.lit("unknown")
+    return F.when(parts[0] == "active", "inactive").when(parts[0] == "inactive", "active").otherwise("unknown")
+
+
 def short_label(text: Column, length: int = 100) -> Column:
-    """Runs of white space as one space, without ends, cut to a number of characters."""
-    return F.substring(F.regexp_replace(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "), "^ | $", ""), 1, length)
+    """Runs of white space (of all Unicode) as one space, without ends, cut to a number of characters."""
+    return F.substring(F.regexp_replace(F.regexp_replace(text, r"[\p{IsWhite_Space}]+", " "), r"\A | \z", ""), 1, length)
 
 
 def lines(files: DataFrame, id: str = "file_id", text: str = "text") -> DataFrame:

@@ -69,7 +69,7 @@ def shape_violations(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     shape (SHAPES; unknown kinds have none).
     """
     value, switch = F.col("switch_value"), F.col("kind") == "switch_value"
-    number = value.rlike("^(0|[1-9][0-9]{0,38})$") & ((F.length(value) < len(GREATEST)) | (value <= GREATEST))
+    number = value.rlike(r"\A(0|[1-9][0-9]{0,38})\z") & ((F.length(value) < len(GREATEST)) | (value <= GREATEST))
     bad = F.when(switch, ~F.coalesce(number, F.lit(False))).otherwise(value.isNotNull())
     counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS]
     out = edges.groupBy("body_id", "block").agg(

@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The kinds of definitions that a body of a kind may belong to.
+BODY_KINDS = {"function": ("function", "method"), "associated_function": ("function", "method"), "closure_or_coroutine": ("closure",)}
+
 
 def map_bodies(bodies: DataFrame, definitions: DataFrame, stretch: int = 1024) -> DataFrame:
-    """(body_id, definition_id, state) of each body: the narrowest definition of its file around it.
+    """(body_id, definition_id, state) of each body: the narrowest definition of its file around it that suits its kind (BODY_KINDS).
 
     state: mapped, none around it, or ambiguous if several are as narrow; inactive definitions don't
-    count. A definition is a row for each stretch of its file that it touches, a body one for the stretch of its start, so the
+    count, nor do those of another kind; a body of a kind that isn't in BODY_KINDS has none. A definition is a row for each stretch of its file that it touches, a body one for the stretch of its start, so the
     join's key is (file, stretch) and pairs are few in a file of any length.
     """
-    around = definitions.where("cfg_status <> 'inactive'").select(F.col("id").alias("definition_id"), "file_id", F.col("start").alias("from"), F.col("stop").alias("to"))
+    around = definitions.where("cfg_status <> 'inactive'").select(F.col("id").alias("definition_id"), F.col("kind").alias("definition_kind"), "file_id", F.col("start").alias("from"), F.col("stop").alias("to"))
     around = around.where(F.col("from") <= F.col("to")).withColumn("at", F.explode(F.sequence(F.floor(F.col("from") / stretch), F.floor(F.col("to") / stretch))))
     inside = bodies.withColumn("at", F.floor(F.col("start") / stretch)).join(around, ["file_id", "at"]).where((F.col("from") <= F.col("start")) & (F.col("to") >= F.col("stop")))
+    suits = F.lit(False)
+    for kind, kinds in BODY_KINDS.items():
+        suits |= (F.col("kind") == kind) & F.col("definition_kind").isin(*kinds)
+    inside = inside.where(suits)
     width = (F.col("to") - F.col("from")).alias("width")
     # Of each width only the count and the least id travel, so a body in many definitions is a row for each width.
     best = inside.select("body_id", width, "definition_id").groupBy("body_id", "width").agg(F.count("*").alias("n"), F.min("definition_id").alias("definition_id"))

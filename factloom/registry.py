@@ -448,7 +448,8 @@ def retention_bytes(spark, d):
 
 
 @_query("""
-WITH c AS (SELECT b.body_id, d.id, d.stop - d.start AS width FROM v_bodies AS b JOIN v_spans AS d ON b.file_id = d.file_id AND d.start <= b.start AND d.stop >= b.stop WHERE d.cfg_status <> 'inactive'),
+WITH c AS (SELECT b.body_id, d.id, d.stop - d.start AS width FROM v_bodies AS b JOIN v_spans AS d ON b.file_id = d.file_id AND d.start <= b.start AND d.stop >= b.stop WHERE d.cfg_status <> 'inactive'
+      AND CASE b.kind WHEN 'closure_or_coroutine' THEN d.kind = 'closure' WHEN 'constant' THEN false ELSE d.kind IN ('function', 'method') END),
 least AS (SELECT body_id, id, width, rank() OVER (PARTITION BY body_id ORDER BY width) AS r FROM c),
 best AS (SELECT body_id, count(*) AS n, min(id) AS id FROM least WHERE r = 1 GROUP BY body_id)
 SELECT b.body_id, CASE WHEN n = 1 THEN best.id END AS definition_id, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'mapped' ELSE 'ambiguous' END AS state
@@ -486,4 +487,4 @@ def test_outcomes(spark, d):
 
 
 # Queries by subject; each module adds its own.
-from factloom.queries import bodies, bundles, settings, source, walks  # noqa: E402, F401
+from factloom.queries import bodies, bundles, settings, source, traces, walks  # noqa: E402, F401

@@ -54,9 +54,11 @@ SELECT c.conv_id AS body_id, c.turn AS block, n.turn AS target FROM conversation
 WHERE n.turn = c.turn + 1 OR (c.role = 'user' AND n.turn = c.turn + 2) OR (c.role = 'assistant' AND length(c.text) % 4 = 0 AND n.turn = c.turn - 1)""",
     "v_spans": """
 SELECT concat('part:', CAST(p_partkey AS STRING)) AS id, CAST(floor(p_partkey / 40) AS BIGINT) AS file_id, (p_partkey * 37) % 1000 AS start,
-       (p_partkey * 37) % 1000 + p_size * 10 AS stop, CASE WHEN p_partkey % 11 = 0 THEN 'inactive' ELSE 'active' END AS cfg_status FROM part""",
+       (p_partkey * 37) % 1000 + p_size * 10 AS stop, CASE WHEN p_partkey % 11 = 0 THEN 'inactive' ELSE 'active' END AS cfg_status,
+       CASE p_partkey % 6 WHEN 0 THEN 'struct' WHEN 1 THEN 'closure' WHEN 2 THEN 'method' ELSE 'function' END AS kind FROM part""",
     "v_bodies": """
-SELECT c_custkey AS body_id, CAST(floor(c_custkey / 30) AS BIGINT) AS file_id, (c_custkey * 13) % 1000 AS start, (c_custkey * 13) % 1000 + c_custkey % 40 AS stop FROM customer""",
+SELECT c_custkey AS body_id, CAST(floor(c_custkey / 30) AS BIGINT) AS file_id, (c_custkey * 13) % 1000 AS start, (c_custkey * 13) % 1000 + c_custkey % 40 AS stop,
+       CASE c_custkey % 5 WHEN 0 THEN 'closure_or_coroutine' WHEN 1 THEN 'associated_function' WHEN 2 THEN 'constant' ELSE 'function' END AS kind FROM customer""",
     "v_snapshots": """
 SELECT o_orderkey AS snapshot_id, o_custkey % 20 AS repository_id, o_orderpriority AS context_id, o_orderkey AS sequence,
        o_orderdate AS published_at, CAST(floor(o_totalprice) AS BIGINT) AS bytes, o_orderstatus AS status FROM orders""",

@@ -153,10 +153,13 @@ def test_search_limits(spark):
 
 
 def test_a_body_meets_definitions_of_all_stretches(spark):
-    definitions = spark.createDataFrame([("file", 1, 0, 9000, "active"), ("f", 1, 2000, 4000, "active"), ("g", 1, 2000, 2000, "active"), ("off", 1, 2990, 3100, "inactive"), ("other", 2, 0, 9000, "active"), ("h", 1, 5000, 6000, "active"), ("i", 1, 5000, 6000, "active")], "id string, file_id int, start int, stop int, cfg_status string")
-    bodies = spark.createDataFrame([(1, 1, 3000, 3050), (2, 1, 3900, 4100), (3, 1, 5100, 5200), (4, 3, 0, 1), (5, 1, 8999, 9001)], "body_id int, file_id int, start int, stop int")
-    rows = {r.body_id: (r.definition_id, r.state) for r in mapping.map_bodies(bodies, definitions).collect()}
-    assert rows == {1: ("f", "mapped"), 2: ("file", "mapped"), 3: (None, "ambiguous"), 4: (None, "none"), 5: (None, "none")}
+    definitions = [("file", 1, 0, 9000, "active"), ("f", 1, 2000, 4000, "active"), ("g", 1, 2000, 2000, "active"), ("off", 1, 2990, 3100, "inactive"), ("other", 2, 0, 9000, "active"), ("h", 1, 5000, 6000, "active"), ("i", 1, 5000, 6000, "active")]
+    definitions = [(*d, "function") for d in definitions] + [("type", 1, 2999, 3051, "active", "struct"), ("inner", 1, 7000, 7100, "active", "closure"), ("m", 1, 6900, 7200, "active", "method")]
+    definitions = spark.createDataFrame(definitions, "id string, file_id int, start int, stop int, cfg_status string, kind string")
+    bodies = [(1, 1, 3000, 3050, "function"), (2, 1, 3900, 4100, "function"), (3, 1, 5100, 5200, "function"), (4, 3, 0, 1, "function"), (5, 1, 8999, 9001, "function")]
+    bodies += [(6, 1, 7010, 7020, "closure_or_coroutine"), (7, 1, 7010, 7020, "associated_function"), (8, 1, 7010, 7020, "constant"), (9, 1, 3000, 3050, "closure_or_coroutine")]
+    rows = {r.body_id: (r.definition_id, r.state) for r in mapping.map_bodies(spark.createDataFrame(bodies, "body_id int, file_id int, start int, stop int, kind string"), definitions).collect()}
+    assert rows == {1: ("f", "mapped"), 2: ("file", "mapped"), 3: (None, "ambiguous"), 4: (None, "none"), 5: (None, "none"), 6: ("inner", "mapped"), 7: ("m", "mapped"), 8: (None, "none"), 9: (None, "none")}
 
 
 def test_shapes_of_all_terminators(spark):
