@@ -11,7 +11,8 @@ from factloom.operators.graphs import _cut
 def search(definitions: DataFrame, prefix: str, after: tuple[str, str] | None = None, limit: int = 50) -> DataFrame:
     """Definitions whose lower-cased name starts with a prefix, by (name_key, id), after a key if one is given.
 
-    The prefix is trimmed and lower-cased; an empty one finds all. The predicates reach the scan.
+    The prefix is trimmed and lower-cased; an empty one finds all. Where name_key is a stored column the predicates reach the scan;
+    over a view that makes it from names they filter behind the scan.
     """
     if not 1 <= limit <= 200:
         raise ValueError("limit must lie in 1..200")

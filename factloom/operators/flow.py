@@ -32,7 +32,7 @@ GREATEST = str(2**128 - 1)
 
 def reachable(edges: DataFrame, entry: int = 0) -> DataFrame:
     """(body_id, block) of the blocks that the entry block of a body reaches, all bodies at once."""
-    steps = edges.select("body_id", "block", "target").distinct()
+    steps = _cut(edges.select("body_id", "block", "target").distinct())  # each round reads them
     seen = _cut(steps.select("body_id", F.lit(entry).cast(edges.schema["block"].dataType).alias("block")).distinct())
     front = seen
     while not front.isEmpty():
@@ -99,9 +99,9 @@ def reaching_definitions(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     entry block 0 reaches define anything. Rounds of joins over all bodies push definitions that are new to a block until
     none is.
     """
-    ends = edges.select("body_id", "block", "target").distinct()
+    ends = _cut(edges.select("body_id", "block", "target").distinct())
     kills = blocks.select("body_id", "block", F.col("defines").alias("local"))
-    entered = reachable(edges.select("body_id", "block", "target").unionByName(blocks.where("block = 0").select("body_id", "block", F.col("block").alias("target"))))
+    entered = reachable(ends.unionByName(blocks.where("block = 0").select("body_id", "block", F.col("block").alias("target"))))
     made = kills.join(entered, ["body_id", "block"], "left_semi").select("body_id", "block", "local", F.col("block").alias("defined_in"))
     reach = None
     front = made

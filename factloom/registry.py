@@ -180,13 +180,16 @@ def neighbourhood_both(spark, d):
 
 
 def _levels(root: str, depth: int) -> str:
-    """The least path of each node, level by level."""
-    ctes = [f"steps AS (SELECT source_id AS a, target_id AS b, min(id) AS relation_id FROM v_call_graph WHERE target_id IS NOT NULL GROUP BY source_id, target_id), p0 AS (SELECT '{root}' AS id, ['{root}'] AS path, 0 AS level)"]
-    for level in range(1, depth + 1):
-        seen = " UNION ALL ".join(f"SELECT id FROM p{i}" for i in range(level))
-        ctes.append(f"p{level} AS (SELECT b AS id, min(list_append(path, b)) AS path, {level} AS level FROM p{level - 1} JOIN steps ON a = id WHERE b NOT IN ({seen}) GROUP BY b)")
+    """The search level by level: a node's place is its rank by (place of its first parent, id) after all of the levels before."""
+    ctes = ["steps AS (SELECT source_id AS a, target_id AS b, min(id) AS relation_id FROM v_call_graph WHERE target_id IS NOT NULL GROUP BY source_id, target_id)"]
+    ctes.append(f"p0 AS (SELECT '{root}' AS id, CAST(1 AS BIGINT) AS place, 0 AS level, CAST(NULL AS STRING) AS parent, CAST(NULL AS STRING) AS relation_id, '{root}' AS path)")
+    for k in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT id, place FROM p{i}" for i in range(k))
+        ctes.append(f"q{k} AS (SELECT b AS id, min((p.place, steps.relation_id)) AS m FROM p{k - 1} AS p JOIN steps ON a = p.id WHERE b NOT IN (SELECT id FROM ({seen})) GROUP BY b)")
+        ctes.append(f"""p{k} AS (SELECT q.id, row_number() OVER (ORDER BY m[1], q.id) + (SELECT max(place) FROM ({seen})) AS place, {k} AS level, p.id AS parent, m[2] AS relation_id, concat(p.path, '>', q.id) AS path
+FROM q{k} AS q JOIN p{k - 1} AS p ON p.place = m[1])""")
     every = " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(depth + 1))
-    return f"WITH {', '.join(ctes)} SELECT id, CAST(level AS INT) AS level, a AS parent, relation_id, array_to_string(path, '>') AS path FROM ({every}) AS p LEFT JOIN steps ON b = id AND a = path[-2]"
+    return f"WITH {', '.join(ctes)} SELECT id, CAST(level AS INT) AS level, parent, relation_id, path FROM ({every})"
 
 
 @_query(_levels("part:1", 4))
