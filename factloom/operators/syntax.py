@@ -103,15 +103,16 @@ def items(rows: DataFrame, id: str = "file_id") -> DataFrame:
 
 
 def nesting_sites(rows: DataFrame, id: str = "file_id", functions: DataFrame | None = None) -> DataFrame:
-    """(id, kind, first, last) of what nests: if, match, loop, while, for, closure, nested_function and async, try and gen blocks.
-    functions: the items that are functions with a body, if they are known already.
+    """(id, kind, first, last, body) of what nests: if, match, loop, while, for, closure, nested_function and async, try and gen blocks.
+    body: where that of a closure or function begins, else null. functions: the items that are functions with a body, if they are
+    known already.
 
     An if holds its else branches, so an else-if is one level deeper. Every function is a row; it nests in what is around it.
     """
     rows = _near(rows, id)
     rows = _ahead(_ahead(rows, id, F.col("word") == "{", "brace"), id, F.col("word").isin(",", ";"), "stop_at")
     close = rows.where("close is not null").select(F.col(id).alias("_id"), F.col("seq").alias("_open"), F.col("close").alias("_close"))
-    plain = rows.where(~F.col("macro"))
+    plain, none = rows.where(~F.col("macro")), F.lit(None).cast("long").alias("body")
 
     def closed(found: DataFrame, open: str, name: str) -> DataFrame:
         return found.join(close, (F.col(id) == F.col("_id")) & (F.col(open) == F.col("_open")), "left").withColumnRenamed("_close", name).drop("_id", "_open")
@@ -126,10 +127,10 @@ def nesting_sites(rows: DataFrame, id: str = "file_id", functions: DataFrame | N
     chain = F.sum(F.when(F.coalesce(F.col("b1") == "else", F.lit(False)), 0).otherwise(1)).over(Window.partitionBy(id, "around").orderBy("seq"))
     ifs = ifs.withColumn("chain", chain)
     ifs = ifs.withColumn("last", F.max(F.coalesce("tail", "last")).over(Window.partitionBy(id, "around", "chain")))
-    out = loops.where("word <> 'if'").unionByName(ifs.select(*loops.columns)).select(id, F.col("word").alias("kind"), F.col("seq").alias("first"), "last")
+    out = loops.where("word <> 'if'").unionByName(ifs.select(*loops.columns)).select(id, F.col("word").alias("kind"), F.col("seq").alias("first"), "last", none)
     block = plain.where(F.col("word").isin(*BLOCKS) & ((F.col("n1") == "{") | (F.col("n1") == "move") & (F.col("n2") == "{")))
     kind = F.create_map(*[F.lit(x) for pair in BLOCKS.items() for x in pair])[F.col("word")]
-    out = out.unionByName(closed(block, "brace", "last").select(id, kind.alias("kind"), F.col("seq").alias("first"), "last"))
+    out = out.unionByName(closed(block, "brace", "last").select(id, kind.alias("kind"), F.col("seq").alias("first"), "last", none))
     # A closure's first bar stands where an expression begins; its parameters end at the next bar of that level.
     bars = _ahead(plain, id, F.col("word") == "|", "next_bar")
     begins = F.col("b1").isNull() | F.col("b1").isin("(", ",", "=", "{", ";", "[", ">", "move", "return", "async", ":", "}") & ~((F.col("b1") == ">") & (F.coalesce("b2", F.lit("")) != "="))
@@ -139,10 +140,10 @@ def nesting_sites(rows: DataFrame, id: str = "file_id", functions: DataFrame | N
     outer = rows.select(F.col(id).alias("_id"), F.col("seq").alias("_open"), F.col("close").alias("_close"))
     heads = heads.join(outer, (F.col(id) == F.col("_id")) & (F.col("around") == F.col("_open")), "left")
     end = F.when(F.col("bw") == "{", F.col("bc")).otherwise(F.least(F.col("bs"), F.col("_close")) - 1)
-    out = out.unionByName(heads.select(id, F.lit("closure").alias("kind"), (F.col("seq") - (F.coalesce(F.col("b1") == "move", F.lit(False))).cast("int")).alias("first"), end.alias("last")).where("last is not null"))
+    out = out.unionByName(heads.select(id, F.lit("closure").alias("kind"), (F.col("seq") - (F.coalesce(F.col("b1") == "move", F.lit(False))).cast("int")).alias("first"), end.alias("last"), (F.col("next_bar") + 1).alias("body")).where("last is not null"))
     if functions is None:
         functions = items(rows.drop("n1", "n2", "n3", "n4", "b1", "b2", "brace", "stop_at"), id).where("kind = 'function' and body is not null")
-    return out.unionByName(functions.select(id, F.lit("nested_function").alias("kind"), "first", "last"))
+    return out.unionByName(functions.select(id, F.lit("nested_function").alias("kind"), "first", "last", "body"))
 
 
 def unsafe_sites(rows: DataFrame, id: str = "file_id") -> DataFrame:
@@ -186,6 +187,48 @@ def held_by(points: DataFrame, spans: DataFrame, id: str = "file_id") -> DataFra
     return every.withColumn("holder", last["own"]).where("o = 1").select(id, "seq", "point.*", "holder")
 
 
+def _bodies(rows: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
+    """All nesting sites, and functions and closures with name, their first and last token and where their body begins."""
+    functions = _cut(items(rows, id).where("kind = 'function' and body is not null").select(id, "name", "first", "last", "body"))
+    sites = _cut(nesting_sites(rows, id, functions))
+    closures = sites.where("kind = 'closure'").select(id, F.lit(None).cast("string").alias("name"), "first", "last", "body")
+    return sites, functions.unionByName(closures)
+
+
+def flow_points(rows: DataFrame, id: str = "file_id", known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(id, holder, kind, seq, start): the flow points of functions and closures, the innermost one around a point being its holder.
+
+    kind: entry (where a body begins), branch, return, await, error_propagation, break, continue or unsafe (a block). Points in
+    macros aren't known, and this is structure of the source, not a control-flow graph.
+    """
+    sites, bodies = known or _bodies(rows, id)
+    near = _near(rows, id).where(~F.col("macro"))
+    word, before = F.col("word"), F.coalesce(F.col("b1"), F.lit(""))
+    plain = (
+        F.when(word.isin("return", "break", "continue") & (F.col("kind") == "ident"), word).when((word == "await") & (before == "."), "await")
+        .when((word == "?") & ~before.isin(":", "+", "<", ",", "(", "|", "dyn"), "error_propagation").when((word == "unsafe") & (F.col("n1") == "{"), "unsafe")
+    )
+    points = near.withColumn("point", plain).where("point is not null").select(id, "seq", F.col("point").alias("kind"))
+    points = points.unionByName(sites.where(F.col("kind").isin(*NESTS)).select(id, F.col("first").alias("seq"), F.lit("branch").alias("kind")))
+    held = held_by(points, bodies.select(id, "first", "last"), id).where("holder is not null")
+    entries = bodies.select(id, F.col("body").alias("seq"), F.lit("entry").alias("kind"), F.col("first").alias("holder"))
+    places = rows.select(id, "seq", "start")
+    return held.unionByName(entries).join(places, [id, "seq"]).select(id, "holder", "kind", "seq", "start")
+
+
+def counters(rows: DataFrame, id: str = "file_id") -> DataFrame:
+    """(id, name, first, lines, branches, returns, awaits, unsafe_blocks) of every function and closure with a body; what stands in an
+    inner one counts there only."""
+    known = _bodies(rows, id)
+    points = flow_points(rows, id, known)
+    count = lambda kind, name: F.count_if(F.col("kind") == kind).alias(name)
+    counts = points.groupBy(id, F.col("holder").alias("first")).agg(count("branch", "branches"), count("return", "returns"), count("await", "awaits"), count("unsafe", "unsafe_blocks"))
+    line = lambda name: rows.select(F.col(id).alias(f"_{name}"), F.col("seq").alias(name), F.col("line").alias(f"{name}_line"), F.coalesce(F.array_max("lines"), "line").alias(f"{name}_end"))
+    bodies = known[1].join(line("b"), (F.col(id) == F.col("_b")) & (F.col("body") == F.col("b"))).join(line("z"), (F.col(id) == F.col("_z")) & (F.col("last") == F.col("z")))
+    lines = F.col("z_end") - F.col("b_line") + 1
+    return bodies.select(id, "name", "first", lines.alias("lines")).join(counts, [id, "first"])
+
+
 def metrics(rows: DataFrame, id: str = "file_id") -> DataFrame:
     """(id, name, first, start, stop, code_lines, tokens, max_nesting, unsafe_boundaries, status) of every function with a body.
 
@@ -201,8 +244,8 @@ def metrics(rows: DataFrame, id: str = "file_id") -> DataFrame:
     counted = counted.withColumn("fresh", F.size(F.filter("lines", lambda x: x > top)).cast("long")).withColumn("shared", F.element_at("lines", 1) <= top)
     counted = counted.withColumns({"lines_upto": F.sum("fresh").over(upto), "unsafe_upto": F.sum(F.coalesce("unsafe", F.lit(0))).over(upto), "broken": F.max((F.col("kind") == "error").cast("int")).over(Window.partitionBy(id)) + (~F.col("balanced")).cast("int")})
     at = counted.select(F.col(id).alias("_id"), F.col("seq").alias("_seq"), "start", "stop", "fresh", "shared", "lines_upto", "unsafe_upto", F.coalesce("unsafe", F.lit(0)).alias("own"), "broken")
-    functions = _cut(items(rows, id).where("kind = 'function' and body is not null").select(id, "name", "first", "last"))
-    found = functions
+    functions = _cut(items(rows, id).where("kind = 'function' and body is not null").select(id, "name", "first", "last", "body"))
+    found = functions.drop("body")
     a = at.select(*(F.col(c).alias(f"a_{c}") for c in at.columns))
     z = at.select(*(F.col(c).alias(f"z_{c}") for c in at.columns))
     found = found.join(a, (F.col(id) == F.col("a__id")) & (F.col("first") == F.col("a__seq"))).join(z, (F.col(id) == F.col("z__id")) & (F.col("last") == F.col("z__seq")))

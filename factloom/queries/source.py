@@ -53,6 +53,7 @@ def lexical_metrics(spark, d):
 WITH made AS (
   SELECT file_id, 'calls' AS kind, 'call' AS name, concat('f', file_id) AS holder FROM v_rust WHERE file_id % 2 = 0
   UNION ALL SELECT file_id, 'calls', CASE file_id % 3 WHEN 0 THEN 'iter' ELSE 'go' END, concat('f', file_id) FROM v_rust WHERE file_id % 3 < 2
+  UNION ALL SELECT file_id, 'calls', 'b', concat('f', file_id) FROM v_rust WHERE file_id % 7 = 0
   UNION ALL SELECT file_id, 'macro_invocation', 'log', concat('f', file_id) FROM v_rust WHERE file_id % 5 = 0)
 SELECT file_id, kind, name, holder, 'syntax_only' AS reason FROM made""")
 def syntax_calls(spark, d):
@@ -70,3 +71,24 @@ def syntax_items(spark, d):
     found = syntax.items(_syntax(spark, d))
     outer = found.select("file_id", F.col("first").alias("parent"), F.col("name").alias("owner"))
     return found.join(outer, ["file_id", "parent"], "left").select("file_id", "kind", "name", F.col("owner").alias("parent"))
+
+
+@_query(f"""
+WITH {_FUNCTIONS.strip()}
+SELECT file_id, name, CAST(length(own) - length(replace(own, chr(10), '')) + 1 AS BIGINT) AS lines,
+  CAST(CASE name WHEN 'g' THEN 0 WHEN 'h' THEN 2 ELSE CASE WHEN file_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN file_id % 3 = 0 THEN 3 ELSE 0 END END AS BIGINT) AS branches,
+  CAST(name LIKE 'f%' AND file_id % 7 = 0 AS BIGINT) AS returns, CAST(name LIKE 'f%' AND file_id % 7 = 0 AS BIGINT) AS awaits, CAST(name LIKE 'f%' AND file_id % 2 = 0 AS BIGINT) AS unsafe_blocks FROM functions
+UNION ALL SELECT file_id, NULL, 1, 1, 0, 0, 0 FROM v_rust WHERE file_id % 3 = 1""")
+def function_counters(spark, d):
+    return syntax.counters(_syntax(spark, d)).select("file_id", "name", "lines", "branches", "returns", "awaits", "unsafe_blocks")
+
+
+@_query(f"""
+WITH {_FUNCTIONS.strip()}, points AS (
+  SELECT file_id, 'entry' AS kind, 1 AS n FROM functions UNION ALL SELECT file_id, 'entry', 1 FROM texts WHERE file_id % 3 = 1
+  UNION ALL SELECT file_id, 'branch', CASE WHEN file_id % 2 = 0 THEN 1 ELSE 0 END + CASE file_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END + CASE WHEN file_id % 4 = 0 THEN 2 ELSE 0 END FROM texts
+  UNION ALL SELECT file_id, 'unsafe', 1 FROM texts WHERE file_id % 2 = 0 UNION ALL SELECT file_id, 'break', 1 FROM texts WHERE file_id % 3 = 0
+  UNION ALL SELECT file_id, unnest(['return', 'await', 'error_propagation']), 1 FROM texts WHERE file_id % 7 = 0)
+SELECT file_id, kind, CAST(sum(n) AS BIGINT) AS points FROM points GROUP BY file_id, kind HAVING sum(n) > 0""")
+def flow_points(spark, d):
+    return syntax.flow_points(_syntax(spark, d)).groupBy("file_id", "kind").agg(F.count("*").alias("points"))

@@ -119,7 +119,7 @@ SELECT p_partkey AS file_id, concat('// ', p_name, ' { (', chr(10), 'pub fn f',
   CASE WHEN p_partkey % 2 = 0 THEN concat('  if a > 0 { unsafe { call(a); } }', chr(13), chr(10)) ELSE '' END,
   CASE p_partkey % 3 WHEN 0 THEN concat('  for x in a.iter() { while x { loop { break; } } } /* { if', chr(10), ' a */', chr(10)) WHEN 1 THEN concat('  let c = |y| match y { _ => go(1.5, 0x1F, b::d) };', chr(10), chr(10))
     ELSE concat('  let s = r#"if { unsafe {', chr(10), '  ', chr(10), ' // "#;', chr(10)) END,
-  CASE WHEN p_partkey % 5 = 0 THEN concat('  log!("{}", if a { run() });', chr(10)) ELSE '' END, '}', chr(10),
+  CASE WHEN p_partkey % 5 = 0 THEN concat('  log!("{}", if a { run() });', chr(10)) ELSE '' END, CASE WHEN p_partkey % 7 = 0 THEN concat('  return a.b().await?;', chr(10)) ELSE '' END, '}', chr(10),
   CASE WHEN p_partkey % 4 = 0 THEN concat('unsafe fn g(p: unsafe fn()) { fn h() { if a {} else if b {} } }', chr(10)) ELSE '' END) AS text FROM part""",
     "v_flow_returns": "SELECT conv_id AS body_id, turn AS block, CAST((length(text) + turn) % 6 AS BIGINT) AS local FROM conversations WHERE role <> 'user'",
 }

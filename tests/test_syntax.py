@@ -97,3 +97,18 @@ def test_items_and_calls(spark):
     spans = syntax.items(rows).where("kind = 'function'")
     holders = {r.name: r.holder for r in syntax.held_by(syntax.calls(rows), spans).collect()}
     assert holders["run"] == found["function", "go"].first and holders["X"] is None
+
+
+def test_flow_points_belong_to_the_innermost_body(spark):
+    text = "fn f(a: Option<u8>) -> R { let g = |x: &dyn T| { if x { return 1; } x? }; for i in a { while b { continue; } } loop { break; } unsafe { h().await?; } fn inner() { match q { _ => return } } log!(if z { return }); }"
+    rows = syntax.brackets(lexer.tokens(spark.createDataFrame([(1, text)], "file_id long, text string")))
+    names = {r.first: r.name or "closure" for r in syntax.counters(rows).collect()}
+    found = {}
+    for r in syntax.flow_points(rows).orderBy("start", "kind").collect():
+        found.setdefault(names[r.holder], []).append(r.kind)
+    assert found == {
+        "f": ["entry", "branch", "branch", "continue", "branch", "break", "unsafe", "await", "error_propagation"],
+        "closure": ["entry", "branch", "return", "error_propagation"], "inner": ["entry", "branch", "return"],
+    }
+    counts = {r.name or "closure": tuple(r)[3:] for r in syntax.counters(rows).collect()}
+    assert counts == {"f": (1, 3, 0, 1, 1), "closure": (1, 1, 1, 0, 0), "inner": (1, 1, 1, 0, 0)}
