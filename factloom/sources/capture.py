@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
-from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +35,7 @@ class Captured(NamedTuple):
 def _listed(spark: SparkSession, root: str, content: bool) -> DataFrame:
     """path (relative), bytes, modified and perhaps content of the files that a capture takes; without content only names are listed."""
     every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{*.rs," + ",".join(MANIFESTS) + "}").load(root)
-    base = unquote(urlparse(root).path).rstrip("/") + "/"
+    base = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
     plain = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
     decoded = F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
     path = F.expr(f"substring(p, {len(base) + 1})")

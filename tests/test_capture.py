@@ -24,7 +24,7 @@ def test_sources_manifests_and_rejected_files(spark, tmp_path):
     assert texts == {"src/lib.rs": "pub fn café() {}\r\n", "src/a b+c/mod.rs": "mod x;", "src/target.rs": "fn kept() {}"}
     assert {r.path for r in found.manifests.collect()} == {"Cargo.toml", "rust-toolchain"}
     assert [tuple(r) for r in found.rejected.collect()] == [("src/latin.rs", "not_utf8")]
-    assert {r.path: r.content_hash for r in found.files.collect()} == {r.path: r.content_hash for r in capture.capture(spark, f"file://{tmp_path}/work%20space").files.collect()}
+    assert {r.path: r.content_hash for r in found.files.collect()} == {r.path: r.content_hash for r in capture.capture(spark, f"file://{tmp_path}/work space").files.collect()}
 
 
 @pytest.mark.parametrize("limits, said", [({"max_files": 5}, "6 files"), ({"max_file_bytes": 10}, "src/lib.rs has"), ({"max_total_bytes": 40}, "bytes, 40 at most")])
