@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 18
+BLOCK = 1 << 20
 
 #: ASCII space and \t \n \v \f \r: what separates words in every contract of this subpackage.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
