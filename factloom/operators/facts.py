@@ -91,9 +91,23 @@ def largest_fan_out(relations: DataFrame, k: int = 10) -> DataFrame:
     return relations.where("kind = 'calls'").groupBy("source_id").agg(F.count("*").alias("sites")).orderBy(F.desc("sites"), "source_id").limit(k)
 
 
+#: Why something isn't known, in the order of answers.
+REASONS = (
+    "missing_dependency", "cfg_unknown", "macro_unavailable", "indirect_target_unknown", "external_boundary",
+    "unsupported_construct", "budget_exhausted", "analysis_failed", "artifact_mismatch", "syntax_only",
+)
+
+
 def merge_coverage(parts: DataFrame, ceiling: int = 4_294_967_295) -> DataFrame:
-    """Counts by reason, saturated at a ceiling."""
-    return parts.groupBy("reason").agg(F.least(F.sum("n"), F.lit(ceiling)).alias("n"))
+    """(reason, n, ordinal): counts by reason, saturated at a ceiling; ordinal is the reason's place in answers, null for none of REASONS."""
+    place = F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason")) - 1
+    counts = parts.groupBy("reason").agg(F.least(F.sum("n"), F.lit(ceiling)).alias("n"))
+    return counts.withColumn("ordinal", F.when(place >= 0, place))
+
+
+def merge_limitations(parts: DataFrame) -> DataFrame:
+    """(limitation, first): each limitation once, by the place where it is first told; parts: place, limitation."""
+    return parts.groupBy("limitation").agg(F.min("place").alias("first"))
 
 
 def ownership(definitions: DataFrame) -> DataFrame:

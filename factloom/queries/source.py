@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import lexer
-from factloom.operators import syntax
+from factloom.operators import syntax, transitions
 from factloom.registry import _query
 from factloom.sources.tables import read
 
@@ -92,3 +92,23 @@ WITH {_FUNCTIONS.strip()}, points AS (
 SELECT file_id, kind, CAST(sum(n) AS BIGINT) AS points FROM points GROUP BY file_id, kind HAVING sum(n) > 0""")
 def flow_points(spark, d):
     return syntax.flow_points(_syntax(spark, d)).groupBy("file_id", "kind").agg(F.count("*").alias("points"))
+
+
+def _transitions(spark, d):
+    files = read(spark, d, "v_states")
+    selections = files.select(F.col("file_id").alias("selection"), "file_id", F.lit("step").alias("function"), F.lit("State").alias("enum"), F.lit("state").alias("state"))
+    return transitions.transitions(syntax.brackets(lexer.tokens(files)), selections)
+
+
+@_query("""
+SELECT p_partkey AS selection, concat('S', p_partkey % 7) AS from_variant, concat('S', (p_partkey + 1) % 7) AS to_variant, p_partkey % 3 = 0 AS guarded FROM part WHERE p_partkey % 5 <> 0
+UNION ALL SELECT p_partkey, concat('S', (p_partkey + 2) % 7), 'T', false FROM part WHERE p_partkey % 5 <> 0""")
+def state_transitions(spark, d):
+    return _transitions(spark, d).candidates.select("selection", "from_variant", "to_variant", F.col("guard").isNotNull().alias("guarded"))
+
+
+@_query("""
+SELECT p_partkey AS selection, 'macro' AS reason, CAST(1 AS BIGINT) AS n FROM part WHERE p_partkey % 5 = 0
+UNION ALL SELECT p_partkey, 'unsupported_arm', CASE WHEN p_partkey % 4 = 0 THEN 2 ELSE 1 END FROM part WHERE p_partkey % 5 <> 0""")
+def state_unknowns(spark, d):
+    return _transitions(spark, d).unknowns.groupBy("selection", "reason").agg(F.count("*").alias("n"))

@@ -113,7 +113,7 @@ def definition_counts(spark, d):
 
 
 @_query("""
-SELECT reason, CAST(least(sum(n), 4294967295) AS BIGINT) AS n FROM (
+SELECT reason, CAST(least(sum(n), 4294967295) AS BIGINT) AS n, CASE reason WHEN 'indirect_target_unknown' THEN CAST(3 AS BIGINT) WHEN 'external_boundary' THEN 4 END AS ordinal FROM (
   SELECT reason, CAST(l.span_start AS BIGINT) * 100000 AS n FROM v_relations AS l WHERE reason IS NOT NULL) GROUP BY reason""")
 def merged_coverage(spark, d):
     parts = read(spark, d, "v_relations").where("reason is not null").select("reason", (F.col("span_start") * 100000).alias("n"))

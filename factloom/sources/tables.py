@@ -121,6 +121,9 @@ SELECT p_partkey AS file_id, concat('// ', p_name, ' { (', chr(10), 'pub fn f',
     ELSE concat('  let s = r#"if { unsafe {', chr(10), '  ', chr(10), ' // "#;', chr(10)) END,
   CASE WHEN p_partkey % 5 = 0 THEN concat('  log!("{}", if a { run() });', chr(10)) ELSE '' END, CASE WHEN p_partkey % 7 = 0 THEN concat('  return a.b().await?;', chr(10)) ELSE '' END, '}', chr(10),
   CASE WHEN p_partkey % 4 = 0 THEN concat('unsafe fn g(p: unsafe fn()) { fn h() { if a {} else if b {} } }', chr(10)) ELSE '' END) AS text FROM part""",
+    "v_states": """
+SELECT p_partkey AS file_id, concat('fn step(mut state: State, n: u8) { ', CASE WHEN p_partkey % 5 = 0 THEN 'log!(n); ' ELSE '' END, 'match state { State::S', CAST(p_partkey % 7 AS STRING), CASE WHEN p_partkey % 3 = 0 THEN ' if n > 2' ELSE '' END,
+  ' => state = State::S', CAST((p_partkey + 1) % 7 AS STRING), ', State::S', CAST((p_partkey + 2) % 7 AS STRING), ' => { state = State::T; } ', CASE WHEN p_partkey % 4 = 0 THEN 'State::X(y) => state = State::T, ' ELSE '' END, '_ => {} } }') AS text FROM part""",
     "v_flow_returns": "SELECT conv_id AS body_id, turn AS block, CAST((length(text) + turn) % 6 AS BIGINT) AS local FROM conversations WHERE role <> 'user'",
 }
 

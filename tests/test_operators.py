@@ -207,3 +207,11 @@ def test_source_windows_by_line_and_offset(spark):
             expected[100 * i + byte + 1] = (len(parts), start, window, window != (t or ""))
         found = scalars.source_windows(files, scalars.line_at(F.col("text"), F.col("byte")), 2, most=most).collect()
         assert {r.file_id: (r.total_lines, r.start_byte, r.window, r.truncated) for r in found} == expected
+
+
+def test_merged_coverage_keeps_the_order_of_reasons(spark):
+    parts = [("cfg_unknown", 4_294_967_294), ("syntax_only", 2), ("syntax_only", 3), ("cfg_unknown", 9), ("syntax_only", 4), ("missing_dependency", 7), ("other", 1)]
+    found = facts.merge_coverage(spark.createDataFrame(parts, "reason string, n long")).orderBy(F.asc_nulls_last("ordinal")).collect()
+    assert [(r.reason, r.n, r.ordinal) for r in found] == [("missing_dependency", 7, 0), ("cfg_unknown", 4_294_967_295, 1), ("syntax_only", 9, 9), ("other", 1, None)]
+    said = spark.createDataFrame([(0, "shared"), (1, "shared"), (2, "shared"), (3, "after")], "place long, limitation string")
+    assert [r.limitation for r in facts.merge_limitations(said).orderBy("first").collect()] == ["shared", "after"]
