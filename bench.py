@@ -14,7 +14,7 @@ HEADLINE = (
     "prefix_search", "keyset_search", "adjacency_incoming", "adjacency_outgoing", "fan_metrics", "distributions", "unknown_reasons", "largest_fan_out",
     "ownership", "integrity_violations", "neighbourhood_outgoing", "structural_diff", "diff_impact", "trace_alignment", "reaching_definitions",
     "cyclomatic_complexity", "line_table", "text_metrics", "retention_plan",
-    "bounded_neighbourhood_status", "dataflow_uses", "source_tokens", "lexical_metrics", "trace_windows", "observation_violations", "cfg_status",
+    "bounded_neighbourhood_status", "dataflow_uses", "source_tokens", "trace_windows", "observation_violations", "cfg_status",
 )
 
 
