@@ -24,7 +24,7 @@ def test_a_word_of_more_than_65536_ids_is_scored_in_full(spark):
         words = [w.encode() for w in text.split()]
         ids = np.append(language_model.encode_words(words, path)[0], end)
         assert i != 1 or len(ids) > 65_537
-        expected = model.score(ids, np.array([0, len(ids)])).sum() + (len(words) + 1) * math.log10(1 - language_model.KNOWN)
+        expected = model.score(ids, np.array([0, len(ids)])).sum() + (len(words) + 1) * math.log10(language_model.spelled_weight(0, 0))
         assert abs(found[i] - expected) < 1e-5 * abs(expected)
 
 

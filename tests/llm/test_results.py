@@ -207,6 +207,48 @@ def test_windows_change_nothing_for_short_texts_and_score_each_id_once():
     assert np.allclose(whole[:20], model.score(ids[:20], np.array([0, 20])), atol=1e-5) and (whole < 0).all()
 
 
+def test_attention_equals_a_reading_of_one_id_at_a_time():
+    rng = np.random.default_rng(2)
+    model = language_model.Model(rng.integers(0, language_model.CLASSES, 60))
+    model.fill(rng.normal(0, 0.4, len(model.flat())))
+    model.ready(rng.integers(1, 9, 60).astype(float))
+    t, size, stride, groups, members = model.t, language_model.WINDOW, language_model.STRIDE, language_model.GROUPS, language_model.MEMBERS
+    ids = rng.integers(0, 60, 3 * size + 5)
+    classes = model.classes[ids]
+    before = [language_model.CLASSES, *classes[:-1]]
+    expected = []
+    for i, c in enumerate(classes):
+        start = 0 if i < size else stride * -(-(i - size + 1) // stride)
+        span = range(start, i + 1)
+        pull = np.array([t["q"][before[i]] @ t["k"][before[j]] / math.sqrt(language_model.KEYS) + t["d"][i - j] for j in span])
+        share = np.exp(pull - pull.max()) / np.exp(pull - pull.max()).sum()
+        h = sum(s * t["v"][before[j]] for s, j in zip(share, span, strict=True)) + t["p"][before[i]]
+        z = h / (1 + np.abs(h)) @ t["w"] + t["b"]
+        group = c // members
+        inner = z[groups + group * members : groups + (group + 1) * members]
+        chance = np.exp(z[group]) / np.exp(z[:groups]).sum() * np.exp(inner[c % members]) / np.exp(inner).sum()
+        expected.append(math.log10(chance) + model.inside[ids[i]])
+    assert np.allclose(model.score(ids, np.array([0, len(ids)])), expected, atol=1e-4)
+
+
+def test_windows_for_training_hold_each_class_once():
+    ids, classes = np.arange(100), np.arange(100) % 7
+    rows = np.array([0, 1, 33, 33 + language_model.WINDOW, 100])
+    found = [(x, y) for xs, ys in language_model.windows_of(ids, rows, classes) for x, y in zip(xs, ys, strict=True)]
+    assert np.array_equal(np.concatenate([y[y >= 0] for _, y in found]), classes)
+    assert sum(x[0] == language_model.CLASSES for x, _ in found) == len(rows) - 1
+
+
+def test_the_language_model_tells_words_it_knows_better_than_their_counts(spark):
+    rows = language_model.query(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
+    known = rows.n_known.sum()
+    docs = [t.split() for t in table(spark, "/root/testdata/sf0.01", "documents").where("crc32(cast(doc_id as string)) % 7 != 2").toPandas().text.fillna("")]
+    distinct = len({"".join(c.lower() if c.isascii() else c for c in w) for d in docs for w in d}) + 1
+    unseen = -math.log10(rows.train_tokens[0] + distinct + 1)
+    base = (rows.base_score.sum() - (rows.n_tokens.sum() - known) * unseen) / known
+    assert rows.known_score.sum() / known > base + 0.05
+
+
 def test_languages_of_documents(spark):
     from pyspark.sql import functions as F
 
