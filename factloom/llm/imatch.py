@@ -1,9 +1,9 @@
 """I-Match document fingerprints from DataFrame functions only.
 
-1. Document frequencies of all terms of all documents. A term is one of BUCKETS buckets of a 64-bit hash, so the counts
-   have a fixed size. The lexicon keeps the band LOW..HIGH of the share of documents: a band of the inverse document
-   frequency. Each of its terms is in LOW of all documents at least, so it has at most (mean distinct terms of a
-   document) / LOW terms however many documents there are; it goes with the tasks as a hash set.
+1. Document frequencies of all terms of all documents; a term is known by its 64-bit hash. The lexicon keeps the band
+   LOW..HIGH of the share of documents: a band of the inverse document frequency. Each of its terms is in LOW of all
+   documents at least, so it has at most (mean distinct terms of a document) / LOW terms however many documents there
+   are; it goes with the tasks as a hash set.
 2. A document's distinct lexicon terms, sorted, are hashed as a whole and for SUBSETS randomised subsets of the lexicon,
    16 bits each; 0000 stands for a subset without a term of the document. Subsets are drawn at several rates, so that
    short and long documents have subsets of a few of their terms.
@@ -12,31 +12,34 @@
 Terms are lower-cased runs between white space and ASCII punctuation.
 
 Defined results: a text without lexicon terms is hashed over all its terms, all subsets 0000; two of these are alike if
-equal (1) or not (0). Null texts are empty. Repeated rows follow each other. A null id comes before all others.
+equal (1) or not (0). Null texts are empty. Repeated rows follow each other; rows of one id are in the order of a hash of
+their texts. A null id comes before all others. Texts are hashed whole, however long. fingerprint() takes no
+columns _terms, _band, _drawn and _subs; with_next() takes any.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.tables import table
+from factloom.llm.tables import cut, table
 
-BUCKETS = 1 << 22
 LOW, HIGH = 0.01, 0.2
 #: (one in so many terms is in a subset, subsets of that rate); each rate reads its own bits of a second hash.
 RATES = ((16, 2), (64, 14), (256, 20), (1024, 28))
 SUBSETS = sum(n for _, n in RATES)
-#: Rows of a stretch of neighbours, and the most stretches.
-STRETCH, STRETCHES = 500, 1024
+#: Rows of a stretch of neighbours, the most bounds of ids, and the most parts of what lies between two of them.
+STRETCH, STRETCHES, FINER = 500, 1024, 128
 _LEAST = -(1 << 63)
 _DROPPED = "\t\n\x0b\x0c\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def terms(text: Column) -> Column:
-    """Buckets of the terms in order; that of the empty string stands between neighbouring separators."""
+    """Hashes of the terms in order; that of the empty string stands between neighbouring separators."""
     flat = F.translate(F.lower(text), _DROPPED, " " * len(_DROPPED))
-    return F.transform(F.split(flat, " "), lambda w: F.xxhash64(w).bitwiseAND(F.lit(BUCKETS - 1)))
+    return F.transform(F.split(flat, " "), lambda w: F.xxhash64(w))
 
 
 def lexicon(df: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH) -> list[int]:
@@ -44,7 +47,7 @@ def lexicon(df: DataFrame, text: str = "text", low: float = LOW, high: float = H
     n = df.count()
     found = df.select(F.explode(F.array_distinct(terms(F.coalesce(text, F.lit(""))))).alias("t"))
     counts = found.groupBy("t").agg(F.count("*").alias("n")).where((F.col("n") >= max(2, low * n)) & (F.col("n") <= max(2, high * n)))
-    return sorted(r.t for r in counts.where(F.col("t") != F.xxhash64(F.lit("")).bitwiseAND(F.lit(BUCKETS - 1))).collect())
+    return sorted(r.t for r in counts.where(F.col("t") != F.xxhash64(F.lit(""))).collect())
 
 
 def _drawn(rate: int, k: int):
@@ -88,33 +91,58 @@ def _search(value: Column, bounds: list[int], first: int = 0) -> Column:
     return F.when(value < bounds[mid], _search(value, bounds[:mid], first)).otherwise(_search(value, bounds[mid + 1 :], first + mid + 1))
 
 
-def with_next(df: DataFrame, id: str, columns: tuple[str, ...]) -> DataFrame:
+def _stretches(flat: DataFrame) -> tuple[list[int], DataFrame, DataFrame]:
+    """Bounds of k, (p, one, cuts) and (p, q, head, before) of the stretches of rows (k, t) in order.
+
+    Bounds of k by approximate quantiles; a k that fills more than one stretch lies alone between two bounds. What lies
+    between two bounds is cut again at up to FINER quantiles of k, or of t where there is one k only. head is a stretch's
+    first (k, t), before the stretch that comes before it, the last one for the first.
+    """
+    flat = cut(flat)
+    parts = min(STRETCHES, max(1, flat.count() // STRETCH))
+    found = flat.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or [] if parts > 1 else []
+    filled = {a for a, b in zip(found, found[1:], strict=False) if a == b}
+    bounds = sorted({*found, *(k + 1 for k in filled if k < -_LEAST - 1)})  # at most 2 * STRETCHES numbers
+    flat = flat.withColumn("p", _search(F.col("k"), bounds))
+    sizes = flat.groupBy("p").agg(F.count("*").alias("n"), (F.min("k") == F.max("k")).alias("one")).collect()
+    most = max((r.n for r in sizes), default=0)
+    finer = min(FINER, math.ceil(most / STRETCH)) if most > 4 * STRETCH else 1
+    one = F.col("p").isin([r.p for r in sizes if r.one])
+    found = F.percentile_approx(F.when(one, F.col("t")).otherwise(F.col("k")), [i / finer for i in range(1, finer)], 20 * finer) if finer > 1 else F.array().cast("array<bigint>")
+    cuts = cut(flat.groupBy("p").agg(found.alias("cuts")).select("p", one.alias("one"), F.array_distinct("cuts").alias("cuts")))
+    heads = cut(_placed(flat, cuts).groupBy("p", "q").agg(F.min(F.struct("k", "t")).alias("head")))
+    last = {r.p: r.q for r in heads.groupBy("p").agg(F.max("q").alias("q")).collect()}
+    used = sorted(last)
+    prior = {p: (b, last[b]) for p, b in zip(used, used[-1:] + used[:-1], strict=True)}
+    earlier = F.create_map(*[x for p, (b, q) in prior.items() for x in (F.lit(p), F.struct(F.lit(b).alias("p"), F.lit(q).alias("q")))]) if prior else None
+    within = F.lag(F.struct("p", "q")).over(Window.partitionBy("p").orderBy("q"))
+    return bounds, cuts, heads.select("p", "q", "head", F.coalesce(within, earlier[F.col("p")]).alias("before") if prior else within.alias("before"))
+
+
+def _placed(df: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Adds q, the place of (k, t) among the cuts of p; cuts has 2 * STRETCHES rows of FINER numbers at most."""
+    out = df.join(F.broadcast(cuts), "p")
+    value = F.when(F.col("one"), F.col("t")).otherwise(F.col("k"))
+    return out.withColumn("q", F.size(F.filter("cuts", lambda c: c <= value))).drop("one", "cuts")
+
+
+def with_next(df: DataFrame, id: str, columns: tuple[str, ...], tie: str = "text") -> DataFrame:
     """Adds next_<column>, the values of the row that follows by ascending id; after the last row comes the first.
 
-    Rows are dealt into stretches of ids by approximate quantiles; the first row of each stretch goes to the one
-    before it too, as the follower of that one's last row.
+    Rows of one id are in the order of the hash of the column ``tie``, on which the others have to depend. Rows are dealt
+    into stretches; the first row of each goes to the one before it too, as the follower of that one's last row.
     """
-    key = F.coalesce(F.col(id).cast("long"), F.lit(_LEAST))
-    ids = df.select(key.alias("k"))
-    parts = min(STRETCHES, max(1, ids.count() // STRETCH))
-    bounds = []
-    if parts > 1:
-        found = ids.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
-        bounds = sorted({*found})  # fewer than STRETCHES numbers
-    place = _search(key, bounds)
-    heads = {r.p: r.k for r in ids.select(_search(F.col("k"), bounds).alias("p"), "k").groupBy("p").agg(F.min("k").alias("k")).collect()}
-    used = sorted(heads)
-    before = dict(zip(used, used[-1:] + used[:-1], strict=True))
-    count = len(bounds) + 1
-    head = F.element_at(F.array(*[F.lit(heads.get(i)).cast("long") for i in range(count)]), F.col("_p") + 1)
-    prior = F.element_at(F.array(*[F.lit(before.get(i)).cast("int") for i in range(count)]), F.col("_p") + 1)
-    dealt = df.withColumns({"_k": key, "_p": place})
-    own, also = F.struct(F.col("_p").alias("p"), F.lit(0).alias("after")), F.struct(prior.alias("p"), F.lit(1).alias("after"))
-    dealt = dealt.withColumn("_at", F.explode(F.when(F.col("_k") == head, F.array(own, also)).otherwise(F.array(own))))
-    tie = F.xxhash64(*[F.col(c) for c in columns])
-    order = Window.partitionBy("_at.p").orderBy("_at.after", "_k", tie)
-    out = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
-    return out.where("_at.after = 0").drop("_k", "_p", "_at")
+    keep = list(df.columns)
+    key, hashed = F.coalesce(F.col(id).cast("long"), F.lit(_LEAST)), F.xxhash64(tie)
+    bounds, cuts, heads = _stretches(df.select(key.alias("k"), hashed.alias("t")))
+    rows = df.select(F.struct(*keep).alias("row"), key.alias("k"), hashed.alias("t"))
+    dealt = _placed(rows.withColumn("p", _search(F.col("k"), bounds)), cuts)
+    dealt = dealt.join(F.broadcast(heads), ["p", "q"])  # 2 * STRETCHES * FINER rows of numbers at most
+    own, also = (F.struct(p.alias("p"), q.alias("q"), F.lit(after).alias("after")) for p, q, after in ((F.col("p"), F.col("q"), 0), (F.col("before.p"), F.col("before.q"), 1)))
+    dealt = dealt.select("row", "k", "t", F.explode(F.when(F.struct("k", "t") == F.col("head"), F.array(own, also)).otherwise(F.array(own))).alias("at"))
+    order = Window.partitionBy("at.p", "at.q").orderBy("at.after", "k", "t")
+    out = dealt.select("row", "at", *[F.lead(f"row.{c}").over(order).alias(f"next_{c}") for c in columns])
+    return out.where("at.after = 0").select("row.*", *[f"next_{c}" for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
