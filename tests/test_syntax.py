@@ -112,3 +112,17 @@ def test_flow_points_belong_to_the_innermost_body(spark):
     }
     counts = {r.name or "closure": tuple(r)[3:] for r in syntax.counters(rows).collect()}
     assert counts == {"f": (1, 3, 0, 1, 1), "closure": (1, 1, 1, 0, 0), "inner": (1, 1, 1, 0, 0)}
+
+
+def test_files_of_one_split_are_dealt_and_batches_hold_whole_order(spark, monkeypatch):
+    monkeypatch.setattr(lexer, "BATCH", 7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = spark.range(64, numPartitions=1).selectExpr("id AS file_id", "repeat('a(b); ', CAST(id % 3 AS INT)) AS text")
+        found = lexer.tokens(files).selectExpr("*", "spark_partition_id() AS p").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.p for r in found}) > 1
+    for k in range(64):
+        own = [r for r in found if r.file_id == k]
+        assert [r.seq for r in own] == list(range(5 * (k % 3))) and "".join(r.word for r in own) == "a(b);" * (k % 3)
