@@ -32,38 +32,37 @@ def brackets(tokens: DataFrame, id: str = "file_id") -> DataFrame:
     step = F.when(opens, 1).when(closes, -1).otherwise(0)
     rows = tokens.withColumn("opens", opens).withColumn("closes", closes).withColumn("sum", F.sum(step).over(file.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("depth", F.col("sum") - opens.cast("int")).withColumn("p1", F.lag("word", 1).over(file)).withColumn("p2", F.lag("word", 2).over(file)).withColumn("p3", F.lag("word", 3).over(file))
+    macro = F.col("opens") & ((F.col("p1") == "!") & F.col("p2").rlike(r"^\w+$") & ~F.col("p2").isin("if", "while", "return", "match", "in") | (F.col("p2") == "!") & (F.col("p3") == "macro_rules"))
     level = Window.partitionBy(id, "depth", "bracket").orderBy("seq")
-    rows = rows.withColumn("bracket", F.col("opens") | F.col("closes"))
-    rows = rows.withColumn("close", F.when(F.col("opens"), F.lead("seq").over(level))).withColumn("pair", F.when(F.col("opens"), F.lead("word").over(level)))
+    rows = rows.withColumn("bracket", F.col("opens") | F.col("closes")).withColumn("_m", F.coalesce(macro, F.lit(False)))
+    rows = rows.withColumns({"close": F.when(F.col("opens"), F.lead("seq").over(level)), "pair": F.when(F.col("opens"), F.lead("word").over(level)), "_d": F.when(F.col("closes"), F.lag("_m").over(level))})
     fits = ~F.col("opens") | F.coalesce(F.concat("word", "pair").isin("()", "[]", "{}"), F.lit(False))
     # The bracket around a token is the last opening one of the depth below.
-    inner = rows.withColumn("key", F.col("depth") - 1).withColumn("own", F.lit(None).cast("long"))
-    marks = rows.where("opens").select(id, "seq", F.col("depth").alias("key"), F.col("seq").alias("own"))
-    both = inner.unionByName(marks, allowMissingColumns=True)
-    around = F.last("own", ignorenulls=True).over(Window.partitionBy(id, "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    rows = both.withColumn("around", F.coalesce(around, F.lit(-1))).where("kind is not null").drop("own", "key")
-    macro = F.col("opens") & ((F.col("p1") == "!") & F.col("p2").rlike(r"^\w+$") & ~F.col("p2").isin("if", "while", "return", "match", "in") | (F.col("p2") == "!") & (F.col("p3") == "macro_rules"))
-    rows = rows.withColumn("_m", F.coalesce(macro, F.lit(False)))
-    ends = rows.where("_m").select(id, F.col("close").alias("seq"), F.lit(-1).alias("_d"))
-    deltas = rows.join(ends.groupBy(id, "seq").agg(F.sum("_d").alias("_d")), [id, "seq"], "left")
-    inside = F.sum(F.col("_m").cast("int") + F.coalesce("_d", F.lit(0))).over(file.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m").cast("int")
-    whole = Window.partitionBy(id)
+    none = F.lit(None).cast("long")
+    asks, marks = F.struct((F.col("depth") - 1).alias("key"), none.alias("own")), F.struct(F.col("depth").alias("key"), F.col("seq").alias("own"))
+    both = rows.withColumn("_k", F.explode(F.when(F.col("opens"), F.array(asks, marks)).otherwise(F.array(asks))))
+    around = F.last("_k.own", ignorenulls=True).over(Window.partitionBy(id, "_k.key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    rows = both.withColumn("around", F.coalesce(around, F.lit(-1))).where("_k.own is null").drop("_k")
+    inside = F.sum(F.col("_m").cast("int") - F.coalesce("_d", F.lit(False)).cast("int")).over(file.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m").cast("int")
+    whole = file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     balanced = F.min(F.when(fits, 1).otherwise(0)).over(whole) * F.when(F.min("depth").over(whole) >= 0, 1).otherwise(0) * F.when(F.sum(step).over(whole) == 0, 1).otherwise(0)
-    rows = deltas.withColumn("macro", inside > 0).withColumn("balanced", balanced == 1).drop("_m", "_d", "opens", "closes", "sum", "bracket", "pair", "p1", "p2", "p3")
-    return _cut(rows)  # what follows reads these rows many times
+    rows = rows.withColumns({"macro": inside > 0, "balanced": balanced == 1}).drop("_m", "_d", "opens", "closes", "sum", "bracket", "pair", "p1", "p2", "p3")
+    return _cut(rows)  # what follows may read these rows several times
 
 
 def enclosing(spans: DataFrame, id: str = "file_id") -> DataFrame:
     """Well-nested spans (id, first, last) with level (how many spans hold it, itself too) and parent (first of the one around it, else null)."""
-    marks = spans.select(id, F.col("first").alias("seq"), F.lit(1).alias("d"), (-F.col("last")).alias("o")).unionByName(spans.select(id, F.col("last").alias("seq"), F.lit(-1).alias("d"), F.col("first").alias("o")))
+    own = F.struct(*(c for c in spans.columns if c != id)).alias("own")
+    none = F.lit(None).cast(spans.select(own).schema["own"].dataType)
+    ends = F.array(F.struct(F.col("first").alias("seq"), F.lit(1).alias("d"), (-F.col("last")).alias("o"), own), F.struct(F.col("last").alias("seq"), F.lit(-1).alias("d"), F.col("first").alias("o"), none.alias("own")))
     # At one token starts come before stops, outer starts first.
-    run = F.sum("d").over(Window.partitionBy(id).orderBy("seq", F.desc("d"), "o").rowsBetween(Window.unboundedPreceding, 0))
-    levels = marks.withColumn("level", run).where("d = 1").select(id, F.col("seq").alias("first"), (-F.col("o")).alias("last"), "level")
-    keyed = levels.select(id, "first", "last", "level", (F.col("level") - 1).alias("key"), F.lit(None).cast("long").alias("own"))
-    above = levels.select(id, "first", F.lit(None).cast("long").alias("last"), F.lit(None).cast("long").alias("level"), F.col("level").alias("key"), F.col("first").alias("own"))
-    parent = F.last("own", ignorenulls=True).over(Window.partitionBy(id, "key").orderBy("first", F.col("own").isNull()).rowsBetween(Window.unboundedPreceding, -1))
-    found = keyed.unionByName(above).withColumn("parent", parent).where("level is not null").select(id, F.col("first").alias("_f"), F.col("last").alias("_l"), "level", "parent")
-    return spans.join(found.withColumnRenamed(id, "_id"), (F.col(id) == F.col("_id")) & (F.col("first") == F.col("_f")) & (F.col("last") == F.col("_l"))).drop("_id", "_f", "_l")
+    run = F.sum("m.d").over(Window.partitionBy(id).orderBy("m.seq", F.desc("m.d"), "m.o").rowsBetween(Window.unboundedPreceding, 0))
+    levels = spans.select(id, F.explode(ends).alias("m")).withColumn("level", run).where("m.d = 1").select(id, "m.own", "level")
+    # A span asks in the level above for what its own row, as a mark, answers in its level.
+    roles = F.array(F.struct((F.col("level") - 1).alias("key"), F.lit(False).alias("mark")), F.struct(F.col("level").alias("key"), F.lit(True).alias("mark")))
+    above = Window.partitionBy(id, "r.key").orderBy("own.first", "r.mark").rowsBetween(Window.unboundedPreceding, -1)
+    found = levels.withColumn("r", F.explode(roles)).withColumn("parent", F.last(F.when(F.col("r.mark"), F.col("own.first")), ignorenulls=True).over(above))
+    return found.where("not r.mark").select(id, "own.*", "level", "parent")
 
 
 def _near(rows: DataFrame, id: str) -> DataFrame:
@@ -75,8 +74,53 @@ def _near(rows: DataFrame, id: str) -> DataFrame:
 
 def _ahead(rows: DataFrame, id: str, when, name: str) -> DataFrame:
     """Adds the seq of the next token at the same level, in the same bracket, for which ``when`` holds."""
-    following = Window.partitionBy(id, "around").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    return rows.withColumn(name, F.min(F.when(when, F.col("seq"))).over(following))
+    return rows.withColumn(name, F.last(F.when(when, F.col("seq")), ignorenulls=True).over(_behind(id)))
+
+
+def _behind(id: str):
+    """What follows a token at its level, from the end on: a frame that grows backwards costs each row once."""
+    return Window.partitionBy(id, "around").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _wide(rows: DataFrame, id: str, at=None) -> DataFrame:
+    """Tokens with what stands near and ahead of them, all by windows within the file: no table of tokens is joined with another.
+
+    at: a value of each token that items and sites carry for their first and last token and for that where their body begins.
+    then: of an opening bracket, its closing one; tail: where ``else {`` follows that, the closing one of that block. since: the last
+    ; or } before at this level, head: the token after it; brace, semi, stop (a , or ;), bar: the next ones; until: the bracket around.
+    """
+    file, level = Window.partitionBy(id).orderBy("seq"), Window.partitionBy(id, "around").orderBy("seq")
+    ahead, ever = _behind(id), level.rowsBetween(Window.unboundedPreceding, 0)
+    rows = _near(rows.withColumn("at", F.lit(0) if at is None else at), id).withColumns({"after": F.lead("at").over(file), "prior": F.lag("at").over(file)})
+    pairs = Window.partitionBy(id, "depth", F.coalesce(F.col("word").isin(*OPENS, *CLOSES), F.lit(False))).orderBy("seq")
+    opener = F.col("close").isNotNull()
+    then = F.when(opener, F.lead(F.struct("seq", "at", "prior", F.col("n1").alias("x1"), F.col("n2").alias("x2"))).over(pairs))
+    rows = rows.withColumn("then", then).withColumn("tail", F.when((F.col("then.x1") == "else") & (F.col("then.x2") == "{"), F.lead("seq", 3).over(pairs)))
+    rows = rows.withColumn("holds", F.lag(F.when(opener, F.col("then"))).over(file))
+    last = lambda when, what, over: F.last(F.when(when, what), ignorenulls=True).over(over)
+    rows = rows.withColumn("since", last(F.col("word").isin(";", "}"), F.col("seq"), level.rowsBetween(Window.unboundedPreceding, -1))).withColumn("first", F.coalesce("since", "around") + 1)
+    rows = rows.withColumns({"head": last(F.col("seq") == F.col("first"), F.col("at"), ever), "until": last(F.col("seq") == F.col("around") + 1, F.struct("holds.seq", "holds.prior"), ever)})
+    rows = rows.withColumns({
+        "brace": last(F.col("word") == "{", F.struct("seq", "close", "tail", "at", F.col("then.at").alias("end")), ahead), "semi": last(F.col("word") == ";", F.struct("seq", "at"), ahead),
+        "stop_at": last(F.col("word").isin(",", ";"), F.struct("seq", "prior"), ahead),
+    })
+    following = F.lag(F.struct("seq", "word", "close", F.col("then.at").alias("end"), "stop_at")).over(Window.partitionBy(id, "around").orderBy(F.desc("seq")))
+    rows = rows.withColumn("following", following)
+    return rows.withColumn("bar", last((F.col("word") == "|") & ~F.col("macro"), F.struct("seq", "after", "following"), ahead))
+
+
+def _of_items(wide: DataFrame, id: str) -> DataFrame:
+    """(id, kind, name, first, keyword, body, last, and the values at of first, body and last) of the items among these tokens."""
+    starts = (F.col("b1").isNull() | F.col("b1").isin("", ";", "}", "{", "]", "unsafe")) & (F.col("word") == "impl")
+    named = F.col("word").isin(*ITEMS[:-1]) & F.col("n1").rlike(r"^\w+$")
+    found = wide.where((F.col("kind") == "ident") & ~F.col("macro") & (starts | named))
+    has = F.col("brace").isNotNull() & (F.col("semi").isNull() | (F.col("brace.seq") < F.col("semi.seq")))
+    closed = has & F.col("brace.close").isNotNull()
+    return found.select(
+        id, F.when(F.col("word") == "fn", "function").otherwise(F.col("word")).alias("kind"), F.when(F.col("word") != "impl", F.col("n1")).alias("name"), "first", F.col("seq").alias("keyword"),
+        F.when(has, F.col("brace.seq")).alias("body"), F.when(closed, F.col("brace.close")).otherwise(F.col("semi.seq")).alias("last"),
+        F.col("head").alias("at_first"), F.when(has, F.col("brace.at")).alias("at_body"), F.when(closed, F.col("brace.end")).otherwise(F.col("semi.at")).alias("at_last"),
+    ).where("last is not null")
 
 
 def items(rows: DataFrame, id: str = "file_id") -> DataFrame:
@@ -85,23 +129,39 @@ def items(rows: DataFrame, id: str = "file_id") -> DataFrame:
     first: the item's first token (attributes and qualifiers count), keyword: that of the kind, body: its opening brace (null: none),
     last: its last token; parent: first of the nearest item around it. Items within macros aren't known.
     """
-    rows = _near(rows, id)
-    level = Window.partitionBy(id, "around").orderBy("seq")
-    ends = F.col("word").isin(";", "}")
-    rows = rows.withColumn("since", F.max(F.when(ends, F.col("seq"))).over(level.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = _ahead(_ahead(rows, id, F.col("word") == "{", "brace"), id, F.col("word") == ";", "semi")
-    first = F.coalesce("since", "around") + 1
-    starts = (F.col("b1").isNull() | F.col("b1").isin("", ";", "}", "{", "]", "unsafe")) & (F.col("word") == "impl")
-    named = F.col("word").isin(*ITEMS[:-1]) & F.col("n1").rlike(r"^\w+$")
-    found = rows.where((F.col("kind") == "ident") & ~F.col("macro") & (starts | named))
-    has = F.col("brace").isNotNull() & (F.col("semi").isNull() | (F.col("brace") < F.col("semi")))
-    found = found.select(id, F.when(F.col("word") == "fn", "function").otherwise(F.col("word")).alias("kind"), F.when(F.col("word") != "impl", F.col("n1")).alias("name"), first.alias("first"), F.col("seq").alias("keyword"), F.when(has, F.col("brace")).alias("body"), "semi")
-    close = rows.where("close is not null").select(F.col(id).alias("_id"), F.col("seq").alias("_open"), F.col("close").alias("_close"))
-    found = found.join(close, (F.col(id) == F.col("_id")) & (F.col("body") == F.col("_open")), "left")
-    found = found.withColumn("last", F.coalesce("_close", "semi")).where("last is not null").drop("_id", "_open", "_close", "semi")
+    found = _of_items(_wide(rows, id), id).drop("at_first", "at_body", "at_last")
     return enclosing(found, id).drop("level")
 
 
+def _of_sites(wide: DataFrame, id: str) -> DataFrame:
+    """(id, kind, first, last, body, and the values at of first, body and last) of what nests among these tokens, functions left out."""
+    word, b1 = F.col("word"), F.col("b1")
+    # `for` of higher-ranked bounds and of impls isn't a loop.
+    loop = word.isin(*NESTS) & (F.col("kind") == "ident") & ~((word == "for") & ((F.col("n1") == "<") | F.coalesce(b1.rlike(r"^(\w+|>)$") & ~b1.isin("else", "return", "in"), F.lit(False)))) & F.col("brace.close").isNotNull()
+    block = word.isin(*BLOCKS) & ((F.col("n1") == "{") | (F.col("n1") == "move") & (F.col("n2") == "{"))
+    # A closure's first bar stands where an expression begins; its parameters end at the next bar of that level.
+    begins = b1.isNull() | b1.isin("(", ",", "=", "{", ";", "[", ">", "move", "return", "async", ":", "}") & ~((b1 == ">") & (F.coalesce("b2", F.lit("")) != "="))
+    closure = (word == "|") & begins & F.col("bar.after").isNotNull()
+    braced = F.col("bar.following.word") == "{"
+    stop, until = F.col("bar.following.stop_at"), F.col("until")
+    nearer = stop.isNotNull() & (until["seq"].isNull() | (stop["seq"] < until["seq"]))
+    end = F.when(braced, F.col("bar.following.close")).otherwise(F.least(stop["seq"], until["seq"]) - 1)
+    at_end = F.when(braced, F.col("bar.following.end")).when(nearer, stop["prior"]).otherwise(until["prior"])
+    names = F.create_map(*[F.lit(x) for pair in BLOCKS.items() for x in pair])
+    kind = F.when(loop, word).when(block, names[word]).when(closure & end.isNotNull(), "closure")
+    moved = (F.col("kind") == "punct") & F.coalesce(b1 == "move", F.lit(False))
+    found = wide.where(~F.col("macro")).select(
+        id, kind.alias("kind"), (F.col("seq") - F.when(closure & moved, 1).otherwise(0)).alias("first"), F.when(closure, end).otherwise(F.col("brace.close")).alias("last"),
+        F.when(closure, F.col("bar.seq") + 1).alias("body"), F.when(closure & moved, F.col("prior")).otherwise(F.col("at")).alias("at_first"), F.when(closure, F.col("bar.after")).alias("at_body"),
+        F.when(closure, at_end).otherwise(F.col("brace.end")).alias("at_last"), "around", "b1", F.col("brace.tail").alias("tail"),
+    ).where("kind is not null")
+    is_if = F.col("kind") == "if"
+    chain = F.sum(F.when(F.coalesce(F.col("b1") == "else", F.lit(False)), 0).otherwise(1)).over(Window.partitionBy(id, "around", is_if).orderBy("first"))
+    found = found.withColumn("chain", chain)
+    whole = F.max(F.coalesce("tail", "last")).over(Window.partitionBy(id, "around", is_if, "chain"))
+    return found.withColumn("last", F.when(is_if, whole).otherwise(F.col("last"))).drop("around", "b1", "tail", "chain")
+
+
 def nesting_sites(rows: DataFrame, id: str = "file_id", functions: DataFrame | None = None) -> DataFrame:
     """(id, kind, first, last, body) of what nests: if, match, loop, while, for, closure, nested_function and async, try and gen blocks.
     body: where that of a closure or function begins, else null. functions: the items that are functions with a body, if they are
@@ -109,48 +169,18 @@ def nesting_sites(rows: DataFrame, id: str = "file_id", functions: DataFrame | N
 
     An if holds its else branches, so an else-if is one level deeper. Every function is a row; it nests in what is around it.
     """
-    rows = _near(rows, id)
-    rows = _ahead(_ahead(rows, id, F.col("word") == "{", "brace"), id, F.col("word").isin(",", ";"), "stop_at")
-    close = rows.where("close is not null").select(F.col(id).alias("_id"), F.col("seq").alias("_open"), F.col("close").alias("_close"))
-    plain, none = rows.where(~F.col("macro")), F.lit(None).cast("long").alias("body")
-
-    def closed(found: DataFrame, open: str, name: str) -> DataFrame:
-        return found.join(close, (F.col(id) == F.col("_id")) & (F.col(open) == F.col("_open")), "left").withColumnRenamed("_close", name).drop("_id", "_open")
-
-    # `for` of higher-ranked bounds and of impls isn't a loop.
-    loop = F.col("word").isin(*NESTS) & (F.col("kind") == "ident") & ~((F.col("word") == "for") & ((F.col("n1") == "<") | F.coalesce(F.col("b1").rlike(r"^(\w+|>)$") & ~F.col("b1").isin("else", "return", "in"), F.lit(False))))
-    loops = closed(plain.where(loop), "brace", "last").where("last is not null")
-    after = rows.select(F.col(id).alias("_i"), F.col("seq").alias("_s"), F.col("n1").alias("x1"), F.col("n2").alias("x2"))
-    ifs = loops.where("word = 'if'").join(after, (F.col(id) == F.col("_i")) & (F.col("last") == F.col("_s")), "left").drop("_i", "_s")
-    final = F.when((F.col("x1") == "else") & (F.col("x2") == "{"), F.col("last") + 2)
-    ifs = closed(ifs.withColumn("other", final), "other", "tail")
-    chain = F.sum(F.when(F.coalesce(F.col("b1") == "else", F.lit(False)), 0).otherwise(1)).over(Window.partitionBy(id, "around").orderBy("seq"))
-    ifs = ifs.withColumn("chain", chain)
-    ifs = ifs.withColumn("last", F.max(F.coalesce("tail", "last")).over(Window.partitionBy(id, "around", "chain")))
-    out = loops.where("word <> 'if'").unionByName(ifs.select(*loops.columns)).select(id, F.col("word").alias("kind"), F.col("seq").alias("first"), "last", none)
-    block = plain.where(F.col("word").isin(*BLOCKS) & ((F.col("n1") == "{") | (F.col("n1") == "move") & (F.col("n2") == "{")))
-    kind = F.create_map(*[F.lit(x) for pair in BLOCKS.items() for x in pair])[F.col("word")]
-    out = out.unionByName(closed(block, "brace", "last").select(id, kind.alias("kind"), F.col("seq").alias("first"), "last", none))
-    # A closure's first bar stands where an expression begins; its parameters end at the next bar of that level.
-    bars = _ahead(plain, id, F.col("word") == "|", "next_bar")
-    begins = F.col("b1").isNull() | F.col("b1").isin("(", ",", "=", "{", ";", "[", ">", "move", "return", "async", ":", "}") & ~((F.col("b1") == ">") & (F.coalesce("b2", F.lit("")) != "="))
-    heads = bars.where((F.col("word") == "|") & begins & F.col("next_bar").isNotNull())
-    body = rows.select(F.col(id).alias("_i"), (F.col("seq") - 1).alias("_s"), F.col("word").alias("bw"), F.col("close").alias("bc"), F.col("stop_at").alias("bs"))
-    heads = heads.join(body, (F.col(id) == F.col("_i")) & (F.col("next_bar") == F.col("_s"))).drop("_i", "_s")
-    outer = rows.select(F.col(id).alias("_id"), F.col("seq").alias("_open"), F.col("close").alias("_close"))
-    heads = heads.join(outer, (F.col(id) == F.col("_id")) & (F.col("around") == F.col("_open")), "left")
-    end = F.when(F.col("bw") == "{", F.col("bc")).otherwise(F.least(F.col("bs"), F.col("_close")) - 1)
-    out = out.unionByName(heads.select(id, F.lit("closure").alias("kind"), (F.col("seq") - (F.coalesce(F.col("b1") == "move", F.lit(False))).cast("int")).alias("first"), end.alias("last"), (F.col("next_bar") + 1).alias("body")).where("last is not null"))
+    out = _of_sites(_wide(rows, id), id).select(id, "kind", "first", "last", "body")
     if functions is None:
-        functions = items(rows.drop("n1", "n2", "n3", "n4", "b1", "b2", "brace", "stop_at"), id).where("kind = 'function' and body is not null")
+        functions = items(rows, id).where("kind = 'function' and body is not null")
     return out.unionByName(functions.select(id, F.lit("nested_function").alias("kind"), "first", "last", "body"))
 
 
-def unsafe_sites(rows: DataFrame, id: str = "file_id") -> DataFrame:
-    """(id, kind, first, last): unsafe functions, blocks, impls, traits, extern blocks, attributes and function pointer types, from the keyword on."""
-    rows = _ahead(_near(rows, id), id, F.col("word").isin("{", ";"), "ends")
-    found = rows.where((F.col("word") == "unsafe") & ~F.col("macro"))
-    n = [F.col(f"n{k}") for k in (1, 2, 3, 4)]
+def _unsafe(rows: DataFrame, id: str) -> DataFrame:
+    """Tokens with what (the kind of an unsafe boundary that begins here, else null) and what_last."""
+    file, end = Window.partitionBy(id).orderBy("seq"), F.coalesce("close", "seq")
+    rows = _near(rows, id).withColumns({f"c{k}": F.lead(end, k).over(file) for k in (1, 2, 3, 4)})
+    rows = rows.withColumn("_ends", F.last(F.when(F.col("word").isin("{", ";"), end), ignorenulls=True).over(_behind(id)))
+    n, c = ([F.col(f"{x}{k}") for k in (1, 2, 3, 4)] for x in "nc")
     # After the keyword there may be extern and its ABI, whose word is empty.
     fn_at = F.when(n[0] == "fn", 1).when((n[0] == "extern") & (n[1] == "fn"), 2).when((n[0] == "extern") & (n[2] == "fn"), 3)
     past = F.when(fn_at == 1, n[1]).when(fn_at == 2, n[2]).otherwise(n[3])
@@ -158,10 +188,14 @@ def unsafe_sites(rows: DataFrame, id: str = "file_id") -> DataFrame:
         F.when(n[0] == "{", "block").when(n[0] == "impl", "impl").when(n[0] == "trait", "trait").when(fn_at.isNotNull() & (past == "("), "function_pointer_type").when(fn_at.isNotNull(), "function")
         .when((n[0] == "extern") & ((n[1] == "{") | (n[2] == "{")), "extern_block").when(n[0] == "(", "attribute")
     )
-    opener = F.when(kind == "attribute", F.col("seq") + 1).when(kind == "block", F.col("seq") + 1).when(kind == "function_pointer_type", F.col("seq") + fn_at + 1).otherwise(F.col("ends"))
-    found = found.withColumn("what", kind).where("what is not null").withColumn("opener", opener)
-    close = rows.select(F.col(id).alias("_id"), F.col("seq").alias("_open"), F.coalesce("close", "seq").alias("last"))
-    return found.join(close, (F.col(id) == F.col("_id")) & (F.col("opener") == F.col("_open"))).select(id, F.col("what").alias("kind"), F.col("seq").alias("first"), "last")
+    last = F.when(kind.isin("attribute", "block"), c[0]).when(kind == "function_pointer_type", F.when(fn_at == 1, c[1]).when(fn_at == 2, c[2]).otherwise(c[3])).otherwise(F.col("_ends"))
+    here = (F.col("word") == "unsafe") & ~F.col("macro") & last.isNotNull()
+    return rows.withColumns({"what": F.when(here, kind), "what_last": last}).drop("_ends", *(f"c{k}" for k in (1, 2, 3, 4)))
+
+
+def unsafe_sites(rows: DataFrame, id: str = "file_id") -> DataFrame:
+    """(id, kind, first, last): unsafe functions, blocks, impls, traits, extern blocks, attributes and function pointer types, from the keyword on."""
+    return _unsafe(rows, id).where("what is not null").select(id, F.col("what").alias("kind"), F.col("seq").alias("first"), F.col("what_last").alias("last"))
 
 
 def calls(rows: DataFrame, id: str = "file_id") -> DataFrame:
@@ -177,56 +211,66 @@ def held_by(points: DataFrame, spans: DataFrame, id: str = "file_id") -> DataFra
     """(id, seq, ..., holder): each point with the first token of the nearest span around it; null outside."""
     names = [c for c in points.columns if c not in (id, "seq")]
     level = enclosing(spans.select(id, "first", "last").distinct(), id)
-    marks = level.select(id, F.col("first").alias("seq"), F.lit(0).alias("o"), F.col("first").alias("own"), F.col("level").alias("l"))
-    stops = level.select(id, F.col("last").alias("seq"), F.lit(2).alias("o"), F.col("parent").alias("own"), F.col("level").alias("l"))
+    mark = lambda seq, o, own, deep: F.struct(F.col(seq).alias("seq"), F.lit(o).alias("o"), F.col(own).alias("own"), deep.alias("l"))
+    marks = level.select(id, F.explode(F.array(mark("first", 0, "first", F.col("level")), mark("last", 2, "parent", -F.col("level")))).alias("m")).select(id, "m.*")
     held = points.select(id, "seq", F.lit(1).alias("o"), F.struct(*names).alias("point"))
-    every = held.unionByName(marks.unionByName(stops), allowMissingColumns=True).withColumn("is", F.col("o") != 1)
+    every = held.unionByName(marks, allowMissingColumns=True)
     # The last start or stop before the point says what it stands in: the span itself or the one around it; deeper stops come first.
-    order = Window.partitionBy(id).orderBy("seq", "o", F.when(F.col("o") == 0, F.col("l")).otherwise(-F.coalesce("l", F.lit(0)))).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("is"), F.struct("own")), ignorenulls=True).over(order)
+    order = Window.partitionBy(id).orderBy("seq", "o", F.coalesce("l", F.lit(0))).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("o") != 1, F.struct("own")), ignorenulls=True).over(order)
     return every.withColumn("holder", last["own"]).where("o = 1").select(id, "seq", "point.*", "holder")
 
 
-def _bodies(rows: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
-    """All nesting sites, and functions and closures with name, their first and last token and where their body begins."""
-    functions = _cut(items(rows, id).where("kind = 'function' and body is not null").select(id, "name", "first", "last", "body"))
-    sites = _cut(nesting_sites(rows, id, functions))
-    closures = sites.where("kind = 'closure'").select(id, F.lit(None).cast("string").alias("name"), "first", "last", "body")
-    return sites, functions.unionByName(closures)
+_POINT = ("return", "break", "continue")
 
 
-def flow_points(rows: DataFrame, id: str = "file_id", known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """(id, holder, kind, seq, start): the flow points of functions and closures, the innermost one around a point being its holder.
+def _found(rows: DataFrame, id: str) -> DataFrame:
+    """One pass over the tokens: functions, sites and other points, each with its line and place, so nothing is looked up again.
 
-    kind: entry (where a body begins), branch, return, await, error_propagation, break, continue or unsafe (a block). Points in
-    macros aren't known, and this is structure of the source, not a control-flow graph.
-    """
-    sites, bodies = known or _bodies(rows, id)
-    near = _near(rows, id).where(~F.col("macro"))
+    (id, what, kind, name, first, last, body, start, body_start, lines); what: function, site or point."""
+    at = F.struct("start", "line", F.coalesce(F.array_max("lines"), "line").alias("end"))
+    wide = _wide(rows, id, at)
     word, before = F.col("word"), F.coalesce(F.col("b1"), F.lit(""))
     plain = (
-        F.when(word.isin("return", "break", "continue") & (F.col("kind") == "ident"), word).when((word == "await") & (before == "."), "await")
+        F.when(word.isin(*_POINT) & (F.col("kind") == "ident"), word).when((word == "await") & (before == "."), "await")
         .when((word == "?") & ~before.isin(":", "+", "<", ",", "(", "|", "dyn"), "error_propagation").when((word == "unsafe") & (F.col("n1") == "{"), "unsafe")
     )
-    points = near.withColumn("point", plain).where("point is not null").select(id, "seq", F.col("point").alias("kind"))
-    points = points.unionByName(sites.where(F.col("kind").isin(*NESTS)).select(id, F.col("first").alias("seq"), F.lit("branch").alias("kind")))
-    held = held_by(points, bodies.select(id, "first", "last"), id).where("holder is not null")
-    entries = bodies.select(id, F.col("body").alias("seq"), F.lit("entry").alias("kind"), F.col("first").alias("holder"))
-    places = rows.select(id, "seq", "start")
-    return held.unionByName(entries).join(places, [id, "seq"]).select(id, "holder", "kind", "seq", "start")
+    asks = word.isin("fn", "|", *NESTS, *BLOCKS) | plain.isNotNull()
+    wide = _cut(wide.where(~F.col("macro") & asks).withColumn("point", plain).select(id, "seq", "kind", "word", "macro", "around", "first", "head", "at", "prior", "n1", "n2", "b1", "b2", "brace", "semi", "bar", "until", "point"))
+    shape = lambda df, what, name: df.select(id, F.lit(what).alias("what"), "kind", name.alias("name"), "first", "last", "body", F.col("at_first.start").alias("start"), F.col("at_body.start").alias("body_start"), (F.col("at_last.end") - F.col("at_body.line") + 1).alias("lines"))
+    none = F.lit(None).cast("string")
+    functions = shape(_of_items(wide, id).where("kind = 'function' and body is not null"), "function", F.col("name"))
+    points = wide.where("point is not null").select(id, F.lit("point").alias("what"), F.col("point").alias("kind"), F.col("seq").alias("first"), F.col("at.start").alias("start"))
+    return _cut(functions.unionByName(shape(_of_sites(wide, id), "site", none)).unionByName(points, allowMissingColumns=True))
+
+
+def _bodies(found: DataFrame) -> DataFrame:
+    """Functions and closures with a body among what ``_found`` gives."""
+    return found.where("what = 'function' or what = 'site' and kind = 'closure'")
+
+
+def flow_points(rows: DataFrame, id: str = "file_id", found: DataFrame | None = None) -> DataFrame:
+    """(id, holder, kind, seq, start): the flow points of functions and closures, the innermost one around a point being its holder.
+
+    kind: entry (where a body begins), branch, return, await, error_propagation, break, continue or unsafe (a block). Points in
+    macros aren't known, and this is structure of the source, not a control-flow graph.
+    """
+    found = _found(rows, id) if found is None else found
+    bodies, branch = _bodies(found), F.col("what") == "site"
+    points = found.where((F.col("what") == "point") | branch & F.col("kind").isin(*NESTS)).select(id, F.col("first").alias("seq"), F.when(branch, "branch").otherwise(F.col("kind")).alias("kind"), "start")
+    held = held_by(points, bodies, id).where("holder is not null")
+    entries = bodies.select(id, F.col("body").alias("seq"), F.lit("entry").alias("kind"), F.col("body_start").alias("start"), F.col("first").alias("holder")).where("start is not null")
+    return held.unionByName(entries).select(id, "holder", "kind", "seq", "start")
 
 
 def counters(rows: DataFrame, id: str = "file_id") -> DataFrame:
     """(id, name, first, lines, branches, returns, awaits, unsafe_blocks) of every function and closure with a body; what stands in an
     inner one counts there only."""
-    known = _bodies(rows, id)
-    points = flow_points(rows, id, known)
+    found = _found(rows, id)
+    points = flow_points(rows, id, found)
     count = lambda kind, name: F.count_if(F.col("kind") == kind).alias(name)
     counts = points.groupBy(id, F.col("holder").alias("first")).agg(count("branch", "branches"), count("return", "returns"), count("await", "awaits"), count("unsafe", "unsafe_blocks"))
-    line = lambda name: rows.select(F.col(id).alias(f"_{name}"), F.col("seq").alias(name), F.col("line").alias(f"{name}_line"), F.coalesce(F.array_max("lines"), "line").alias(f"{name}_end"))
-    bodies = known[1].join(line("b"), (F.col(id) == F.col("_b")) & (F.col("body") == F.col("b"))).join(line("z"), (F.col(id) == F.col("_z")) & (F.col("last") == F.col("z")))
-    lines = F.col("z_end") - F.col("b_line") + 1
-    return bodies.select(id, "name", "first", lines.alias("lines")).join(counts, [id, "first"])
+    return _bodies(found).where("lines is not null").select(id, "name", "first", "lines").join(counts, [id, "first"])
 
 
 def metrics(rows: DataFrame, id: str = "file_id") -> DataFrame:
@@ -236,20 +280,21 @@ def metrics(rows: DataFrame, id: str = "file_id") -> DataFrame:
     copied for the functions around them. status is partial always (syntax only), or failed: a file whose brackets don't match
     or that has a lexer error tells nothing, and its counts are null.
     """
-    unsafe = unsafe_sites(rows, id)
     file = Window.partitionBy(id).orderBy("seq")
     upto = file.rowsBetween(Window.unboundedPreceding, 0)
     top = F.coalesce(F.max(F.array_max("lines")).over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    counted = rows.join(unsafe.select(id, F.col("first").alias("seq"), F.lit(1).alias("unsafe")), [id, "seq"], "left")
-    counted = counted.withColumn("fresh", F.size(F.filter("lines", lambda x: x > top)).cast("long")).withColumn("shared", F.element_at("lines", 1) <= top)
-    counted = counted.withColumns({"lines_upto": F.sum("fresh").over(upto), "unsafe_upto": F.sum(F.coalesce("unsafe", F.lit(0))).over(upto), "broken": F.max((F.col("kind") == "error").cast("int")).over(Window.partitionBy(id)) + (~F.col("balanced")).cast("int")})
-    at = counted.select(F.col(id).alias("_id"), F.col("seq").alias("_seq"), "start", "stop", "fresh", "shared", "lines_upto", "unsafe_upto", F.coalesce("unsafe", F.lit(0)).alias("own"), "broken")
-    functions = _cut(items(rows, id).where("kind = 'function' and body is not null").select(id, "name", "first", "last", "body"))
-    found = functions.drop("body")
-    a = at.select(*(F.col(c).alias(f"a_{c}") for c in at.columns))
-    z = at.select(*(F.col(c).alias(f"z_{c}") for c in at.columns))
-    found = found.join(a, (F.col(id) == F.col("a__id")) & (F.col("first") == F.col("a__seq"))).join(z, (F.col(id) == F.col("z__id")) & (F.col("last") == F.col("z__seq")))
-    spans = _cut(enclosing(nesting_sites(rows, id, functions), id))
+    counted = _unsafe(rows, id).withColumn("own", F.when(F.col("what").isNotNull(), 1).otherwise(0)).withColumn("top", top)
+    counted = counted.withColumns({"fresh": F.size(F.filter("lines", lambda x: x > F.col("top"))).cast("long"), "shared": F.element_at("lines", 1) <= F.col("top")}).drop("lines")
+    broken = F.max((F.col("kind") == "error").cast("int")).over(file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) + (~F.col("balanced")).cast("int")
+    counted = counted.withColumns({"lines_upto": F.sum("fresh").over(upto), "unsafe_upto": F.sum("own").over(upto), "broken": broken})
+    at = F.struct("start", "stop", "fresh", "shared", "lines_upto", "unsafe_upto", "own", "broken")
+    wide = _wide(counted, id, at).where(~F.col("macro") & F.col("word").isin("fn", "|", *NESTS, *BLOCKS))
+    wide = _cut(wide.select(id, "seq", "kind", "word", "macro", "around", "first", "head", "at", "prior", "n1", "n2", "b1", "b2", "brace", "semi", "bar", "until"))
+    functions = _cut(_of_items(wide, id).where("kind = 'function' and body is not null"))
+    values = lambda end, name: [F.col(f"{name}.{c}").alias(f"{end}_{c}") for c in ("start", "stop", "fresh", "shared", "lines_upto", "unsafe_upto", "own", "broken")]
+    found = functions.select(id, "name", "first", "last", *values("a", "at_first"), *values("z", "at_last"))
+    sites = _of_sites(wide, id).select(id, "kind", "first", "last").unionByName(functions.select(id, F.lit("nested_function").alias("kind"), "first", "last"))
+    spans = _cut(enclosing(sites, id))
     holder = spans.where("kind = 'nested_function'").select(id, "first", "last", F.col("level").alias("base"))
     sites = held_by(spans.select(id, F.col("first").alias("seq"), "level", "kind"), holder, id)
     # A function's own row stands at its first token; it belongs to what is around it.

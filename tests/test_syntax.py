@@ -126,3 +126,9 @@ def test_files_of_one_split_are_dealt_and_batches_hold_whole_order(spark, monkey
     for k in range(64):
         own = [r for r in found if r.file_id == k]
         assert [r.seq for r in own] == list(range(5 * (k % 3))) and "".join(r.word for r in own) == "a(b);" * (k % 3)
+
+
+def test_tokens_are_read_once_and_joined_with_nothing(parsed):
+    for found in (syntax.items(parsed), syntax.nesting_sites(parsed, functions=syntax.items(parsed).limit(0)), syntax.unsafe_sites(parsed), syntax.held_by(syntax.calls(parsed), syntax.items(parsed).limit(0))):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("InMemoryRelation") <= 2, plan
