@@ -25,13 +25,14 @@ KEYWORDS = ("if", "match", "while", "for", "loop", "return", "fn", "in", "as", "
 
 def brackets(tokens: DataFrame, id: str = "file_id") -> DataFrame:
     """Tokens with depth (open brackets before it; a closing one has that of its opening one), around (seq of the bracket
-    around it, -1 outside), close (of an opening one: the seq of its closing one), macro (whether it stands in a macro's
-    brackets) and balanced (of its file: every bracket closes one of its kind)."""
+    around it, -1 outside), close (of an opening one: the seq of its closing one), n1 (the word after), macro (whether it stands in a
+    macro's brackets) and balanced (of its file: every bracket closes one of its kind)."""
     file = Window.partitionBy(id).orderBy("seq")
     opens, closes = F.coalesce(F.col("word").isin(*OPENS), F.lit(False)), F.coalesce(F.col("word").isin(*CLOSES), F.lit(False))
     step = F.when(opens, 1).when(closes, -1).otherwise(0)
     rows = tokens.withColumn("opens", opens).withColumn("closes", closes).withColumn("sum", F.sum(step).over(file.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("depth", F.col("sum") - opens.cast("int")).withColumn("p1", F.lag("word", 1).over(file)).withColumn("p2", F.lag("word", 2).over(file)).withColumn("p3", F.lag("word", 3).over(file))
+    rows = rows.withColumn("n1", F.lead(F.coalesce("word", F.lit(""))).over(file))
     macro = F.col("opens") & ((F.col("p1") == "!") & F.col("p2").rlike(r"^\w+$") & ~F.col("p2").isin("if", "while", "return", "match", "in") | (F.col("p2") == "!") & (F.col("p3") == "macro_rules"))
     level = Window.partitionBy(id, "depth", "bracket").orderBy("seq")
     rows = rows.withColumn("bracket", F.col("opens") | F.col("closes")).withColumn("_m", F.coalesce(macro, F.lit(False)))
@@ -133,6 +134,19 @@ def items(rows: DataFrame, id: str = "file_id") -> DataFrame:
     return enclosing(found, id).drop("level")
 
 
+def functions(rows: DataFrame, id: str = "file_id") -> DataFrame:
+    """(id, name, first, last, body) of the functions with a body among ``items``, from the few tokens where items begin and end."""
+    few = rows.where(F.col("word").isin("fn", ";", "{", "}")).select(id, "seq", "kind", "word", "n1", "macro", "around", "close")
+    level = Window.partitionBy(id, "around").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda when, what, over: F.last(F.when(when, what), ignorenulls=True).over(over)
+    few = few.withColumn("since", last(F.col("word").isin(";", "}"), F.col("seq"), level))
+    few = few.withColumns({"brace": last(F.col("word") == "{", F.struct("seq", "close"), _behind(id)), "semi": last(F.col("word") == ";", F.col("seq"), _behind(id))})
+    found = few.where((F.col("word") == "fn") & (F.col("kind") == "ident") & ~F.col("macro") & F.col("n1").rlike(r"^\w+$"))
+    found = found.where(F.col("brace").isNotNull() & (F.col("semi").isNull() | (F.col("brace.seq") < F.col("semi"))))
+    stop = F.coalesce("brace.close", "semi")
+    return found.select(id, F.col("n1").alias("name"), (F.coalesce("since", "around") + 1).alias("first"), stop.alias("last"), F.col("brace.seq").alias("body")).where("last is not null")
+
+
 def _of_sites(wide: DataFrame, id: str) -> DataFrame:
     """(id, kind, first, last, body, and the values at of first, body and last) of what nests among these tokens, functions left out."""
     word, b1 = F.col("word"), F.col("b1")

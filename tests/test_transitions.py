@@ -35,3 +35,18 @@ def test_transitions(spark):
     }
     assert unknown["simple"] == {"unsupported_arm"} and "nested_match" in unknown["local"]
     assert all(unknown.get(n) for n in CASES if n.startswith(("withheld 0", "withheld 1", "withheld 2", "withheld 3", "withheld 4", "withheld 5", "withheld 6", "withheld 7", "withheld 8", "withheld 9", "arm")) and n not in ("withheld 11",))
+
+
+def test_functions_held_by_functions(spark):
+    """Tokens of an inner chosen function are its own, and of two choices of one function each has its arms."""
+    inner = SIMPLE.replace("fn event", "fn inner").replace("Done", "Last")
+    outer = SIMPLE[:-1] + inner + " match state { State::Done => state = State::Idle } }"
+    files = spark.createDataFrame([(1, outer)], "file_id long, text string")
+    selections = spark.createDataFrame([("a", 1, "event", "State", "state"), ("b", 1, "inner", "State", "state"), ("c", 1, "inner", "State", "state")], "selection string, file_id long, function string, enum string, state string")
+    rows = syntax.brackets(lexer.tokens(files))
+    found = transitions.transitions(rows, selections).candidates
+    pairs = sorted((r.selection, r.from_variant, r.to_variant) for r in found.collect())
+    of = lambda name, last: [(name, "Idle", "Ready"), (name, "Ready", last)]
+    assert pairs == sorted([*of("a", "Done"), ("a", "Done", "Idle"), *of("b", "Last"), *of("c", "Last")])
+    known = syntax.items(rows).where("kind = 'function' and body is not null").select("file_id", "name", "first", "last", "body")
+    assert sorted(known.collect()) == sorted(syntax.functions(rows).collect())
