@@ -115,6 +115,8 @@ def feature_closure(requested: DataFrame, declared: DataFrame) -> DataFrame:
 
     requested: package, feature; declared: package, feature, enables. A name with a slash or with ``dep:`` isn't a feature of the
     package; it makes the package's features not known in full (known is false, the name isn't a row), as does a null in enables.
+
+    Requested and found features grow with the input, so both sides of each join are shuffled: none passes the driver.
     """
     from factloom.operators.graphs import _cut
 
@@ -124,9 +126,9 @@ def feature_closure(requested: DataFrame, declared: DataFrame) -> DataFrame:
     seen, odd = fresh.where(~foreign("feature")), fresh.where(foreign("feature")).select("package")
     fresh = seen
     while not fresh.isEmpty():
-        found = fresh.join(steps, ["package", "feature"]).select("package", F.col("enables").alias("feature")).distinct()
+        found = fresh.hint("merge").join(steps.hint("merge"), ["package", "feature"]).select("package", F.col("enables").alias("feature")).distinct()
         odd = odd.unionByName(found.where(foreign("feature")).select("package"))
-        fresh = _cut(found.where(~foreign("feature")).join(seen, ["package", "feature"], "left_anti"))
+        fresh = _cut(found.where(~foreign("feature")).join(seen.hint("merge"), ["package", "feature"], "left_anti"))
         seen = seen.unionByName(fresh)
     gaps = odd.distinct().withColumn("known", F.lit(False))
     return seen.join(gaps, "package", "left").select("package", "feature", F.coalesce("known", F.lit(True)).alias("known"))

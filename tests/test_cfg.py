@@ -84,3 +84,14 @@ def test_features_enable_others(spark):
     requested = spark.createDataFrame([("a", "default"), ("b", "default"), ("c", "left/right"), ("c", "own")], "package string, feature string")
     found = {tuple(r) for r in cfg.feature_closure(requested, declared).collect()}
     assert found == {("a", "default", True), ("a", "std", True), ("a", "alloc", True), ("b", "default", False), ("b", "more", False), ("c", "own", False)}
+
+
+def test_feature_rounds_send_nothing_to_the_driver(spark, monkeypatch):
+    from factloom.operators import graphs
+
+    plans, cut = [], graphs._cut
+    monkeypatch.setattr(graphs, "_cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    declared = spark.createDataFrame([("p", f"f{i}", f"f{i + 1}") for i in range(3)] + [("p", "f2", "dep:x")], "package string, feature string, enables string")
+    found = cfg.feature_closure(spark.createDataFrame([("p", "f0")], "package string, feature string"), declared)
+    assert sorted(tuple(r) for r in found.collect()) == [("p", f"f{i}", False) for i in range(4)]
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
