@@ -9,21 +9,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage of a round in the folder of spark.checkpoint.dir, which executors share; a local session may do without.
-
-    The rows are written as a table: a checkpoint would compute them twice, once to count and once to write, and readers would get all columns.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def _folder(df: DataFrame) -> str:
+    """The folder of spark.checkpoint.dir, which executors share; a local session may do without."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="factloom-"))
-    path = f"{context.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    return context.getCheckpointDir()
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Ends the lineage of a round in the shared folder."""
+    _folder(df)
+    return df.checkpoint()
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """As ``_cut``, for many rows: written as a table they are computed once, not to be counted and again to be written, and
+    readers get only their columns. A checkpoint is begun and read faster, so rounds of few rows keep to it."""
+    path = f"{_folder(df)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def neighbourhood(edges: DataFrame, root, direction: str = "outgoing", depth: int = 2) -> DataFrame:

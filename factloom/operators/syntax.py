@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.operators.graphs import _cut
+from factloom.operators.graphs import _cut, _stored
 
 OPENS, CLOSES = ("(", "[", "{"), (")", "]", "}")
 #: Keywords of items and of what nests.
@@ -48,7 +48,7 @@ def brackets(tokens: DataFrame, id: str = "file_id") -> DataFrame:
     whole = file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     balanced = F.min(F.when(fits, 1).otherwise(0)).over(whole) * F.when(F.min("depth").over(whole) >= 0, 1).otherwise(0) * F.when(F.sum(step).over(whole) == 0, 1).otherwise(0)
     rows = rows.withColumns({"macro": inside > 0, "balanced": balanced == 1}).drop("_m", "_d", "opens", "closes", "sum", "bracket", "pair", "p1", "p2", "p3")
-    return _cut(rows)  # what follows may read these rows several times
+    return _stored(rows)  # what follows may read these rows several times
 
 
 def enclosing(spans: DataFrame, id: str = "file_id") -> DataFrame:
@@ -250,12 +250,12 @@ def _found(rows: DataFrame, id: str) -> DataFrame:
         .when((word == "?") & ~before.isin(":", "+", "<", ",", "(", "|", "dyn"), "error_propagation").when((word == "unsafe") & (F.col("n1") == "{"), "unsafe")
     )
     asks = word.isin("fn", "|", *NESTS, *BLOCKS) | plain.isNotNull()
-    wide = _cut(wide.where(~F.col("macro") & asks).withColumn("point", plain).select(id, "seq", "kind", "word", "macro", "around", "first", "head", "at", "prior", "n1", "n2", "b1", "b2", "brace", "semi", "bar", "until", "point"))
+    wide = _stored(wide.where(~F.col("macro") & asks).withColumn("point", plain).select(id, "seq", "kind", "word", "macro", "around", "first", "head", "at", "prior", "n1", "n2", "b1", "b2", "brace", "semi", "bar", "until", "point"))
     shape = lambda df, what, name: df.select(id, F.lit(what).alias("what"), "kind", name.alias("name"), "first", "last", "body", F.col("at_first.start").alias("start"), F.col("at_body.start").alias("body_start"), (F.col("at_last.end") - F.col("at_body.line") + 1).alias("lines"))
     none = F.lit(None).cast("string")
     functions = shape(_of_items(wide, id).where("kind = 'function' and body is not null"), "function", F.col("name"))
     points = wide.where("point is not null").select(id, F.lit("point").alias("what"), F.col("point").alias("kind"), F.col("seq").alias("first"), F.col("at.start").alias("start"))
-    return _cut(functions.unionByName(shape(_of_sites(wide, id), "site", none)).unionByName(points, allowMissingColumns=True))
+    return _stored(functions.unionByName(shape(_of_sites(wide, id), "site", none)).unionByName(points, allowMissingColumns=True))
 
 
 def _bodies(found: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def metrics(rows: DataFrame, id: str = "file_id") -> DataFrame:
     counted = counted.withColumns({"lines_upto": F.sum("fresh").over(upto), "unsafe_upto": F.sum("own").over(upto), "broken": broken})
     at = F.struct("start", "stop", "fresh", "shared", "lines_upto", "unsafe_upto", "own", "broken")
     wide = _wide(counted, id, at).where(~F.col("macro") & F.col("word").isin("fn", "|", *NESTS, *BLOCKS))
-    wide = _cut(wide.select(id, "seq", "kind", "word", "macro", "around", "first", "head", "at", "prior", "n1", "n2", "b1", "b2", "brace", "semi", "bar", "until"))
+    wide = _stored(wide.select(id, "seq", "kind", "word", "macro", "around", "first", "head", "at", "prior", "n1", "n2", "b1", "b2", "brace", "semi", "bar", "until"))
     functions = _cut(_of_items(wide, id).where("kind = 'function' and body is not null"))
     values = lambda end, name: [F.col(f"{name}.{c}").alias(f"{end}_{c}") for c in ("start", "stop", "fresh", "shared", "lines_upto", "unsafe_upto", "own", "broken")]
     found = functions.select(id, "name", "first", "last", *values("a", "at_first"), *values("z", "at_last"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators import syntax
-from factloom.operators.graphs import _cut
+from factloom.operators.graphs import _stored
 
 
 class Transitions(NamedTuple):
@@ -33,7 +33,7 @@ def _tokens(rows: DataFrame, chosen: DataFrame, id: str) -> DataFrame:
     """
     names = ["first", "last", "body", "chosen"]
     spans = chosen.groupBy(id, "first", "last", "body").agg(F.collect_list(F.struct("selection", "enum", "state")).alias("chosen"))
-    level = _cut(syntax.enclosing(spans, id))
+    level = _stored(syntax.enclosing(spans, id))
     own = level.select(id, F.col("first").alias("parent"), F.struct(*names).alias("up"))
     level = level.join(own, [id, "parent"], "left").withColumn("own", F.struct(*names))
     # Where a function begins its tokens are its own, where it ends those of the one around it.
@@ -89,7 +89,7 @@ def transitions(rows: DataFrame, selections: DataFrame, id: str = "file_id") ->
     selected once. A file whose brackets don't match tells nothing."""
     functions = syntax.functions(rows, id).withColumnRenamed("name", "function")
     chosen = selections.select("selection", id, "function", "enum", "state").join(functions, [id, "function"])
-    live = _cut(_tokens(rows, _cut(chosen), id))
+    live = _stored(_tokens(rows, _stored(chosen), id))
     found = live.select("selection", F.explode("reasons").alias("reason"), "seq")
     live = live.where("clean")
     others = live.where("other is not null").select("selection", F.col("other").alias("reason"), "seq")
