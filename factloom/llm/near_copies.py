@@ -1,13 +1,16 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 1. Each text's set of 64-bit shingle hashes is named by a hash of the whole set. Texts with one set are one node.
-2. Two sets of 0.8 or more share one of the first (1 - 0.8) * size + 1 shingles of each, in any order of shingles that all
+2. SimHash comes first: nodes whose fingerprints ``simhash.links`` links (64 bits of three-word shingles, 2 of them differing)
+   are compared, and the similar ones are in one class from then on. Most similar sets differ by more bits than that, so
+   the other steps find what is still apart.
+3. Two sets of 0.8 or more share one of the first (1 - 0.8) * size + 1 shingles of each, in any order of shingles that all
    sets keep. Frequent shingles come last, so these prefixes are rare shingles. They are the keys; a task packs its keys by
    hash range, and a range hands on those that two nodes have.
-3. A key of FEW nodes at most is paired in full. The nodes of others are compared with one of them in each round, its head.
+4. A key of FEW nodes at most is paired in full. The nodes of others are compared with one of them in each round, its head.
    Heads are chosen by one order of all nodes, so nodes that share many keys meet once; keys with the same nodes are one
    key. Components of the found pairs are classes; keys within one class are done.
-4. Of a key that is apart after ROUNDS rounds, nodes outside its largest class, or those that another key of more nodes
+5. Of a key that is apart after ROUNDS rounds, nodes outside its largest class, or those that another key of more nodes
    lacks, meet its nodes in tiles, where numpy bounds the pairs.
 
 Candidates pass a bound from 64 small counters a set before the sets themselves decide, so no pair is missed or taken wrongly.
@@ -29,8 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import blocks as B
+from factloom.llm import simhash
 from factloom.llm.components import components
-from factloom.llm.tables import cut, without
+from factloom.llm.tables import BROADCAST_IDS, cut, without
 
 #: Similar texts: the least Jaccard similarity of their sets of shingles, and the words of a shingle.
 ALIKE, SHINGLE = 0.8, 5
@@ -272,6 +276,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(batches, "a bigint, b bigint")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The nodes of pairs (a, b)."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Rows of one or two 64-bit numbers, to be joined: few of them are sent to all tasks."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
+def _linked(single: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes that SimHash links. One node stands for all of a fingerprint."""
+    prints = simhash.fingerprints(single, "row").withColumnRenamed("id", "row")
+    prints = cut(prints.join(nodes.select("row", "node"), "row").select("node", "fp").distinct())
+    heads = cut(prints.groupBy("fp").agg(F.min("node").alias("head")))
+    same = prints.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    a, b = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_node")) for c in "ab")
+    return same.unionByName(simhash.links(heads.select("fp")).join(a, "a").join(b, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+
+
 def _sized(alike: float) -> Column:
     """Whether two sets can be similar whose first common shingle stands at these places: none before it is common."""
     most = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
@@ -303,15 +328,15 @@ def _classes(df: DataFrame, id: str, text: str, alike: float) -> DataFrame:
     order = Order(_frequent(single))
     ranges = max(12, math.ceil(shingles * (1 - alike) * ENTRY / RANGE_BYTES))
     members = cut(_keys(single, order, alike, ranges))
-
-    def texts_of(ends: DataFrame) -> DataFrame:
-        rows = cut(nodes.join(ends, "node").select(F.col("row").alias("_row"), "node"))
-        return docs.join(rows, docs.row == rows._row).select("node", "text")
+    linked = cut(_linked(single, nodes))
+    # The sets of all nodes that are ever compared are kept, so no round reads or shuffles the texts again.
+    asked = members.select("node").unionByName(_ends(linked)).distinct()
+    rows_of = _few(nodes.join(asked, "node").select(F.col("row").alias("_row"), "node"))
+    sets = cut(_each(docs.join(rows_of, docs.row == rows_of._row).select("node", "text"), ["node"], lambda s: (s.tobytes(),), "node bigint, shingles binary"))
 
     def compare(pairs: DataFrame) -> DataFrame:
         pairs = cut(_sketched(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, alike))
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        whole = _each(texts_of(ends), ["node"], lambda s: (s.tobytes(),), "node bigint, shingles binary").dropDuplicates(["node"])
+        whole = sets.join(_few(_ends(pairs).distinct()), "node", "left_semi").dropDuplicates(["node"])
         return cut(_verified(pairs, whole, alike))
 
     def side(rows: DataFrame, x: str) -> DataFrame:
@@ -321,39 +346,41 @@ def _classes(df: DataFrame, id: str, text: str, alike: float) -> DataFrame:
         pairs = side(rows, "a").join(side(rows, "b"), "key").where(F.col("a") < F.col("b"))
         return pairs.where((F.col("a_root") != F.col("b_root")) & _sized(alike))
 
-    def rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
-        roots = components(edges).select(F.col("node").alias("_node"), "root")
+    def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        roots = roots.select(F.col("node").alias("_node"), "root")
         return rows.drop("root").join(roots, F.col("node") == F.col("_node"), "left").drop("_node").withColumn("root", F.coalesce("root", "node"))
 
-    def spread(rows: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Pairs keys of few nodes, and compares heads of others; (the rows of keys that hold several classes still, pairs)."""
-        counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("same")).where("n > 1")
+    def spread(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs keys of few nodes, and compares heads of others; (the rows of keys that hold several classes still, roots)."""
+        counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("same"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
         # Of keys with the same nodes one stays, where each node has its first place: near copies share most of their keys.
         one = counts.groupBy("same", "n").agg(F.min("key").alias("one"))
         rows = rows.join(counts.join(one, ["same", "n"]).select("key", "one", "n"), "key").drop("key")
         rows = rows.groupBy(F.col("one").alias("key"), "node").agg(*(F.min(c).alias(c) for c in ("at", "size", "root", "n")))
         rows = cut(rows)
-        edges = more(edges, pairs_of(rows.where(F.col("n") <= FEW)))
+        roots = more(roots, pairs_of(rows.where(F.col("n") <= FEW)))
         rows = rows.where(F.col("n") > FEW).drop("n")
         for turn in range(ROUNDS + 1):
-            rows = rooted(rows, edges)
+            rows = rooted(rows, roots)
             first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "at", "root")).alias("e")
             apart = cut(rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), first).where("least < most").select("key", "e"))
             rows = cut(rows.join(apart.select("key"), "key"))
             if turn == ROUNDS or rows.isEmpty():
                 break
             pairs = side(rows, "b").join(apart.select("key", F.col("e.node").alias("a"), F.col("e.size").alias("a_size"), F.col("e.at").alias("a_at"), F.col("e.root").alias("a_root")), "key")
-            edges = more(edges, pairs.where((F.col("a_root") != F.col("b_root")) & _sized(alike)))
-        return rows, edges
+            roots = more(roots, pairs.where((F.col("a_root") != F.col("b_root")) & _sized(alike)))
+        return rows, roots
 
-    def more(edges: DataFrame | None, pairs: DataFrame) -> DataFrame:
+    def more(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(node, root) of the nodes that are similar to others, with these pairs as well: a class goes on as its star."""
         near = compare(pairs)
-        return near if edges is None else cut(edges.unionByName(near))
+        return roots if near.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(near))
 
-    rest, edges = spread(members.withColumn("root", F.col("node")), None)
+    roots = components(compare(linked))
+    rest, roots = spread(rooted(members, roots), roots)
     if not rest.isEmpty():
-        edges = more(edges, _within(rest, nodes, alike))
-    named = rooted(nodes.select("node", "head", "row"), edges)
+        roots = more(roots, _within(rest, nodes, alike))
+    named = rooted(nodes.select("node", "head", "row"), roots)
     least = named.groupBy("root").agg(F.min(F.struct(F.col("head").isNull().alias("none"), "head", "row")).alias("m"))
     of = named.join(least, "root").select(F.col("node").alias("_node"), F.col("m.head").alias("component"), F.col("m.row").alias("first"))
     return found.join(of, found.node == of._node).select("id", "row", "component", "first")

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from factloom.llm import near_copies
+from factloom.llm import near_copies, simhash
 from factloom.llm.tables import table
 
 
@@ -93,3 +93,15 @@ def test_the_language_stage_drops_rows(spark):
     docs = spark.createDataFrame([(1, words, "en", "s", 5), (1, "123 456 789", "en", "s", 3), (2, words, "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     found = corpus_pipeline.language(spark, docs, None).collect()
     assert sorted((r.doc_id, r.text) for r in found) == [(1, words), (2, words)]
+
+
+def test_what_simhash_links_is_one_class_before_any_key_is_paired(spark, monkeypatch):
+    """The stage goes by SimHash first; with no key at all it finds what op4 links and is similar."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    docs = [(n, " ".join([*words[:-n], f"z{n}"] if n else words)) for n in range(4)] + [(9, " ".join(words[:1500]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    prints = {r.id: r.fp for r in simhash.fingerprints(frame).collect()}
+    assert max(bin((prints[0] ^ prints[n]) & (1 << 64) - 1).count("1") for n in range(1, 4)) <= 2
+    monkeypatch.setattr(near_copies, "_keys", lambda single, *_: spark.createDataFrame([], "key bigint, node bigint, size int, at int"))
+    assert {r.id: r.component for r in near_copies.near_duplicates(frame).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
