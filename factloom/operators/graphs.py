@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,16 +78,64 @@ def shortest_paths(edges: DataFrame, root, max_depth: int = 8) -> DataFrame:
     return seen
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component, size, recursive) of each node: strongly connected components, named by their smallest node.
-
-    Rounds of colouring: the smallest label spreads along the edges until nothing changes; the nodes that reach their
-    colour's own node backwards within the colour are its component and leave the graph.
-    """
-    steps = edges.where("target_id is not null").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct()
-    loops = steps.where("a = b").select(F.col("a").alias("id")).distinct().withColumn("loop", F.lit(True))
-    nodes = steps.select(F.col("a").alias("id")).unionByName(steps.select(F.col("b").alias("id"))).distinct()
-    live, rest, done = _cut(steps.where("a <> b")), _cut(nodes), None
+def _stars(edges: DataFrame, large: bool) -> DataFrame:
+    """Hangs what each node u is joined to under the least of them: its greater neighbours (large), or itself and the lesser ones."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).select(F.col("u").alias("_u"), "m")
+    met = both.join(least, both.u == least._u)
+    moved = met.where("v > u") if large else met
+    moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return (moved if large else moved.unionByName(met.select("u", F.col("m").alias("v")))).where("u > v").distinct()
+
+
+def _parts(steps: DataFrame) -> DataFrame:
+    """(id, part) of the ends of steps (a, b): weakly connected parts, named by their least node, in rounds of large and small stars."""
+    edges = _cut(steps.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
+    while (now := tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())) != before and now[0]:
+        before = now
+        edges = _cut(_stars(_stars(edges, True), False))
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("part")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("part")).distinct())
+
+
+def _tarjan(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
+    """The least node of the strongly connected component of each of the nodes 0 to n - 1, by Tarjan's search."""
+    order = np.argsort(a, kind="stable")
+    into, first = b[order].tolist(), np.searchsorted(a[order], np.arange(n + 1)).tolist()
+    seen, low, at, found, held, visits = [0] * n, [0] * n, first[:-1], [-1] * n, [], 0
+    for root in range(n):
+        path = [] if seen[root] else [root]
+        while path:
+            x = path[-1]
+            if not seen[x]:
+                visits += 1
+                seen[x] = low[x] = visits
+                held.append(x)
+            if at[x] < first[x + 1]:
+                y = into[at[x]]
+                at[x] += 1
+                if not seen[y]:
+                    path.append(y)
+                elif found[y] < 0:
+                    low[x] = min(low[x], seen[y])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[x])
+            if low[x] == seen[x]:
+                own = [held.pop()]
+                while own[-1] != x:
+                    own.append(held.pop())
+                least = min(own)
+                for y in own:
+                    found[y] = least
+    return found
+
+
+def _coloured(live: DataFrame) -> DataFrame:
+    """(id, colour) of the ends of steps (a, b), by rounds of joins: the smallest label spreads along the steps until nothing
+    changes; the nodes that reach their colour's own node backwards within the colour are its component and leave the graph."""
+    rest, done = _cut(live.select(F.col("a").alias("id")).unionByName(live.select(F.col("b").alias("id"))).distinct()), None
     while not rest.isEmpty():
         colour = rest.select("id", F.col("id").alias("colour"))
         while True:
@@ -104,8 +156,38 @@ def components(edges: DataFrame) -> DataFrame:
         done = member if done is None else done.unionByName(member)
         rest = _cut(rest.join(member.select("id"), "id", "left_anti"))
         live = _cut(live.join(rest.select(F.col("id").alias("a")), "a", "left_semi").join(rest.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b"))
-    if done is None:
-        return nodes.select("id", F.col("id").alias("component"), F.lit(1).cast("long").alias("size"), F.lit(False).alias("recursive"))
+    return done
+
+
+#: Steps of a weakly connected part that a task searches in memory at most, and of the parts dealt to one task on average.
+PART, DEALT = 500_000, 100_000
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component, size, recursive) of each node: strongly connected components, named by their smallest node.
+
+    A component lies in one weakly connected part. Parts of PART steps at most are dealt to tasks, which search them; the
+    others go by rounds of colouring, whose number grows with the paths of a part.
+    """
+    steps = edges.where("target_id is not null").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct()
+    loops = steps.where("a = b").select(F.col("a").alias("id")).distinct().withColumn("loop", F.lit(True))
+    nodes = steps.select(F.col("a").alias("id")).unionByName(steps.select(F.col("b").alias("id"))).distinct()
+    live, kind = _cut(steps.where("a <> b")), steps.schema["a"].dataType.simpleString()
+    parts = _parts(live)
+    dealt = live.join(parts, live.a == parts.id).select("part", "a", "b")
+    many = _cut(dealt.groupBy("part").count().where(F.col("count") > PART).select("part"))
+    tasks = F.lit(max(1, math.ceil(live.count() / DEALT)))
+
+    def search(part: pa.Table) -> pa.Table:
+        codes, names = pd.factorize(np.concatenate([part["a"].to_numpy(), part["b"].to_numpy()]), sort=True)
+        found = _tarjan(*np.split(codes, 2), len(names))
+        return pa.table({"id": pa.array(names), "colour": pa.array(names[found])}).cast(pa.schema([("id", part["a"].type), ("colour", part["a"].type)]))
+
+    few = dealt.join(many, "part", "left_anti").select(F.pmod(F.xxhash64("part"), tasks).alias("task"), "a", "b")
+    done = few.groupBy("task").applyInArrow(search, f"id {kind}, colour {kind}")
+    if not many.isEmpty():
+        done = done.unionByName(_coloured(_cut(dealt.join(many, "part", "left_semi").select("a", "b"))))
+    done = _cut(nodes.join(done, "id", "left").select("id", F.coalesce("colour", "id").alias("colour")))
     sizes = done.groupBy("colour").agg(F.count("*").alias("size"))
     rows = done.join(sizes, "colour").join(loops, "id", "left")
     return rows.select("id", F.col("colour").alias("component"), "size", ((F.col("size") > 1) | F.coalesce("loop", F.lit(False))).alias("recursive"))

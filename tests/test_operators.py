@@ -30,6 +30,25 @@ def test_components_equal_mutual_reachability(spark):
     assert {r.id: r.component for r in graphs.components(_edges(spark, pairs)).collect()} == expected
 
 
+def test_rounds_of_components_follow_the_logarithm_of_a_path(spark, monkeypatch):
+    """Before, a path of n components took n rounds of n joins."""
+    cuts = []
+    monkeypatch.setattr(graphs, "_cut", lambda df, f=graphs._cut: cuts.append(1) or f(df))
+    pairs = [(i, i + 1) for i in range(40)] + [(i + 1, i) for i in range(0, 40, 5)] + [(i, i + 100) for i in range(3)]
+    edges = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "id long, source_id long, target_id long")
+    found = {r.id: (r.component, r.size) for r in graphs.components(edges).collect()}
+    expected = {i: (i // 5 * 5, 2) if i % 5 < 2 else (i, 1) for i in range(40)} | {40: (40, 1)} | {i: (i, 1) for i in range(100, 103)}
+    assert found == expected and len(cuts) < 16
+
+
+def test_parts_that_no_task_searches_whole_give_the_same_components(spark, monkeypatch):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("x", "y"), ("y", "x"), ("z", "z")]
+    for size in (3, 0):
+        monkeypatch.setattr(graphs, "PART", size)
+        found = {r.id: r.component for r in graphs.components(_edges(spark, pairs)).collect()}
+        assert found == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "x": "x", "y": "x", "z": "z"}
+
+
 def test_no_edges_have_no_components(spark):
     assert graphs.components(_edges(spark, [])).count() == 0
 
