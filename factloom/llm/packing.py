@@ -14,6 +14,7 @@ no rows; a document longer than the capacity is cut at multiples of it.
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import re
@@ -94,6 +95,15 @@ class WordEncoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as unsigned 16-bit numbers."""
+        was = gc.isenabled()
+        gc.disable()  # a block makes no cycles; the collector would walk its lists and tuples of words again and again
+        try:
+            return self._ids(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         # str.split() takes Unicode white space for a border, which the tokenizer drops, and four control characters, which it doesn't.
         split = [_CUT.split(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
         known = self.known

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from factloom.llm import language_model, simhash
+from factloom.llm import language_model, packing, simhash
 
 
 def test_a_word_of_more_than_65536_ids_is_scored_in_full(spark):
@@ -33,3 +33,12 @@ def test_crowded_keys_at_other_radii_are_an_error(spark):
     with pytest.raises(ValueError, match="radius"):
         simhash.links(prints, 4, 3)
     assert simhash.links(prints, 4, 64).count() == 190
+
+
+def test_the_encoder_pauses_the_collector_for_a_block_only(monkeypatch):
+    import gc
+
+    encoder, seen = packing.word_encoder(public_tokenizers.path(packing.TOKENIZER)), []
+    monkeypatch.setattr(encoder, "_learn", lambda words, f=encoder._learn: seen.append(gc.isenabled()) or f(words))
+    encoder.ids(["words that zzyzx has never seen before"])
+    assert seen == [False] and gc.isenabled()
