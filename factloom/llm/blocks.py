@@ -32,7 +32,7 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n at least (kept per process)."""
     have = _powers.get(int(base))
     if have is None or len(have[0]) < n:
-        size = max(n, BLOCK + 1)
+        size = 1 << (n - 1).bit_length()
         up, down = np.full(size, base, np.uint64), np.full(size, _inverse(int(base)), np.uint64)
         up[0] = down[0] = 1
         with np.errstate(over="ignore"):

@@ -46,13 +46,15 @@ SHARE, SEEN, FREQUENT = 8, 3, 200_000
 RANGE_BYTES, ENTRY = 8 << 20, 24
 #: Nodes of a key that meet as many in one task: their counters are some megabytes.
 TILE = 2048
+#: Bytes of text that a task hashes at a time; a byte takes some forty in its worker.
+TEXT = 1 << 18
 #: Counters of a set's sketch.
 COUNTERS = 64
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted 64-bit hashes of the different shingles of each text; a text of fewer words than a shingle is one shingle."""
-    for _, _, data, offsets in B.text_blocks(texts):
+    for _, _, data, offsets in B.text_blocks(texts, TEXT):
         upper = (data >= 0x41) & (data <= 0x5A)
         low = np.where(upper, data + np.uint8(0x20), data).astype(np.uint8)
         starts, ends, rows = B.words(low, offsets)
