@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Spark's setting by which a query's shuffle files are removed when it has ended.
+_DROPS_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def _folder(df: DataFrame) -> str:
     """The folder of spark.checkpoint.dir, which executors share; a local session may do without."""
     context = df.sparkSession.sparkContext
@@ -32,9 +36,15 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def _stored(df: DataFrame) -> DataFrame:
     """As ``_cut``, for many rows: written as a table they are computed once, not to be counted and again to be written, and
-    readers get only their columns. A checkpoint is begun and read faster, so rounds of few rows keep to it."""
-    path = f"{_folder(df)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    readers get only their columns. A checkpoint is begun and read faster, so rounds of few rows keep to it. What was shuffled for
+    the table leaves the disks with the end of the write, not when the driver happens to collect garbage."""
+    path, conf = f"{_folder(df)}/table-{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(_DROPS_SHUFFLES, None)
+    conf.set(_DROPS_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_DROPS_SHUFFLES, before) if before is not None else conf.unset(_DROPS_SHUFFLES)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import walks
 from factloom.registry import _query
-from factloom.sources.tables import read
+from factloom.sources.tables import branches, read
 
 
 def bounded_sql(roots: str, definitions: str, calls: str, direction: str, depth: int, max_nodes: int, max_edges: int) -> str:
@@ -51,7 +51,9 @@ def _of(spark, d, direction: str, depth: int, max_nodes: int, max_edges: int) ->
     suppliers = read(spark, d, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("root"))
     nations = read(spark, d, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("root"))
     roots = suppliers.unionByName(nations).unionByName(spark.range(1).select(F.lit("nowhere").alias("root")))
-    return walks.neighbourhoods(read(spark, d, "v_definitions"), read(spark, d, "v_call_graph"), roots, direction, depth, max_nodes, max_edges)
+    ends = ("part:", "supplier:"), ("supplier:", "customer:"), ("customer:", "part:")
+    calls = [walks.Calls(c, *e) for c, e in zip(branches(spark, d, "v_call_graph"), ends, strict=True)]
+    return walks.neighbourhoods(read(spark, d, "v_definitions"), calls, roots, direction, depth, max_nodes, max_edges)
 
 
 @_query(bounded_sql(_ROOTS, "v_definitions", _CALLS, "outgoing", 2, 30, 60) + " SELECT root, id, source_id, target_id, reason, level FROM edges")

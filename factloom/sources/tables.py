@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -136,7 +137,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, or a view over driver tables."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = VIEWS[name]
+    return _select(spark, sf_dir, VIEWS[name])
+
+
+def branches(spark: SparkSession, sf_dir: str, name: str) -> list[DataFrame]:
+    """The tables that a view of the form SELECT UNION ALL SELECT is the union of, each with the columns of the view."""
+    schema = read(spark, sf_dir, name).schema
+    tables = [_select(spark, sf_dir, sql).toDF(*schema.names) for sql in re.split(r"\bUNION ALL\b", VIEWS[name])]
+    return [t.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]) for t in tables]
+
+
+def _select(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     deps = _deps(sql)
     sql = sql.replace("{", "{{").replace("}", "}}")
     for d in deps:
